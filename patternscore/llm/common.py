@@ -51,15 +51,17 @@ def dropped(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
-    """mapInArrow with a function from a batch to columns; make() runs once a task and may keep state."""
+def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, rows: int | None = None) -> DataFrame:
+    """mapInArrow with a function from a batch to columns; make() runs once a task and may keep state.
+
+    rows: f gets slices of a batch of at most so many rows, which bounds what it returns at once.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            out = f(batch)
+        for out in (f(b.slice(i, rows or len(b))) for b in batches for i in range(0, len(b), rows or max(1, len(b)))):
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) if not isinstance(out[x.name], pa.Array) else out[x.name].cast(x.type) for x in target], schema=target)
         last = getattr(f, "last", None)
