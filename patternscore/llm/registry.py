@@ -6,7 +6,7 @@ import importlib
 import importlib.util
 
 #: Modules that hold QUERIES and ORACLE_SQL.
-_PARTS = ["q_exact_dedup", "q_simhash", "q_decontaminate", "q_warc"]
+_PARTS = ["q_exact_dedup", "q_simhash", "q_decontaminate", "q_warc", "q_substrings"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
