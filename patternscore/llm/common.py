@@ -152,6 +152,19 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
+def dealt_in_blocks(rows: DataFrame, keys: list[str], item: str, block: int) -> DataFrame:
+    """Rows with a column pair, dealt and sorted by (keys, pair), so that any two rows of a key share some pair.
+
+    A key of more than ``block`` rows is cut into blocks by the hash of ``item``; each pair of blocks is a group
+    of its own, so no group passes a few blocks however many rows a key has.
+    """
+    large = rows.groupBy(*keys).count().where(F.col("count") > block).select(*keys, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    placed = rows.join(large, keys, "left").withColumn("b", F.pmod(F.xxhash64(item), F.coalesce("blocks", F.lit(1))).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("b")) * F.col("blocks") + F.greatest(o, F.col("b")))
+    pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(met)
+    return placed.select(*rows.columns, F.explode(pairs).alias("pair")).repartition(*keys, "pair").sortWithinPartitions(*keys, "pair")
+
+
 class BitFilter:
     """A set of 64-bit hashes kept as a bitmap of fixed size (2**log2 bits, 2 MB at the default).
 

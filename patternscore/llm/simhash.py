@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, saved, signed, text_bytes
+from .common import arrow_pass, dealt_in_blocks, saved, signed, text_bytes
 from .graph import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -245,12 +245,7 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
         return fps.sparkSession.createDataFrame([], "u long, v long")
     plan = probe_plan(bit_pairs(fps), n, radius)
     rows = arrow_pass(fps.select("fp"), _prober(plan), "part int, key long, fp long, own boolean")
-    large = rows.groupBy("part", "key").count().where(F.col("count") > block).select("part", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    placed = rows.join(large, ["part", "key"], "left").withColumn("b", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    # Block b of a large bucket meets every block: pair (low, high) is numbered low * blocks + high.
-    pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("b")) * F.col("blocks") + F.greatest(o, F.col("b"))))
-    dealt = placed.select("part", "key", "fp", "own", F.explode(pairs).alias("pair"))
-    dealt = dealt.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair")
+    dealt = dealt_in_blocks(rows, ["part", "key"], "fp", block)
     return arrow_pass(dealt, _linker(radius), "u long, v long").distinct()
 
 
