@@ -6,7 +6,7 @@ import importlib
 import importlib.util
 
 #: Modules that hold QUERIES and ORACLE_SQL.
-_PARTS = ["q_exact_dedup", "q_simhash", "q_decontaminate", "q_warc", "q_substrings", "q_line_dedup"]
+_PARTS = ["q_exact_dedup", "q_simhash", "q_decontaminate", "q_warc", "q_substrings", "q_line_dedup", "q_packing"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
