@@ -83,6 +83,11 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def text_hash(col: str = "text") -> Column:
+    """64-bit hash of the whole text, which tells rows of one doc_id apart; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
+
+
 _P = 0x9E3779B97F4A7C15  # odd multiplier
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, arrow_pass, gram_hashes, mix, saved, signed, text_bytes, window_minima, word_hashes
+from .common import BitFilter, arrow_pass, gram_hashes, mix, saved, signed, text_bytes, text_hash, window_minima, word_hashes
 
 #: Lower-cases A-Z and turns every other ASCII character but digits and letters into a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -53,7 +53,7 @@ def _scanner(window, gram, lengths, whole, bits: BitFilter | None):
                 words = text.translate(WORD_BYTES).split()
                 n_words.append(len(words))
                 cands.append([dict(zip(("fp", "n", "s", "w"), x, strict=True)) for x in _windows(words, window, gram, lengths, whole, maybe)])
-            return {"uid": batch.column("uid"), "id": batch.column("id"), "n_words": n_words, "cands": cands}
+            return {"uid": batch.column("uid"), "id": batch.column("id"), "th": batch.column("th"), "n_words": n_words, "cands": cands}
 
         return f
 
@@ -61,8 +61,8 @@ def _scanner(window, gram, lengths, whole, bits: BitFilter | None):
 
 
 def _scan(df: DataFrame, key: str, name: str, *args) -> DataFrame:
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("id"), text_bytes().alias("text"))
-    return saved(arrow_pass(rows, _scanner(*args), f"uid long, id long, n_words long, cands {_CANDS}"), name)
+    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("id"), text_hash().alias("th"), text_bytes().alias("text"))
+    return saved(arrow_pass(rows, _scanner(*args), f"uid long, id long, th long, n_words long, cands {_CANDS}"), name)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, gram: int = 7) -> DataFrame:
@@ -72,6 +72,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, gram: int
     at least 5 % of its words are hit. Null and empty texts have no words, hit nothing and are clean; items
     without words or without id have no windows; rows that repeat each get their row; other columns are ignored.
     """
+    return _judged(docs, items, window, gram).drop("th")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = 13, gram: int = 7) -> DataFrame:
+    """The rows of docs that contamination() does not call contaminated, with all their columns; rows are told apart by doc_id and text."""
+    bad = _judged(docs, items, window, gram).where("contaminated").select("doc_id", "th").distinct()
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")) & (text_hash("d.text") == F.col("b.th"))
+    return docs.alias("d").join(bad.alias("b"), same, "left_anti")
+
+
+def _judged(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
     items = items.where(F.col("item_id").isNotNull())
     item_rows = _scan(items, "item_id", "item-windows", window, gram, [], True, None)
     lengths = [r["n_words"] for r in item_rows.where((F.col("n_words") > 0) & (F.col("n_words") < window)).select("n_words").distinct().collect()]  # under 13 numbers
@@ -85,8 +96,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, gram: int
     scored = per_doc.select("uid", hit.cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"))
     zero = F.lit(0).cast("long")
     return (
-        scanned.select("uid", F.col("id").alias("doc_id"), "n_words")
+        scanned.select("uid", F.col("id").alias("doc_id"), "th", "n_words")
         .join(scored, "uid", "left")
-        .select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
+        .select("doc_id", "th", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     )

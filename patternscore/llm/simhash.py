@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, dealt_in_blocks, saved, signed, text_bytes
+from .common import arrow_pass, dealt_in_blocks, saved, signed, text_bytes, text_hash
 from .graph import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -62,7 +62,7 @@ def _fingerprinter(shingle: int):
                 starts = [0, *(ends[: len(words) - k] + 1).tolist()]
                 hashes += [digest(buf[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
                 sizes.append(len(starts))
-            return {"doc_id": batch.column("doc_id"), "fp": signed(bit_majorities(np.array(hashes, np.uint64), np.array(sizes, np.int64)))}
+            return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "fp": signed(bit_majorities(np.array(hashes, np.uint64), np.array(sizes, np.int64)))}
 
         return f
 
@@ -70,8 +70,8 @@ def _fingerprinter(shingle: int):
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp (bigint) of every document: words are lower-cased (A-Z) and split at white space."""
-    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")), _fingerprinter(shingle), "doc_id long, fp long")
+    """doc_id, th (hash of the text) and fp (bigint) of every document: words are lower-cased (A-Z) and split at white space."""
+    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), text_bytes().alias("text")), _fingerprinter(shingle), "doc_id long, th long, fp long")
 
 
 def _bit_counter():
@@ -255,9 +255,34 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> Da
     Documents without words have fingerprint zero and link like any other. Null texts are empty, null doc_ids
     never become a component_id unless a component has no other, repeated rows each get their row, and other columns are ignored.
     """
+    rows = _rooted(docs, radius, shingle)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_dedup(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """One row of docs from each of the components of simhash_components(), with all its columns.
+
+    The smallest doc_id stays (null comes last), then the smallest hash of the text; of rows that repeat both, any one.
+    """
+    rows = _rooted(docs, radius, shingle).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("k"))
+    keep = saved(first.select("k.doc_id", "k.th", "k.n"), "kept")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (text_hash("d.text") == F.col("k.th"))
+    single = docs.alias("d").join(keep.where("n = 1").alias("k"), same, "left_semi")
+    if keep.where("n > 1").isEmpty():
+        return single
+    # Rows that repeat doc_id and text: one of them, whatever their other columns hold.
+    repeated = docs.alias("d").join(keep.where("n > 1").alias("k"), same, "left_semi")
+    values = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("r")
+    once = repeated.groupBy(F.col("doc_id").alias("_id"), text_hash().alias("_th")).agg(values).select("r.*")
+    return single.unionByName(once)
+
+
+def _rooted(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
+    """doc_id, th, fp, root (a fingerprint) and component_id of every row."""
     each = saved(fingerprints(docs, shingle), "fingerprints")
     distinct = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(near_links(distinct, radius))
     keyed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = keyed.join(keyed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = keyed.join(keyed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return each.join(named, "fp")
