@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,7 +159,12 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def dealt_in_blocks(rows: DataFrame, keys: list[str], item: str, block: int) -> DataFrame:
-    """Rows with a column pair, dealt and sorted by (keys, pair), so that any two rows of a key share some pair.
+    """in_blocks(), dealt and sorted by (keys, pair)."""
+    return in_blocks(rows, keys, item, block).repartition(*keys, "pair").sortWithinPartitions(*keys, "pair")
+
+
+def in_blocks(rows: DataFrame, keys: list[str], item: str, block: int) -> DataFrame:
+    """Rows with a column pair, such that any two rows of a key share some pair.
 
     A key of more than ``block`` rows is cut into blocks by the hash of ``item``; each pair of blocks is a group
     of its own, so no group passes a few blocks however many rows a key has.
@@ -167,7 +173,7 @@ def dealt_in_blocks(rows: DataFrame, keys: list[str], item: str, block: int) ->
     placed = rows.join(large, keys, "left").withColumn("b", F.pmod(F.xxhash64(item), F.coalesce("blocks", F.lit(1))).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("b")) * F.col("blocks") + F.greatest(o, F.col("b")))
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(met)
-    return placed.select(*rows.columns, F.explode(pairs).alias("pair")).repartition(*keys, "pair").sortWithinPartitions(*keys, "pair")
+    return placed.select(*rows.columns, F.explode(pairs).alias("pair"))
 
 
 class BitFilter:
@@ -193,3 +199,13 @@ class BitFilter:
     def has(self, h: np.ndarray) -> np.ndarray:
         s = h.astype(np.uint64, copy=False) & np.uint64((1 << self.log2) - 1)
         return ((self.bits[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def maybe_in(bits: BitFilter):
+    """A pandas UDF: whether a bigint may be in the set."""
+
+    @F.pandas_udf("boolean")
+    def f(h: pd.Series) -> pd.Series:
+        return pd.Series(bits.has(h.to_numpy(np.int64)))
+
+    return f
