@@ -13,8 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; texts can be long, so batches stay short.
-ARROW_ROWS = "1000"
+#: Rows and bytes in an Arrow batch: texts can be long, and the JVM keeps batches outside its heap.
+ARROW_ROWS, ARROW_BYTES = "1000", str(2 << 20)
 #: The characters that separate words and that exact dedup deletes.
 SPACES = " \t\n\x0b\f\r"
 
@@ -58,6 +58,7 @@ def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     rows: f gets slices of a batch of at most so many rows, which bounds what it returns at once.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,10 +165,10 @@ def _finisher(s: Scheme, join: bytes, with_text: bool):
     return make
 
 
-def remove_repeats(docs: DataFrame, s: Scheme, join: bytes, bucket: int = 8192, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, s: Scheme, join: bytes, bucket: int = 2048, with_text: bool = False) -> DataFrame:
     """doc_id, size, n_removed, kept_sha256, n_spans (and kept, the remaining text in UTF-8 bytes, if with_text) of each document."""
     texts = _texts(docs)
-    supers = saved(arrow_pass(texts, _scanner(s), "doc_id long, th long, mini long, start int, n int", rows=100), "super-kmers")
+    supers = saved(arrow_pass(texts, _scanner(s), "doc_id long, th long, mini long, start int, n int", rows=25), "super-kmers")
     often = supers.groupBy("mini").count().where("count > 1").select("mini", (F.col("count") > bucket).alias("large"))
     marked = saved(supers.join(often, "mini").groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n", "mini", "large")).alias("marks")), "marks")
     dropped(supers)
@@ -179,10 +179,10 @@ def remove_repeats(docs: DataFrame, s: Scheme, join: bytes, bucket: int = 8192,
     cand = saved(held.alias("l").join(marked.alias("r"), same, "left").select("l.doc_id", "l.th", "l.text", "r.marks"), "candidates")
     dropped(marked)
     some = cand.where("marks IS NOT NULL")
-    packed = arrow_pass(some, _packer(s, True), "mini long, ph long, packed binary", rows=20)
+    packed = arrow_pass(some, _packer(s, True), "mini long, ph long, packed binary", rows=4)
     strings = packed.groupBy("mini", "ph", "packed").agg(F.count("*").alias("c"))
     repeats = saved(arrow_pass(strings.repartition("mini").sortWithinPartitions("mini"), _bucketer(s), f"mini long, ph long, spans {_SPAN}"), "repeats")
-    spots = arrow_pass(some, _packer(s, False), "mini long, ph long, doc_id long, th long, start int", rows=20)
+    spots = arrow_pass(some, _packer(s, False), "mini long, ph long, doc_id long, th long, start int", rows=4)
     ranges = spots.join(repeats, ["mini", "ph"]).select(*_KEY, F.transform("spans", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"] + (s.k - 1)).alias("b"))).alias("spans"))
     spans = ranges.groupBy(*_KEY).agg(F.flatten(F.collect_set("spans")).alias("spans"))
     joined = cand.alias("l").join(spans.alias("r"), same, "left").select("l.doc_id", "l.th", "l.text", "r.spans")
