@@ -4,7 +4,7 @@ A window is ``k`` consecutive symbols (words or bytes); its minimiser is the sma
 Consecutive windows with one minimiser form a super-k-mer of at most k - m + 1 windows. Equal windows have equal
 minimisers, so a minimiser met once in the corpus has no repeated window: its windows never travel. The others go
 as packed strings, merged with their copies before the shuffle, to the bucket of their minimiser, where a
-``counter`` finds the repeated windows. Minimisers met over ``bucket`` times send each window as a string of its own,
+``counter`` finds the repeated windows. Minimisers of over ``bucket`` different strings send each window as a string of its own,
 keyed by the hash of the window, so no bucket grows with the corpus. Documents are known by doc_id and a hash of their
 text; the texts that hold candidates are found with a bitmap of fixed size and joined exactly.
 """
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import BitFilter, arrow_pass, covered, dropped, saved, signed, text_bytes
 
 _KEY = ["doc_id", "th"]
-_MARK = "array<struct<start:int,n:int,mini:bigint,large:boolean>>"
 _SPAN = "array<struct<a:int,b:int>>"
 
 
@@ -36,20 +35,28 @@ class Scheme:
     minimisers: Callable[[object], tuple[np.ndarray, np.ndarray, np.ndarray]]  # super-k-mers: start, number of windows, hash
     pack: Callable[[object, int, int], bytes]  # symbols of a range as one string
     counter: Callable[[list[bytes], list[int]], list[list[tuple[int, int]]]]  # bucket's distinct strings and their counts -> ranges of repeated windows
+    bucket: int = 2048  # most different strings of a bucket
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), text_bytes().alias("text"))
 
 
+def _packed_hash(packed: bytes) -> int:
+    ph = xxhash.xxh64_intdigest(packed, 7)
+    return ph - ((ph >> 63) << 64)
+
+
 def _scanner(s: Scheme):
     def make():
         def f(batch):
-            out = {k: [] for k in ("doc_id", "th", "mini", "start", "n")}
+            out = {k: [] for k in ("doc_id", "th", "mini", "ph", "start", "n")}
             rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), strict=True))
             for doc, th, text in rows:
-                start, n, mini = s.minimisers(s.split(text.as_py()))
+                symbols = s.split(text.as_py())
+                start, n, mini = s.minimisers(symbols)
                 if len(start):
+                    out["ph"] += [_packed_hash(s.pack(symbols, a, b)) for a, b in zip(start.tolist(), (start + n + (s.k - 1)).tolist(), strict=True)]
                     out["doc_id"] += [doc] * len(start)
                     out["th"] += [th] * len(start)
                     out["mini"].append(signed(mini))
@@ -91,8 +98,7 @@ def _packer(s: Scheme, with_text: bool):
                 for m in marks:
                     for a, n in [(m["start"], m["n"])] if not m["large"] else [(m["start"] + i, 1) for i in range(m["n"])]:
                         packed = s.pack(symbols, a, a + n + s.k - 1)
-                        ph = xxhash.xxh64_intdigest(packed, 7)
-                        ph -= (ph >> 63) << 64
+                        ph = _packed_hash(packed) if m["large"] else m["ph"]
                         mini = ph if m["large"] else m["mini"]
                         for c, v in zip(out, (mini, ph, packed) if with_text else (mini, ph, doc, th, a), strict=True):
                             out[c].append(v)
@@ -165,12 +171,15 @@ def _finisher(s: Scheme, join: bytes, with_text: bool):
     return make
 
 
-def remove_repeats(docs: DataFrame, s: Scheme, join: bytes, bucket: int = 2048, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, s: Scheme, join: bytes, bucket: int | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, size, n_removed, kept_sha256, n_spans (and kept, the remaining text in UTF-8 bytes, if with_text) of each document."""
-    texts = _texts(docs)
-    supers = saved(arrow_pass(texts, _scanner(s), "doc_id long, th long, mini long, start int, n int", rows=25), "super-kmers")
-    often = supers.groupBy("mini").count().where("count > 1").select("mini", (F.col("count") > bucket).alias("large"))
-    marked = saved(supers.join(often, "mini").groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n", "mini", "large")).alias("marks")), "marks")
+    bucket, texts = bucket or s.bucket, _texts(docs)
+    supers = saved(arrow_pass(texts, _scanner(s), "doc_id long, th long, mini long, ph long, start int, n int", rows=25), "super-kmers")
+    met = saved(supers.groupBy("mini").agg(F.count("*").alias("c"), (F.min("ph") != F.max("ph")).alias("mixed")).where("c > 1"), "minimisers")
+    # Copies of one string are merged before they travel, so a bucket's size is its number of different strings.
+    full = supers.join(met.where((F.col("c") > bucket) & F.col("mixed")).select("mini"), "mini", "left_semi").groupBy("mini", "ph").agg(F.lit(1)).groupBy("mini").count()
+    often = met.select("mini").join(full.where(F.col("count") > bucket).select("mini", F.lit(True).alias("large")), "mini", "left").select("mini", F.coalesce("large", F.lit(False)).alias("large"))
+    marked = saved(supers.join(often, "mini").groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n", "mini", "ph", "large")).alias("marks")), "marks")
     dropped(supers)
     bits = BitFilter.of(marked, "th")
     scan = saved(arrow_pass(texts, _keeper(s, bits, join, with_text), "doc_id long, th long, size long, kept_sha256 string, text binary", rows=100), "texts")
@@ -182,7 +191,9 @@ def remove_repeats(docs: DataFrame, s: Scheme, join: bytes, bucket: int = 2048,
     packed = arrow_pass(some, _packer(s, True), "mini long, ph long, packed binary", rows=4)
     strings = packed.groupBy("mini", "ph", "packed").agg(F.count("*").alias("c"))
     repeats = saved(arrow_pass(strings.repartition("mini").sortWithinPartitions("mini"), _bucketer(s), f"mini long, ph long, spans {_SPAN}"), "repeats")
-    spots = arrow_pass(some, _packer(s, False), "mini long, ph long, doc_id long, th long, start int", rows=4)
+    own = cand.select(*_KEY, F.explode("marks").alias("m")).where("NOT m.large").select("m.mini", "m.ph", *_KEY, "m.start")
+    windows = arrow_pass(some.withColumn("marks", F.filter("marks", lambda m: m["large"])).where(F.size("marks") > 0), _packer(s, False), "mini long, ph long, doc_id long, th long, start int", rows=4)
+    spots = own.unionByName(windows)
     ranges = spots.join(repeats, ["mini", "ph"]).select(*_KEY, F.transform("spans", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"] + (s.k - 1)).alias("b"))).alias("spans"))
     spans = ranges.groupBy(*_KEY).agg(F.flatten(F.collect_set("spans")).alias("spans"))
     joined = cand.alias("l").join(spans.alias("r"), same, "left").select("l.doc_id", "l.th", "l.text", "r.spans")

@@ -188,6 +188,6 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 32, with_text:
     kept_sha256 of each document, and the kept bytes as text (invalid where a cut splits a character, hence binary) with
     ``with_text``. Rows that repeat each other count as two occurrences and each get their row; other columns are ignored.
     """
-    scheme = Scheme(length, _split, partial(_super_kmers, k=length, m=gram), _pack, partial(repeated_windows, k=length, m=gram))
+    scheme = Scheme(length, _split, partial(_super_kmers, k=length, m=gram), _pack, partial(repeated_windows, k=length, m=gram), 8192)
     out = remove_repeats(docs, scheme, b"", with_text=with_text).withColumnRenamed("size", "n_bytes")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
