@@ -1,4 +1,257 @@
 """Queries of the unusual-row engine and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import grouping as G
+from ..operators import preprocess as P
+from ..operators import scoring as S
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+ROLLUP = ["n_lines", "quantity", "price", "discount", "tax", "top_price", "n_returned"]
+ORDERS = S.Plan("o_orderkey", [["o_totalprice", "status"], ["priority", "day"]], 3)
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def gappy_orders(spark, sf_dir) -> DataFrame:
+    """orders with missing values: prices over 300000, status P and priority 1-URGENT are null."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.when(F.col("o_totalprice") <= 300000, F.col("o_totalprice")).alias("price"), F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("priority"))
+
+
+def order_features(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long")
+    base = o.select("o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), day.alias("day"))
+    return P.label_encode(P.label_encode(base, "status"), "priority")
+
+
+def order_rollup(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").cast("double").alias("n_lines"), F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"),
+        F.avg("l_tax").alias("tax"), F.max("l_extendedprice").alias("top_price"), F.sum(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("n_returned"),
+    )
+
+
+_GAPPY = "g AS (SELECT o_orderkey, CASE WHEN o_totalprice <= 300000 THEN o_totalprice END AS price, nullif(o_orderstatus, 'P') AS status, nullif(o_orderpriority, '1-URGENT') AS priority FROM orders)"
+_ROLLUP = """r AS (SELECT l_orderkey, CAST(count(*) AS DOUBLE) AS n_lines, sum(l_quantity) AS quantity, sum(l_extendedprice) AS price, avg(l_discount) AS discount,
+  avg(l_tax) AS tax, max(l_extendedprice) AS top_price, sum(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS n_returned FROM lineitem GROUP BY l_orderkey)"""
+
+
+def _edges(c: str, bins: int) -> str:
+    return "CASE WHEN hi > lo THEN ".replace("hi", f"max({c}) OVER ()").replace("lo", f"min({c}) OVER ()") + " + ".join(
+        f"CAST({c} >= min({c}) OVER () + {i} * (max({c}) OVER () - min({c}) OVER ()) / {bins} AS BIGINT)" for i in range(1, bins)
+    ) + f" WHEN {c} IS NOT NULL THEN 0 END"
+
+
+_FEATURES = """f AS (SELECT o_orderkey, o_totalprice, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS status, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS priority,
+  date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders)"""
+_BINNED = f"{_FEATURES}, b AS (SELECT o_orderkey, {', '.join(f'{_edges(c, 3)} AS {c}' for c in ORDERS.columns)} FROM f)"
+_PATTERNS = f"{_BINNED}, p AS (SELECT o_orderkey, 0 AS group_id, concat_ws('|', o_totalprice, status) AS pattern FROM b UNION ALL SELECT o_orderkey, 1, concat_ws('|', priority, day) FROM b), c AS (SELECT group_id, pattern, count(*) AS n FROM p GROUP BY ALL), w AS (SELECT *, ln((n + 1) / sum(n + 1) OVER (PARTITION BY group_id)) AS ll FROM c)"
+_LL = f"{_PATTERNS}, l AS (SELECT o_orderkey, max(ll) FILTER (group_id = 0) AS group_0, max(ll) FILTER (group_id = 1) AS group_1 FROM p JOIN w USING (group_id, pattern) GROUP BY o_orderkey)"
+_SCORED = f"{_LL}, a AS (SELECT *, -(group_0 + group_1) / 2 AS raw FROM l), s AS (SELECT *, round((raw - avg(raw) OVER ()) / stddev_pop(raw) OVER (), 9) AS anomaly_score FROM a)"
+_FLAGS = f"{_SCORED}, t AS (SELECT quantile_cont(anomaly_score, 0.95) AS threshold FROM s), x AS (SELECT s.*, threshold, anomaly_score > threshold AS is_anomaly FROM s, t)"
+
+
+def scored_orders(spark, sf_dir) -> DataFrame:
+    """Scores are rounded to 9 places, so that equal patterns tie whatever the order of summation."""
+    out = S.anomaly_scores(S.log_likelihoods(order_features(spark, sf_dir), ORDERS), ORDERS)
+    return out.withColumn("anomaly_score", F.round("anomaly_score", 9))
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
+
+
+@query(f"WITH {_GAPPY} SELECT column_name, n_missing, round(n_missing / n, 6) AS share FROM (SELECT count(*) AS n, count(*) - count(price) AS price, count(*) - count(status) AS status, count(*) - count(priority) AS priority FROM g) UNPIVOT (n_missing FOR column_name IN (price, status, priority))")
+def null_profile(spark, sf_dir):
+    return P.missing_profile(gappy_orders(spark, sf_dir), ["price", "status", "priority"])
+
+
+@query(f"WITH {_GAPPY} SELECT o_orderkey, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM g)) AS price FROM g")
+def impute_median(spark, sf_dir):
+    return P.impute_median(gappy_orders(spark, sf_dir).select("o_orderkey", "price"), ["price"])
+
+
+@query(f"WITH {_GAPPY} SELECT o_orderkey, coalesce(status, (SELECT status FROM g WHERE status IS NOT NULL GROUP BY status ORDER BY count(*) DESC, status LIMIT 1)) AS status FROM g")
+def impute_mode(spark, sf_dir):
+    return P.impute_mode(gappy_orders(spark, sf_dir).select("o_orderkey", "status"), ["status"])
+
+
+@query("SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS o_orderpriority FROM orders")
+def label_encode(spark, sf_dir):
+    return P.label_encode(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
+
+
+@query("WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT event_id, round(least(greatest(value, a - 0.5 * (b - a)), b + 0.5 * (b - a)), 6) AS value FROM events, q")
+def iqr_clip(spark, sf_dir):
+    return rounded(P.clip_outliers(table(spark, sf_dir, "events").select("event_id", "value"), ["value"], 0.5), "value")
+
+
+@query("SELECT event_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) AS value FROM events")
+def zscore(spark, sf_dir):
+    return rounded(P.standardise(table(spark, sf_dir, "events").select("event_id", "value"), ["value"]), "value")
+
+
+@query("SELECT event_id, value, user_id FROM events")
+def drop_constant(spark, sf_dir):
+    return P.drop_constant(table(spark, sf_dir, "events").select("event_id", "value", "user_id", F.lit(1).alias("one")), ["value", "user_id", "one"])
+
+
+@query(f"WITH {_GAPPY} SELECT o_orderkey, status, priority FROM g")
+def drop_sparse(spark, sf_dir):
+    o = gappy_orders(spark, sf_dir).withColumn("price", F.when(F.col("o_orderkey") < 0, F.col("price")))
+    return P.drop_sparse(o, ["price", "status", "priority"])
+
+
+@query("SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS low, max(value) AS high, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75 FROM events")
+def summary_stats(spark, sf_dir):
+    return P.summary(table(spark, sf_dir, "events"), "value")
+
+
+@query("SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)")
+def duplicate_rows(spark, sf_dir):
+    return P.duplicate_rows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+
+
+@query(f"WITH {_ROLLUP} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(coalesce(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 0), 6) AS r FROM r" for i, a in enumerate(ROLLUP) for b in ROLLUP[i + 1 :]))
+def corr_pairs(spark, sf_dir):
+    return G.correlation_pairs(order_rollup(spark, sf_dir), ROLLUP)
+
+
+@query(f"WITH {_ROLLUP} SELECT column_name, variance, (row_number() OVER (ORDER BY variance DESC, column_name) - 1) % 2 AS group_id FROM (SELECT {', '.join(f'round(var_samp({c}), 3) AS {c}' for c in ROLLUP)} FROM r) UNPIVOT (variance FOR column_name IN ({', '.join(ROLLUP)}))")
+def variance_rank_groups(spark, sf_dir):
+    return G.variance_groups(order_rollup(spark, sf_dir), ROLLUP, 3)
+
+
+@query()
+def linked_groups(spark, sf_dir):
+    """Average-linkage groups of the rollup's columns. The clustering loop is no SQL."""
+    groups = G.linked_groups(G.correlation_matrix(order_rollup(spark, sf_dir), ROLLUP), ROLLUP, 3)
+    return spark.createDataFrame([(i, c) for i, g in enumerate(groups) for c in g], "group_id long, column_name string")
+
+
+@query()
+def greedy_groups(spark, sf_dir):
+    groups = G.greedy_groups(G.correlation_matrix(order_rollup(spark, sf_dir), ROLLUP), ROLLUP, 3)
+    return spark.createDataFrame([(i, c) for i, g in enumerate(groups) for c in g], "group_id long, column_name string")
+
+
+@query("SELECT name, CASE WHEN contains(name, 'V_') THEN 'voltage' WHEN contains(name, 'I_') THEN 'current' WHEN contains(name, 'P_') THEN 'power' WHEN contains(name, 'phi_') OR contains(name, 'phase_') THEN 'phase' WHEN contains(name, '_H') OR contains(name, 'THD_') THEN 'harmonic' ELSE 'other' END AS domain FROM (SELECT DISTINCT substr(p_name, 1, 3) || unnest(['V_', 'I_', 'P_', 'phi_', '_H', 'x']) AS name FROM part)")
+def domain_groups(spark, sf_dir):
+    ends = F.explode(F.array(*[F.lit(x) for x in ("V_", "I_", "P_", "phi_", "_H", "x")]))
+    names = table(spark, sf_dir, "part").select(F.substring("p_name", 1, 3).alias("p"), ends.alias("e")).select(F.concat("p", "e").alias("name")).distinct()
+    return names.select("name", G.domain_of(F.col("name")).alias("domain"))
+
+
+@query(f"WITH {_BINNED} SELECT * FROM b")
+def bin_uniform(spark, sf_dir):
+    return S.bin_columns(order_features(spark, sf_dir), ORDERS.columns, 3).select("o_orderkey", *ORDERS.columns)
+
+
+@query(f"WITH {_PATTERNS} SELECT CAST(group_id AS BIGINT) AS group_id, pattern, n FROM c")
+def pattern_counts(spark, sf_dir):
+    return S.pattern_counts(S.bin_columns(order_features(spark, sf_dir), ORDERS.columns, 3), ORDERS)
+
+
+@query(f"WITH {_LL} SELECT o_orderkey, round(group_0, 6) AS group_0, round(group_1, 6) AS group_1 FROM l")
+def pattern_loglik(spark, sf_dir):
+    return rounded(S.log_likelihoods(order_features(spark, sf_dir), ORDERS), "group_0", "group_1")
+
+
+def _aggregate(how: str, sql: str):
+    def f(spark, sf_dir):
+        ll = S.log_likelihoods(order_features(spark, sf_dir), ORDERS)
+        return ll.select("o_orderkey", F.round(S.aggregated(ORDERS.scores, how, [1.0, 3.0]), 6).alias("score"))
+
+    f.__name__ = f"agg_{how}"
+    query(f"WITH {_LL} SELECT o_orderkey, round({sql}, 6) AS score FROM l")(f)
+
+
+for _how, _sql in {"mean": "(group_0 + group_1) / 2", "min": "least(group_0, group_1)", "max": "greatest(group_0, group_1)", "median": "(least(group_0, group_1) + greatest(group_0, group_1)) / 2", "sum": "group_0 + group_1", "weighted": "(group_0 + 3 * group_1) / 4"}.items():
+    _aggregate(_how, _sql)
+
+
+@query(f"WITH {_SCORED} SELECT o_orderkey, round(anomaly_score, 6) AS anomaly_score FROM s")
+def zscore_scores(spark, sf_dir):
+    return rounded(scored_orders(spark, sf_dir), "anomaly_score").select("o_orderkey", "anomaly_score")
+
+
+@query(f"WITH {_SCORED} SELECT o_orderkey, round((rank() OVER (ORDER BY anomaly_score) + (count(*) OVER (PARTITION BY anomaly_score) - 1) / 2) / count(*) OVER (), 6) AS rank_share FROM s")
+def rank_scores(spark, sf_dir):
+    return rounded(S.average_ranks(scored_orders(spark, sf_dir)), "rank_share").select("o_orderkey", "rank_share")
+
+
+def _threshold(method: str, sql: str):
+    def f(spark, sf_dir):
+        return rounded(S.threshold(scored_orders(spark, sf_dir), method), "threshold")
+
+    f.__name__ = f"thr_{method}"
+    query(f"WITH {_SCORED} {sql}")(f)
+
+
+_threshold("percentile", "SELECT round(quantile_cont(anomaly_score, 0.95), 6) AS threshold FROM s")
+_threshold("std", "SELECT round(avg(anomaly_score) + 2 * stddev_pop(anomaly_score), 6) AS threshold FROM s")
+_threshold("iqr", "SELECT round(quantile_cont(anomaly_score, 0.75) + 1.5 * (quantile_cont(anomaly_score, 0.75) - quantile_cont(anomaly_score, 0.25)), 6) AS threshold FROM s")
+_threshold("adaptive", f", m AS (SELECT CAST(count(*) AS DOUBLE) AS n, any_value(mean) AS mean, sqrt(avg(power(anomaly_score - mean, 2))) AS std, avg(power(anomaly_score - mean, 3)) AS m3, avg(power(anomaly_score - mean, 4)) AS m4, quantile_cont(anomaly_score, 0.95) AS cut FROM s, (SELECT avg(anomaly_score) AS mean FROM s)) SELECT round(CASE WHEN {S.NORMAL_SQL} < {S.NORMAL_K2} THEN mean + 2 * std ELSE cut END, 6) AS threshold FROM m")
+
+
+@query(f"WITH {_FLAGS} SELECT o_orderkey, round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM x")
+def flag_anomalies(spark, sf_dir):
+    return rounded(S.flagged(scored_orders(spark, sf_dir)), "anomaly_score").select("o_orderkey", "anomaly_score", "is_anomaly")
+
+
+@query(f"WITH {_FLAGS} SELECT o_orderkey, round(anomaly_score, 6) AS anomaly_score FROM x ORDER BY x.anomaly_score DESC, o_orderkey LIMIT 10")
+def top_anomalies(spark, sf_dir):
+    """The ten highest scores: a top-k report."""
+    return rounded(S.flagged(scored_orders(spark, sf_dir)).orderBy(F.desc("anomaly_score"), "o_orderkey").limit(10), "anomaly_score").select("o_orderkey", "anomaly_score")
+
+
+_CLASSES = f"{_FLAGS}, k AS (SELECT count(*) AS n, count(*) FILTER (is_anomaly) AS n1, count(*) FILTER (NOT is_anomaly) AS n0, avg(anomaly_score) FILTER (is_anomaly) AS m1, avg(anomaly_score) FILTER (NOT is_anomaly) AS m0, var_samp(anomaly_score) FILTER (is_anomaly) AS v1, var_samp(anomaly_score) FILTER (NOT is_anomaly) AS v0 FROM x)"
+
+
+@query(f"WITH {_CLASSES} SELECT n, n1 AS n_anomalies, round(100 * n1 / n, 6) AS anomaly_rate, round(m1, 6) AS mean_anomaly, round(m0, 6) AS mean_normal, round(coalesce((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n - 2)), 0), 6) AS cohens_d FROM k")
+def separation_quality(spark, sf_dir):
+    return rounded(S.separation(S.flagged(scored_orders(spark, sf_dir))), "anomaly_rate", "mean_anomaly", "mean_normal", "cohens_d")
+
+
+@query(f"WITH {_CLASSES}, y AS (SELECT 100 * n1 / n AS rate FROM k) SELECT round(greatest(exp(-0.5 * (rate - 4) * (rate - 4)), 0.8 * exp(-0.5 * power((rate - 1.5) / 0.5, 2)), 0.6 * exp(-0.5 * power((rate - 7) / 1.5, 2))), 6) AS rate_score FROM y")
+def detection_rate_score(spark, sf_dir):
+    return S.separation(S.flagged(scored_orders(spark, sf_dir))).select(F.round(S.rate_score(F.col("anomaly_rate")), 6).alias("rate_score"))
+
+
+@query(f"WITH {_FLAGS}, e AS (SELECT o_orderkey, 'group_0' AS group_name, group_0 AS ll FROM x WHERE is_anomaly UNION ALL SELECT o_orderkey, 'group_1', group_1 FROM x WHERE is_anomaly) SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY ll, group_name) AS rank, group_name, round(ll, 6) AS ll FROM e")
+def explain_groups(spark, sf_dir):
+    return rounded(S.explanations(S.flagged(scored_orders(spark, sf_dir)), ORDERS), "ll")
+
+
+@query(f"WITH {_FLAGS} SELECT 'group_0' AS group_name, round(avg(group_0) FILTER (NOT is_anomaly) - avg(group_0) FILTER (is_anomaly), 6) AS contribution FROM x UNION ALL SELECT 'group_1', round(avg(group_1) FILTER (NOT is_anomaly) - avg(group_1) FILTER (is_anomaly), 6) FROM x")
+def group_contribution(spark, sf_dir):
+    return rounded(S.contributions(S.flagged(scored_orders(spark, sf_dir)), ORDERS), "contribution")
+
+
+@query(f"WITH {_SCORED}, h AS (SELECT {_edges('anomaly_score', 10)} AS bin FROM s) SELECT bin, count(*) AS n FROM h GROUP BY bin")
+def score_histogram(spark, sf_dir):
+    return S.histogram(scored_orders(spark, sf_dir), 10)
+
+
+@query(f"WITH {_BINNED}, c AS (SELECT status AS parent, o_totalprice AS node, count(*) AS n FROM b GROUP BY ALL) SELECT parent, node, n, round(n / sum(n) OVER (PARTITION BY parent), 6) AS p FROM c")
+def mle_cpt(spark, sf_dir):
+    return rounded(S.conditional_table(S.bin_columns(order_features(spark, sf_dir), ORDERS.columns, 3), "o_totalprice", "status"), "p")
