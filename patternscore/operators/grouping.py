@@ -91,3 +91,48 @@ def domain_of(name: Column) -> Column:
             hit = hit | F.contains(name, F.lit(p))
         out = F.when(hit, kind).otherwise(out)
     return out
+
+
+def linked_components(corr: np.ndarray, columns: list[str], size: int, least: float = 0.3) -> list[list[str]]:
+    """Columns connected by |r| > least, in walks of at most 1.5 * size; re-chunked if a group is larger or under 3."""
+    left, groups = set(range(len(columns))), []
+    while left:
+        walk, todo = [], [min(left)]
+        while todo and len(walk) < int(1.5 * size):
+            x = todo.pop()
+            if x in left:
+                left.discard(x)
+                walk.append(x)
+                todo += [y for y in sorted(left, reverse=True) if corr[x, y] > least]
+        groups.append([columns[i] for i in sorted(walk)])
+    odd = any(len(g) < 3 or len(g) > 1.5 * size for g in groups)
+    return chunks([c for g in groups for c in g], size) if odd else groups
+
+
+def kmeans_groups(corr: np.ndarray, columns: list[str], size: int, seed: int = 42, starts: int = 10, rounds: int = 100) -> list[list[str]]:
+    """k-means over the rows of the correlation matrix (one point per column), k = columns // size, the best of several starts."""
+    rng, k, best = np.random.default_rng(seed), max(1, len(columns) // size), None
+    for _ in range(starts):
+        centres = corr[rng.choice(len(columns), k, replace=False)]
+        for _ in range(rounds):
+            apart = ((corr[:, None] - centres[None]) ** 2).sum(axis=2)
+            own = apart.argmin(axis=1)
+            new = np.array([corr[own == i].mean(axis=0) if (own == i).any() else centres[i] for i in range(k)])
+            if np.allclose(new, centres):
+                break
+            centres = new
+        if best is None or apart.min(axis=1).sum() < best[0]:
+            best = apart.min(axis=1).sum(), own
+    groups = [[c for c, o in zip(columns, best[1], strict=True) if o == i] for i in range(k)]
+    groups = [g for g in groups if g]
+    return chunks([c for g in groups for c in g], size) if any(len(g) > 1.5 * size for g in groups) else groups
+
+
+def merged_small(groups: list[list[str]], least: int = 3) -> list[list[str]]:
+    """Columns of groups under ``least`` are dealt round the other groups; if there are no others, they are one group."""
+    large, small = [list(g) for g in groups if len(g) >= least], [c for g in groups if len(g) < least for c in g]
+    if not large:
+        return [small] if small else []
+    for i, c in enumerate(small):
+        large[i % len(large)].append(c)
+    return large

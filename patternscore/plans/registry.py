@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fitness as FT
 from ..operators import grouping as G
+from ..operators import networks as N
+from ..operators import optimise as O
 from ..operators import preprocess as P
 from ..operators import scoring as S
 
@@ -255,3 +258,70 @@ def score_histogram(spark, sf_dir):
 @query(f"WITH {_BINNED}, c AS (SELECT status AS parent, o_totalprice AS node, count(*) AS n FROM b GROUP BY ALL) SELECT parent, node, n, round(n / sum(n) OVER (PARTITION BY parent), 6) AS p FROM c")
 def mle_cpt(spark, sf_dir):
     return rounded(S.conditional_table(S.bin_columns(order_features(spark, sf_dir), ORDERS.columns, 3), "o_totalprice", "status"), "p")
+
+
+def binned_orders(spark, sf_dir) -> DataFrame:
+    return S.bin_columns(order_features(spark, sf_dir), ORDERS.columns, 3).select("o_orderkey", *ORDERS.columns)
+
+
+#: A structure of the orders' columns for the factorised likelihood.
+ARCS = {"status": [], "o_totalprice": ["status"], "priority": [], "day": ["priority", "status"]}
+
+
+def _share_sql(node: str, given: list[str]) -> str:
+    within = lambda cs: f"count(*) OVER ({'PARTITION BY ' + ', '.join(cs) if cs else ''})"
+    return f"ln({within([*given, node])} / {within(given)})"
+
+
+@query(f"WITH {_BINNED} SELECT o_orderkey, round({' + '.join(_share_sql(c, []) for c in ORDERS.columns)}, 6) AS ll FROM b")
+def independence_loglik(spark, sf_dir):
+    out = N.factorised_log_likelihood(binned_orders(spark, sf_dir), {c: [] for c in ORDERS.columns})
+    return rounded(out, "ll").select("o_orderkey", "ll")
+
+
+@query(f"WITH {_BINNED} SELECT o_orderkey, round({' + '.join(_share_sql(c, g) for c, g in ARCS.items())}, 6) AS ll FROM b")
+def factorised_loglik(spark, sf_dir):
+    return rounded(N.factorised_log_likelihood(binned_orders(spark, sf_dir), ARCS), "ll").select("o_orderkey", "ll")
+
+
+@query(f"WITH {_BINNED}, d AS (SELECT o_orderkey, sqrt({' + '.join(f'power({c} - avg({c}) OVER (), 2)' for c in ORDERS.columns)}) AS d FROM b) SELECT o_orderkey, round(CASE WHEN max(d) OVER () > 0 THEN -5 * d / max(d) OVER () ELSE -1 END, 6) AS ll FROM d")
+def distance_loglik(spark, sf_dir):
+    return rounded(N.distance_log_likelihood(binned_orders(spark, sf_dir), ORDERS.columns), "ll").select("o_orderkey", "ll")
+
+
+@query()
+def network_arcs(spark, sf_dir):
+    """Parent and child of each arc that hill climbing on BIC finds. The search is no SQL."""
+    columns = ["n_lines", "quantity", "price", "n_returned"]
+    found = N.hill_climb(S.bin_columns(order_rollup(spark, sf_dir), columns, 3), columns)
+    return spark.createDataFrame([(p, c) for c, ps in found.items() for p in ps], "parent string, child string")
+
+
+def order_vectors(spark, sf_dir) -> DataFrame:
+    return FT.counted_vectors(S.log_likelihoods(order_features(spark, sf_dir), ORDERS), ORDERS.scores)
+
+
+@query()
+def candidate_fitness(spark, sf_dir):
+    """Fitness of three candidates: the tests hold it against numpy."""
+    people = [FT.Candidate((w, 1 - w), share) for w, share in ((0.5, 5.0), (0.2, 2.0), (0.9, 9.0))]
+    values = FT.population_fitness(order_vectors(spark, sf_dir), ORDERS.scores, people)
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(values)], "candidate long, fitness double")
+
+
+def _search(run, spark, sf_dir) -> DataFrame:
+    """History of a search. The vectors, which every generation reads, are computed once."""
+    vectors = order_vectors(spark, sf_dir).cache()
+    found = run(lambda people: FT.population_fitness(vectors, ORDERS.scores, people), len(ORDERS.groups))
+    vectors.unpersist()
+    return spark.createDataFrame(found.history, "generation long, best double, mean double, deviation double")
+
+
+@query()
+def genetic_search(spark, sf_dir):
+    return _search(lambda judge, k: O.genetic(judge, k, population=16, generations=3), spark, sf_dir)
+
+
+@query()
+def cma_es_search(spark, sf_dir):
+    return _search(lambda judge, k: O.cma_es(judge, k, generations=4), spark, sf_dir)

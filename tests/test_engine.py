@@ -1,10 +1,15 @@
 import duckdb
+import numpy as np
 import pytest
 
+from patternscore.operators import fitness as FT
 from patternscore.operators import grouping as G
+from patternscore.operators import networks as N
+from patternscore.operators import optimise as O
 from patternscore.operators import preprocess as P
 from patternscore.operators import scoring as S
 from patternscore.plans.registry import ORACLE_SQL, QUERIES
+from patternscore.sources import tables as T
 
 DATA = "/root/testdata/sf0.001"
 
@@ -60,3 +65,69 @@ def test_groups_partition_the_columns(spark):
     for groups in (G.linked_groups(corr, list("abcd"), 2), G.greedy_groups(corr, list("abcd"), 2), G.random_groups(list("abcd"), 2)):
         assert sorted(c for g in groups for c in g) == list("abcd")
     assert any({"a", "b"} <= set(g) for g in G.linked_groups(corr, list("abcd"), 2))
+
+
+def plain_fitness(rows, p):
+    s = -rows @ np.array(p.weights)
+    flags = s > np.percentile(s, 100 - p.share)
+    if not flags.any() or 2 * flags.sum() >= len(s):
+        return 0.0
+    a, b = s[flags], s[~flags]
+    pooled = np.sqrt(((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / (len(s) - 2)) if min(len(a), len(b)) > 1 else 0
+    d = abs(a.mean() - b.mean()) / pooled if pooled > 1e-10 else 0
+    n = [(s > np.percentile(s, 100 - x)).sum() for x in (max(1, p.share - 0.5), p.share, min(10, p.share + 0.5))]
+    return 100 * (0.45 * FT.separation_quality(d) + 0.25 * FT.rate_quality(100 * len(a) / len(s)) + 0.2 * min(1, np.exp(-5 * np.std(n) / np.mean(n))) + 0.1 * FT.diversity(p.weights))
+
+
+def test_fitness_of_a_population(spark):
+    rows = np.round(np.random.default_rng(3).normal(-3, 1, (400, 4)), 3)
+    df = spark.createDataFrame(rows.tolist(), "a double, b double, c double, d double")
+    people = [FT.Candidate.of(np.array([*w, t])) for w, t in (((1, 1, 1, 1), 5), ((0.1, 0.5, 0.9, 0.3), 1.2), ((1, 0.2, 0.2, 0.1), 9.9))]
+    got = FT.population_fitness(FT.counted_vectors(df, list("abcd")), list("abcd"), people)
+    assert got == pytest.approx([plain_fitness(rows, p) for p in people], abs=1e-6)
+    one = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)] * 20, df.schema)
+    assert FT.population_fitness(FT.counted_vectors(one, list("abcd")), list("abcd"), people) == [0.0] * 3
+    assert FT.population_fitness(FT.counted_vectors(one.limit(0), list("abcd")), list("abcd"), people) == [0.0] * 3
+
+
+def test_searches_find_an_optimum_and_repeat():
+    aim = np.array([0.6, 0.3, 0.1])
+    judge = lambda people: [100 - 50 * float(((np.array(p.weights) - aim) ** 2).sum()) - abs(p.share - 4) for p in people]
+    for search in (lambda: O.genetic(judge, 3, population=60, generations=40), lambda: O.cma_es(judge, 3)):
+        found = search()
+        assert found.fitness > 99
+        assert search().best == found.best
+        assert abs(sum(found.best.weights) - 1) < 1e-9 and 1 <= found.best.share <= 10
+
+
+def test_hill_climbing_finds_the_arcs(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 3, 2000)
+    b, c = (a + (rng.random(2000) < 0.1)) % 3, rng.integers(0, 2, 2000)
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), c.tolist(), strict=True)), "a long, b long, c long")
+    found = N.hill_climb(df, ["a", "b", "c"])
+    assert {frozenset((p, x)) for x, ps in found.items() for p in ps} == {frozenset("ab")}
+    assert N.hill_climb(df.limit(0), ["a", "b"]) == {"a": [], "b": []}
+    new = spark.createDataFrame([(0, 2, 0), (9, 9, 9)], df.schema)
+    assert N.factorised_log_likelihood(new, {"a": [], "b": ["a"]}, table_of=df).where("a = 9").first()["ll"] == -20.0
+
+
+def test_more_groups():
+    corr = np.eye(6)
+    for i, j in ((0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)):
+        corr[i, j] = corr[j, i] = 0.9
+    assert G.linked_components(corr, list("abcdef"), 3) == [list("abc"), list("def")]
+    assert sorted(G.kmeans_groups(corr, list("abcdef"), 3)) == [list("abc"), list("def")]
+    assert G.merged_small([list("abc"), ["d"], ["e", "f"], list("ghi")]) == [list("abcdf"), list("ghie")]
+
+
+def test_tables_are_read_checked_and_written(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\ninf,x\nNaN,\n" + "1.5,y\n" * 8)
+    df = T.validated(T.read_csv(spark, str(tmp_path / "t.csv"), "a double, b string"))
+    assert df.where("a = double('inf')").count() == 1 and df.where("b IS NULL").count() == 1 and df.where("isnan(a)").count() == 1
+    with pytest.raises(ValueError):
+        T.validated(df.limit(9))
+    with pytest.raises(ValueError):
+        T.validated(df.select("a"))
+    T.write_results(df, str(tmp_path / "out"), "csv")
+    assert T.read_csv(spark, str(tmp_path / "out"), "a double, b string").count() == 10
