@@ -51,7 +51,7 @@ _RUN = 128
 DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "co")
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|kontakt|courriel|correo|reach)\b",
-    "ip": r"(?i)\b(?:ip|address|host|server|adresse|login|client|from)\b",
+    "ip": r"(?i)\b(?:ip(?:v[46])?|address|host|server|adresse|login|client|from)\b",
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta|payment)\b",
     "phone": r"(?i)\b(?:phone|tel|call|fax|mobile|cell|telefon|téléphone|teléfono|whatsapp|sms)\b",
 }
@@ -59,6 +59,10 @@ AGAINST = r"(?i)\b(?:version|isbn|invoice|order|serial|section|chapter|build|tok
 CARD_STARTS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 COUNTRY_CODES = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 
+#: Ranges in use of IPv6 (global, unique local, link-local, multicast, and zero for loopback and the like), and eight single bytes: a key's fingerprint or a hardware address.
+V6_STARTS = r"(?i)^(?:[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]|ff[0-9a-f]{2}|0{1,4}):"
+BYTES = r"^(?:[0-9A-Fa-f]{2}:){7}[0-9A-Fa-f]{2}$"
+
 VOTES = ("format", "checksum", "gazetteer", "context", "surroundings")
 
 
@@ -78,8 +82,8 @@ def _luhn(digits: Column) -> Column:
     return F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
 
 
-def _valid(kind: str, value: Column) -> Column:
-    if kind == "ip":
+def _valid(kind: str, value: Column, base: bool) -> Column:
+    if kind == "ip" and base:  # the looser form, IPv6, is well formed by its pattern
         part = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
         return value.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
@@ -110,7 +114,7 @@ def _matches(text: Column, kind: str, base: bool) -> Column:
         )
 
     placed = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(pairs) / _RUN).cast("int")), F.struct(F.lit(0).alias("at"), F.slice(none, 2, 1).alias("out")), place_run, lambda acc: acc["out"])
-    spans = F.transform(placed, lambda x: _struct(x["start"], kind, x["value"], base, text, _valid(kind, x["value"])))
+    spans = F.transform(placed, lambda x: _struct(x["start"], kind, x["value"], base, text, _valid(kind, x["value"], base)))
     return F.when(text.rlike(NEEDS[kind, base]), spans).otherwise(F.array().cast(_SPANS))
 
 
@@ -121,8 +125,8 @@ def candidate_spans(docs: DataFrame) -> DataFrame:
     """doc_id and spans: all base matches and looser candidates of each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = [_matches(F.col("text"), k, b) for k in KINDS for b in (True, False)]
-    # A base match that fails its test is a candidate of a kind only if it is a long digit run.
-    keep = F.filter(F.concat(*parts), lambda s: s["valid"] | ((s["kind"] == 2) & F.length(_digits(s["value"])).between(14, 19)))
+    # Looser matches are all candidates. A base match that fails its test is one of a kind only if it is a long digit run.
+    keep = F.filter(F.concat(*parts), lambda s: ~s["base"] | s["valid"] | ((s["kind"] == 2) & F.length(_digits(s["value"])).between(14, 19)))
     spans = F.transform(keep, lambda s: s.withField("base", s["base"] & s["valid"]))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", spans.alias("spans"))
 
@@ -143,12 +147,13 @@ def labeled(spans: DataFrame) -> DataFrame:
     """A row per candidate with its votes (1, 0, -1) and shapes."""
     value, digits = F.col("value"), _digits(F.col("value"))
     strict = F.col("base")
+    v6 = value.contains(":")
     votes = {
         "format": _vote(strict, ~F.col("valid")),
-        "checksum": _by_kind({1: _vote(F.col("valid")), 2: _vote(_luhn(digits), ~_luhn(digits)), 3: _vote(F.length(digits).between(10, 15), F.length(digits) < 10)}),
+        "checksum": _by_kind({1: _vote(F.col("valid") & ~(v6 & value.rlike(BYTES)), v6 & value.rlike(BYTES)), 2: _vote(_luhn(digits), ~_luhn(digits)), 3: _vote(F.length(digits).between(10, 15), F.length(digits) < 10)}),
         "gazetteer": _by_kind({
             0: _vote(F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1)).isin(*DOMAIN_ENDS), ~value.rlike(r"[A-Za-z]{2,}$")),
-            1: _vote(value.rlike(r"^(?:10|127|192\.168|172)\.") | value.rlike(r"^[1-9][0-9]{1,2}\."), value.rlike(r"^0")),
+            1: F.when(v6, _vote(value.rlike(V6_STARTS), ~value.rlike(V6_STARTS))).otherwise(_vote(value.rlike(r"^(?:10|127|192\.168|172)\.") | value.rlike(r"^[1-9][0-9]{1,2}\."), value.rlike(r"^0"))),
             2: _vote(digits.rlike(CARD_STARTS), ~digits.rlike(r"^[2-6]")),
             3: _vote(F.when(value.startswith("+"), digits.rlike(COUNTRY_CODES)).otherwise(digits.rlike(r"^[2-9]..[2-9]")), digits.rlike(r"^(?:0000|1234)")),
         }),

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from patternscore.llm.pii import KINDS, find_pii, reliabilities
+from patternscore.llm.pii import KINDS, candidate_spans, find_pii, reliabilities
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -63,6 +63,21 @@ def test_spans_hold_base_and_added_ones(spark):
     assert got[101]["spans"] == "" and got[102]["spans"] == ""
 
 
+def test_full_ipv6_addresses_are_judged(spark):
+    rows = [(i, f"text {i} from ip 10.0.0.{i} then") for i in range(60)]
+    v6 = {100: "2001:0db8:85a3:0000:0000:8a2e:0370:7334", 101: "fe80:0:0:0:202:b3ff:fe1e:8329"}
+    rows += [(d, f"the address {v} answers") for d, v in v6.items()]
+    rows += [(110 + i, f"hash is 9{i}:3e:a7:0{i}:5c:d1:44:b{i} end") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in candidate_spans(df).collect()}
+    assert all(len(s) == 1 for s in found.values())
+    got = {r["doc_id"]: r for r in find_pii(df).collect()}
+    for d, v in v6.items():
+        assert got[d]["spans"] == f"ip:12:{12 + len(v)}" and got[d]["n_ip"] == 0
+    assert all(got[110 + i]["spans"] == "" for i in range(5))
+    assert all(got[i]["spans"] == said(brute(t)) for i, t in rows[:60])
+
+
 def test_no_rows_and_no_spans(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert find_pii(none).collect() == []
