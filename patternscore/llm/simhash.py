@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass, dealt_in_blocks, saved, signed, text_bytes, text_hash
 from .graph import components
+from .near_copies import near_copies
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _LANES = np.uint64(0x0101010101010101)
@@ -259,12 +260,12 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> Da
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """One row of docs from each of the components of simhash_components(), with all its columns.
+def near_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of docs from each group of near_copies(), with all its columns.
 
     The smallest doc_id stays (null comes last), then the smallest hash of the text; of rows that repeat both, any one.
     """
-    rows = _rooted(docs, radius, shingle).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    rows = near_copies(docs, shingle, least).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("k"))
     keep = saved(first.select("k.doc_id", "k.th", "k.n"), "kept")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (text_hash("d.text") == F.col("k.th"))

@@ -58,6 +58,22 @@ def test_copies_leave_one(spark, tables):
     assert got == want and 7 in got and not {200, 201} & set(got)
 
 
+def test_near_copies_go_by_exact_similarity(spark):
+    rng = random.Random(8)
+    texts, like = [], lambda a, b: len(a & b) / len(a | b)
+    for _ in range(60):
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.randrange(60, 200))]
+        texts.append(words)
+        n = rng.choice([2, 5, 9, 20])  # the last words change: similarities from about 0.7 to 0.98
+        texts.append(words[:-n] + [f"z{rng.randrange(5000)}" for _ in range(n)])
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    pairs = [like(sets[2 * i], sets[2 * i + 1]) for i in range(60)]
+    assert sum(0.8 <= p < 0.95 for p in pairs) > 10 and sum(p < 0.8 for p in pairs) > 3
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] for r in near_dedup(docs).collect()}
+    assert got == {2 * i for i in range(60)} | {2 * i + 1 for i, p in enumerate(pairs) if p < 0.8}
+
+
 def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "q r s t u", "x"), (None, "q r s t u", "x"), (2, "z", None)], "doc_id long, text string, th string")
     got = sorted(near_dedup(docs).collect(), key=str)
