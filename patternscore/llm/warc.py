@@ -20,14 +20,21 @@ from pyspark.sql import functions as F
 from .common import arrow_pass
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-#: A header longer than this is not taken for one.
-MOST_HEADER = 1 << 16
+#: Header fields that candidates() reads.
+_NAMES = (b"content-length", b"warc-type", b"warc-record-id", b"warc-payload-digest", b"warc-refers-to")
+#: Bytes of a record beside url and payload, at most (two page numbers, a digest, lengths and fixed text).
+_FRAME = 1024
+#: Records of up to most_bytes / records_per_file bytes are written first, then those of up to so many times that, and so on.
+_STEP = 16
 _FIELDS = "file string, size long, start long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, records_per_file: int = 10_000) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, records_per_file: int = 10_000, most_bytes: int = 1 << 28) -> None:
     """Write one record per row of pages(page_id, url, html) to gzip-compressed archives under path.
 
+    An archive holds at most ``records_per_file`` records and, before compression, ``most_bytes`` bytes; a larger record has its own.
+    Records are written by size class, each class in files of as many records as surely fit.
+
     Of equal payloads of at least ``least_bytes`` bytes the smallest page_id is a response and the others are revisits
     without payload. Rows that repeat the smallest page_id are responses too. A null html is empty, a null url is left out,
     line ends in a url are deleted; a null page_id is never the smallest unless all are null.
@@ -49,7 +56,20 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, records_
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block),
         F.lit("\r\n\r\n"), block, F.lit("\r\n\r"),
     )
-    base.select(record.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    whole = F.col("n") + F.octet_length("url") + _FRAME
+    bounds = [max(1, most_bytes // records_per_file)]
+    while bounds[-1] < most_bytes:
+        bounds.append(bounds[-1] * _STEP)
+    size_class = F.lit(len(bounds))
+    for i in reversed(range(len(bounds))):
+        size_class = F.when(whole <= bounds[i], i).otherwise(size_class)
+    sizes = pages.select(F.octet_length(html).alias("n"), F.coalesce("url", F.lit("")).alias("url")).select(size_class.alias("c"))
+    classes = sorted(r["c"] for r in sizes.distinct().collect())  # at most a few
+    for c in classes or [0]:
+        fit = records_per_file if c == 0 else max(1, min(records_per_file, most_bytes // bounds[c])) if c < len(bounds) else 1
+        part = base.where(size_class == c) if len(classes) > 1 else base
+        out = part.select(record.alias("value")).write.mode("append" if c != min(classes, default=0) else "error")
+        out.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", fit).text(path)
 
 
 def _urn(value: bytes) -> int | None:
@@ -60,15 +80,26 @@ def _urn(value: bytes) -> int | None:
 def candidates(data: bytes) -> list[tuple]:
     """(start, next, page_id, payload_bytes, payload_digest, record_type, refers_to) of everything in data that parses as a record."""
     out = []
-    for m in MAGIC.finditer(data):
-        end = data.find(b"\r\n\r\n", m.end() - 2, m.end() + MOST_HEADER)
-        if end < 0:
-            continue
-        head = {}
-        for line in data[m.end() : end].split(b"\r\n"):
+    # From the last magic string to the first: those before one blank line share it, so each header line is parsed once.
+    ends, end = [], -1
+    magics = list(MAGIC.finditer(data))
+    for m in magics:
+        if end < m.end() - 2:
+            end = data.find(b"\r\n\r\n", m.end() - 2)
+            if end < 0:
+                break
+        ends.append(end)
+    until, head, known = -1, {}, {}
+    for k in reversed(range(len(ends))):
+        m, end = magics[k], ends[k]
+        if end != until:
+            until, head, known = end, {}, {}
+        own = {}
+        for line in data[m.end() : min(end, magics[k + 1].end() - 2) if k + 1 < len(ends) and ends[k + 1] == end else end].split(b"\r\n"):
             name, sep, value = line.partition(b":")
-            if sep:
-                head.setdefault(name.strip().lower(), value.strip())
+            if sep and (name := name.strip().lower()) in _NAMES:
+                own.setdefault(name, value.strip())
+        head = head | own  # the first of a name counts
         if not re.fullmatch(rb"[0-9]{1,18}", head.get(b"content-length", b"")):
             continue
         a, b = end + 4, end + 4 + int(head[b"content-length"])
@@ -81,9 +112,11 @@ def candidates(data: bytes) -> list[tuple]:
             said = re.search(rb"(?i)\r\ncontent-length: *([0-9]{1,18})", http)
             n, digest = int(said[1]) if said else 0, head.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode("latin-1")
         else:
-            n, digest = len(payload), hashlib.sha256(payload).hexdigest()
+            if b not in known:
+                known[b] = len(payload), hashlib.sha256(payload).hexdigest()
+            n, digest = known[b]
         out.append((m.start(), b + 4, _urn(head.get(b"warc-record-id", b"")), n, digest, kind, _urn(head.get(b"warc-refers-to", b""))))
-    return out
+    return out[::-1]
 
 
 def _scanner():
@@ -94,7 +127,10 @@ def _scanner():
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
             data = content.as_py()
             data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-            for row in candidates(data):
+            found = candidates(data)
+            if data and not found:
+                raise ValueError(f"{path.as_py()}: no record in {len(data)} bytes")
+            for row in found:
                 out["file"].append(path.as_py())
                 out["size"].append(len(data))
                 for k, v in zip(names, row, strict=True):
@@ -122,13 +158,17 @@ def reached(start: np.ndarray, succ: np.ndarray) -> np.ndarray:
 
 def _chain(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("start", ignore_index=True)
-    return rows[reached(rows["start"].to_numpy(), rows["next"].to_numpy())]
+    kept = rows[reached(rows["start"].to_numpy(), rows["next"].to_numpy())]
+    end = kept["next"].max() if len(kept) else 0
+    if end != rows["size"][0]:
+        raise ValueError(f"{rows['file'][0]}: its records end at byte {end} of {rows['size'][0]}")
+    return kept
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records under path that each archive's chain reaches: file, size, start, next and header fields.
 
-    A damaged archive yields the records before the damage. An archive must be under 2 GB (Spark's limit for a binary file), which bounds its group of offsets.
+    An archive whose chain ends before the archive does is an error. An archive must be under 2 GB (Spark's limit for a binary file), which bounds its group of offsets.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return arrow_pass(files, lambda: _scanner(), _FIELDS, rows=1).groupBy("file").applyInPandas(_chain, _FIELDS)

@@ -1,6 +1,9 @@
+import gzip
 import hashlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from patternscore.llm.warc import candidates, page_records, reached, read_archives, write_archives
 
@@ -31,6 +34,25 @@ def test_round_trip(spark, tmp_path):
         assert sorted((tuple(r) for r in page_records(read_archives(spark, path)).collect()), key=repr) == brute(rows)
 
 
+def test_long_urls_and_archives_cut_by_bytes(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"page {i} " * 20) for i in range(40)] + [(100, "data:" + "u" * 100_000, "long url"), (101, "http://a/WARC/1.1", "x"), (102, "u", "y" * 60_000), (103, "u", "WARC/1.1\r\n" * 20_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/long"
+    write_archives(df, path, records_per_file=20, most_bytes=50_000)
+    got = read_archives(spark, path)
+    assert sorted((tuple(r) for r in page_records(got).collect()), key=repr) == brute(rows)
+    sizes = got.groupBy("file").agg(F.first("size").alias("size"), F.count("*").alias("n")).collect()
+    assert all(r["n"] <= 20 and (r["size"] <= 50_000 or r["n"] == 1) for r in sizes)
+
+
+def test_a_chain_that_ends_early_is_an_error(spark, tmp_path):
+    for i, tail in enumerate((FAKE + "?" + FAKE, "?")):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "part-0.gz").write_bytes(gzip.compress(tail.encode()))
+        with pytest.raises(Exception, match="records end at byte|no record in"):
+            read_archives(spark, f"file://{tmp_path}/d{i}").collect()
+
+
 def test_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
