@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,62 +11,39 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import dropped, dropped_since, mark, new_path, saved, shared_dir  # noqa: F401
+
 #: Rows and bytes in an Arrow batch: texts can be long, and the JVM keeps batches outside its heap.
 ARROW_ROWS, ARROW_BYTES = "1000", str(2 << 20)
 #: The characters that separate words and that exact dedup deletes.
 SPACES = " \t\n\x0b\f\r"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = _own_dirs.setdefault(spark.sparkContext.applicationId, "")
-        if not found:
-            found = _own_dirs[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="corpus-")
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and lost executors cost no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._saved_at = path
-    return out
 
+def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | Iterator[dict] | None]], schema: str, rows: int | None = None) -> DataFrame:
+    """mapInArrow with a function from a batch to columns, or to an iterator of such; make() runs once a task and may keep state.
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete saved() tables that no later step reads."""
-    for df in tables:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, rows: int | None = None) -> DataFrame:
-    """mapInArrow with a function from a batch to columns; make() runs once a task and may keep state.
-
-    rows: f gets slices of a batch of at most so many rows, which bounds what it returns at once.
+    rows: f gets slices of a batch of at most so many rows, which bounds what it returns at once. The size of Arrow batches
+    is a setting of the session that Spark reads when the plan runs, so it stays as set here.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     target = _arrow_schema(df.sparkSession, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
-        for out in (f(b.slice(i, rows or len(b))) for b in batches for i in range(0, len(b), rows or max(1, len(b)))):
-            if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) if not isinstance(out[x.name], pa.Array) else out[x.name].cast(x.type) for x in target], schema=target)
+    def outputs(f, batches):
+        for b in batches:
+            for i in range(0, len(b), rows or max(1, len(b))):
+                out = f(b.slice(i, rows or len(b)))
+                if isinstance(out, dict):
+                    yield out
+                elif out is not None:
+                    yield from out
         last = getattr(f, "last", None)
         if last is not None and (out := last()) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in target], schema=target)
+            yield out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in outputs(make(), batches):
+            yield pa.RecordBatch.from_arrays([out[x.name].cast(x.type) if isinstance(out[x.name], pa.Array) else pa.array(out[x.name], x.type) for x in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
@@ -178,23 +153,24 @@ def in_blocks(rows: DataFrame, keys: list[str], item: str, block: int) -> DataFr
 
 
 class BitFilter:
-    """A set of 64-bit hashes kept as a bitmap of fixed size (2**log2 bits, 2 MB at the default).
+    """A set of 64-bit hashes kept as a bitmap: about 32 bits a hash, from 8 KB to ``most`` bits (16 MB).
 
     It answers "maybe" or "no" and so only spares the exact join that always follows from rows that
-    cannot match. Its size does not depend on the data; as it fills, it spares less and stays right.
+    cannot match. Beyond its largest size it fills, spares less and stays right.
     """
 
     def __init__(self, bits: np.ndarray, log2: int):
         self.bits, self.log2 = bits, log2
 
     @classmethod
-    def of(cls, df: DataFrame, column: str, log2: int = 24) -> BitFilter:
-        """Of a bigint column: at most 2**log2 / 64 rows reach the driver."""
+    def of(cls, df: DataFrame, column: str, most: int = 27) -> BitFilter:
+        """Of a bigint column of a table that is cheap to read twice; at most 2**most / 64 pairs of numbers reach the driver."""
+        rows = df.where(F.col(column).isNotNull())
+        log2 = min(most, max(16, (32 * rows.count()).bit_length()))
         slot = F.pmod(F.col(column), F.lit(1 << log2))
-        words = df.where(F.col(column).isNotNull()).select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
+        words = rows.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b")).toArrow()
         bits = np.zeros(1 << (log2 - 6), np.uint64)
-        for r in words.toLocalIterator():
-            bits[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
+        bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
         return cls(bits, log2)
 
     def has(self, h: np.ndarray) -> np.ndarray:
