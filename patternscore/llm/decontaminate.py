@@ -60,9 +60,9 @@ def _scanner(window, gram, lengths, whole, bits: BitFilter | None):
     return make
 
 
-def _scan(df: DataFrame, key: str, name: str, *args) -> DataFrame:
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("id"), text_hash().alias("th"), text_bytes().alias("text"))
-    return saved(arrow_pass(rows, _scanner(*args), f"uid long, id long, th long, n_words long, cands {_CANDS}"), name)
+def _scan(df: DataFrame, key: str, kind: str, name: str, *args) -> DataFrame:
+    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast(kind).alias("id"), text_hash().alias("th"), text_bytes().alias("text"))
+    return saved(arrow_pass(rows, _scanner(*args), f"uid long, id {kind}, th long, n_words long, cands {_CANDS}"), name)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, gram: int = 7) -> DataFrame:
@@ -70,7 +70,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, gram: int
 
     A word is hit inside any occurrence of an item's window; a document is contaminated if it has a hit and
     at least 5 % of its words are hit. Null and empty texts have no words, hit nothing and are clean; items
-    without words or without id have no windows; rows that repeat each get their row; other columns are ignored.
+    without words or without id have no windows; item ids may be of any type and sort as strings; rows that repeat each get their row; other columns are ignored.
     """
     return _judged(docs, items, window, gram).drop("th")
 
@@ -84,11 +84,11 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = 13, gram: i
 
 def _judged(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
     items = items.where(F.col("item_id").isNotNull())
-    item_rows = _scan(items, "item_id", "item-windows", window, gram, [], True, None)
+    item_rows = _scan(items, "item_id", "string", "item-windows", window, gram, [], True, None)
     lengths = [r["n_words"] for r in item_rows.where((F.col("n_words") > 0) & (F.col("n_words") < window)).select("n_words").distinct().collect()]  # under 13 numbers
-    wanted = item_rows.select("id", F.explode("cands").alias("c")).groupBy("c.fp", "c.n", "c.w").agg(F.collect_set(F.col("id").cast("string")).alias("items"))
+    wanted = item_rows.select("id", F.explode("cands").alias("c")).groupBy("c.fp", "c.n", "c.w").agg(F.collect_set("id").alias("items"))
     bits = BitFilter.of(item_rows.select(F.explode("cands.fp").alias("fp")), "fp")
-    scanned = _scan(docs, "doc_id", "doc-windows", window, gram, sorted(lengths), False, bits)
+    scanned = _scan(docs, "doc_id", "long", "doc-windows", window, gram, sorted(lengths), False, bits)
     found = scanned.select("uid", F.explode("cands").alias("c")).select("uid", "c.fp", "c.n", "c.w", "c.s").join(wanted, ["fp", "n", "w"])
     per_doc = found.groupBy("uid").agg(F.collect_set(F.struct("s", "n")).alias("spans"), F.collect_set("items").alias("sets"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, dealt_in_blocks, saved, signed, text_bytes, text_hash
+from .common import arrow_pass, distinct, dealt_in_blocks, saved, signed, text_bytes, text_hash
 from .graph import components
 from .near_copies import near_copies
 
@@ -28,6 +28,11 @@ _LANES = np.uint64(0x0101010101010101)
 ROW_COST, PAIR_COST = 4.0, 0.004
 
 
+#: Parts of a plan, the largest threshold of a part, and the radius that they reach: its thresholds + 1 sum to radius + 1.
+MOST_PARTS, MOST_THRESHOLD = 5, 2
+MOST_RADIUS = MOST_PARTS * (MOST_THRESHOLD + 1) - 1
+
+
 def bit_majorities(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Of consecutive groups of hashes, the 64 bits that are set in over half of each group."""
     starts, owners = [], []
@@ -133,7 +138,7 @@ def agreement(pairs: np.ndarray, n: int, part: list[int]) -> np.ndarray:
     return out
 
 
-def probe_plan(pairs: np.ndarray, n: int, radius: int, most_parts: int = 5) -> list[tuple[list[int], int]]:
+def probe_plan(pairs: np.ndarray, n: int, radius: int, most_parts: int = MOST_PARTS) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each part: the cheapest thresholds by dynamic programming, over 2 to most_parts parts."""
     best = (np.inf, [])
     for m in range(2, most_parts + 1):
@@ -143,7 +148,7 @@ def probe_plan(pairs: np.ndarray, n: int, radius: int, most_parts: int = 5) -> l
             chance = np.cumsum(agreement(pairs, n, part))
             new: dict[int, tuple[float, list[int]]] = {}
             for spent, (cost, ts) in states.items():
-                for t in range(-1, min(2, radius - spent) + 1):
+                for t in range(-1, min(MOST_THRESHOLD, radius - spent) + 1):
                     ball = sum(comb(len(part), d) for d in range(t + 1))
                     c = cost + (n * ball * ROW_COST + n * n / 2 * chance[min(t, len(chance) - 1)] * PAIR_COST if t >= 0 else 0)
                     if (u := spent + t + 1) not in new or c < new[u][0]:
@@ -178,7 +183,7 @@ def _prober(plan):
 def forest(f: np.ndarray, own: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links between fingerprints of a bucket that connect what all its links connect. Probes (own is false) link to own rows only."""
     out: list[tuple[int, int]] = []
-    mine, probes = np.unique(f[own]), np.unique(f[~own])
+    mine, probes = distinct(f[own]), distinct(f[~own])
     if len(mine) <= 256 and len(mine) + len(probes) <= 4096:
         a, b = np.nonzero(np.bitwise_count(mine[:, None] ^ np.concatenate((mine, probes))[None, :]) <= radius)
         keep = (b > a) | (b >= len(mine))
@@ -240,7 +245,12 @@ def _linker(radius: int):
 
 
 def near_links(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
-    """u, v: links between distinct fingerprints (column fp) that connect all pairs within the radius."""
+    """u, v: links between distinct fingerprints (column fp) that connect all pairs within the radius.
+
+    The plans reach a radius of 14 (five parts, each probed at up to 2 bits); beyond that the radius is refused.
+    """
+    if not 0 <= radius <= MOST_RADIUS:
+        raise ValueError(f"radius {radius} is not between 0 and {MOST_RADIUS}")
     n = fps.count()
     if n < 2:
         return fps.sparkSession.createDataFrame([], "u long, v long")
@@ -282,8 +292,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFra
 def _rooted(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
     """doc_id, th, fp, root (a fingerprint) and component_id of every row."""
     each = saved(fingerprints(docs, shingle), "fingerprints")
-    distinct = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(near_links(distinct, radius))
-    keyed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    own = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    roots = components(near_links(own, radius))
+    keyed = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = keyed.join(keyed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
     return each.join(named, "fp")
