@@ -1,37 +1,44 @@
 """Best-fit packing of tokenised documents in bulk-synchronous rounds.
 
-Pieces and gaps are whole numbers of tokens up to the sequence length, so range-sorting them leaves a run of equal
-pieces per length and runs of equal gaps. A round takes the pieces of one length, longest first, and sweeps the
-sorted gaps for the successor (the smallest that fits): ranks decide which piece of the run gets which gap of the run,
-the gaps shrink, and the sweep repeats until the run is placed, opening sequences where no gap fits. Runs, of which
-there are at most a few per length whatever the input, are all that the rounds need to see; pieces get their rank from
-windows over (length, hash block) and their place by joining the rounds' rank ranges. Texts are read once and never shuffled.
+Pieces of more than half a sequence open one each. Then rounds repeat: the pieces that have no place and the gaps that are left are
+range-sorted together by size, so a task holds the pieces and gaps of a range of sizes and sweeps them from large to small; each
+piece takes its successor, the smallest gap that holds it, and what is left of the gap stays in the sweep. Pieces whose range has no
+gap left get gaps of the next larger ranges: each range says how much it lacks or has over, the order of the ranges settles who
+gets which stretch of the ranked gaps, and a second sweep places those pieces. Gaps are updated and the next round sorts again.
+When a round places little, the largest pieces (those over half of the longest) open new sequences, best-fit among themselves.
+The driver sees two rows for each task of a sort. Texts are read once and never shuffled.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left, insort
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, saved, text_bytes
 
 #: Chunks of a text that a task remembers the tokens of.
 _MEMO = 800_000
-#: Hash blocks within a length, so that a length which half the pieces share is ranked in many tasks.
-_BLOCKS = 256
+#: Pieces and gaps that one task sweeps.
+_PER_TASK = 250_000
+#: A round that places a smaller share of its pieces is the last before new sequences are opened.
+_LEAST_PLACED = 0.05
+#: Kinds of rows: a piece that has its place, a piece that has none, a gap.
+_PLACED, _FREE, _GAP = 0, 1, 2
 
 
 class Tokens:
     """ids of a text as little-endian uint32 bytes.
 
     A space before a character that is no white space always starts a new token of the byte-level pre-tokeniser, so a
-    text without double spaces is cut there and the ids of each chunk are remembered; other texts are encoded whole.
-    New chunks of a batch are encoded as one text and told apart by the byte lengths of their tokens.
+    text without double spaces is cut there and the ids of each chunk are remembered; other texts, and those that hold the
+    string of a special token, are encoded whole. New chunks of a batch are encoded as one text and told apart by the byte
+    lengths of their tokens. Offsets into the text are not asked for, which halves the time.
     """
 
     def __init__(self, path: str):
@@ -39,7 +46,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -47,13 +54,13 @@ class Tokens:
         self.memo: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Of chunks that each start with a space and a character that is none."""
         if not chunks:
             return []
-        ids = np.array(self.tokenizer.encode("".join(chunks), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(c.encode()) for c in chunks])) + 1
         raw, at, out = ids.tobytes(), 0, []
         for e in (4 * ends).tolist():
@@ -69,7 +76,7 @@ class Tokens:
         for i, text in enumerate(texts):
             first, *rest = text.split(" ")
             unknown = [p for p in rest if p not in memo]
-            if any(not p or p[0].isspace() for p in unknown):
+            if any(not p or p[0].isspace() for p in unknown) or any(x in text for x in self.special):
                 whole.append(i)
                 continue
             cut.append((i, first, rest))
@@ -124,61 +131,175 @@ def _piecer(path: str, most: int, end: int, with_ids: bool):
     return make
 
 
-def best_fit_rounds(counts: dict[int, int], most: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, rank_from, rank_to, sequence of the first rank, offset): where the pieces of each length go."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # room -> runs of sequences (first, number)
-    rooms: list[int] = []
-    plan, opened = [], 0
+class Sweep:
+    """Gaps by room; a piece takes the smallest that holds it. ``opening``: a piece that no gap holds opens a sequence."""
 
-    def put(room, run):
+    def __init__(self, most: int, opening: bool = False):
+        self.most, self.opening, self.rooms, self.mask = most, opening, {}, 0
+
+    def add(self, seq: int, room: int) -> None:
         if room:
-            if room not in gaps:
-                insort(rooms, room)
-            gaps.setdefault(room, []).append(run)
-
-    for length in sorted((x for x in counts if counts[x]), reverse=True):
-        rank, n = 0, counts[length]
-        while rank < n:
-            i = bisect_left(rooms, length)
-            if i == len(rooms):
-                more = -(-(n - rank) // (most // length))
-                room, first, number = most, opened, more
-                opened += more
-            else:
-                room = rooms[i]
-                first, number = gaps[room].pop()
-                if not gaps[room]:
-                    del gaps[room], rooms[i]
-            taken = min(number, n - rank)
-            plan.append((length, rank, rank + taken, first, most - room))
-            if taken < number:
-                put(room, (first + taken, number - taken))
-            put(room - length, (first, taken))
-            rank += taken
-    return plan
-
-
-def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
+            self.rooms.setdefault(room, []).append(seq)
+            self.mask |= 1 << room
+
+    def place(self, piece: int, length: int) -> tuple[int, int] | None:
+        """Sequence and offset."""
+        fits = self.mask >> length
+        if fits:
+            room = length + (fits & -fits).bit_length() - 1
+            seq = self.rooms[room].pop()
+            if not self.rooms[room]:
+                del self.rooms[room]
+                self.mask ^= 1 << room
+        elif self.opening:
+            seq, room = piece, self.most
+        else:
+            return None
+        self.add(seq, room - length)
+        return seq, self.most - room
+
+    def left(self) -> list[tuple[int, int]]:
+        """(sequence, room) of the gaps, small ones first."""
+        return [(seq, room) for room in sorted(self.rooms) for seq in self.rooms[room]]
+
+
+_SWEPT = "kind int, cell int, id long, seq long, size int, at int, cum long"
+
+
+def _sweeper(most: int, opening: bool, by_cell: bool):
+    """Rows (kind, cell, id, size) arrive from large to small, by cell or all of one: where pieces go, and what is left.
+
+    A gap that is left has, as cum, the rooms before it among the gaps that any piece of a smaller range fits, or else -1.
+    """
+
+    def make():
+        now: dict = {"cell": None, "sweep": None, "low": most}
+
+        def closed(out):
+            if now["sweep"] is None:
+                return
+            cum = 0
+            for seq, room in now["sweep"].left():
+                fits = room >= now["low"]
+                out.append((_GAP, now["cell"], seq, 0, room, 0, cum if fits else -1))
+                cum += room * fits
+
+        def begin(cell, out):
+            closed(out)
+            now.update(cell=cell, sweep=Sweep(most, opening), low=most)
+
+        def columns(out):
+            names = ("kind", "cell", "id", "seq", "size", "at", "cum")
+            return dict(zip(names, map(np.array, zip(*out, strict=True)), strict=True)) if out else None
+
+        def f(batch):
+            out: list = []
+            cells = batch.column("cell").to_pylist() if by_cell else [TaskContext.get().partitionId()] * batch.num_rows
+            for cell, kind, i, size in zip(cells, *(batch.column(c).to_pylist() for c in ("kind", "id", "size")), strict=True):
+                if cell != now["cell"]:
+                    begin(cell, out)
+                now["low"] = size
+                if kind == _GAP:
+                    now["sweep"].add(i, size)
+                elif (found := now["sweep"].place(i, size)) is None:
+                    out.append((_FREE, cell, i, 0, size, 0, -1))
+                else:
+                    out.append((_PLACED, cell, i, found[0], size, found[1], -1))
+            return columns(out)
+
+        def last():
+            out: list = []
+            closed(out)
+            return columns(out)
+
+        f.last = last
+        return f
+
+    return make
+
+
+def stretches(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(cell, from, to, target): which stretch of a range's spare room goes to which smaller range.
+
+    ranges: (cell, room over, length lacking) from large sizes to small. A range takes from the nearest larger one first.
+    """
+    out, spare = [], []
+    for cell, over, lacking in ranges:
+        while lacking > 0 and spare:
+            giver, a, b = spare.pop()
+            taken = min(b - a, lacking)
+            out.append((giver, a, a + taken, cell))
+            lacking -= taken
+            if a + taken < b:
+                spare.append((giver, a + taken, b))
+        if over:
+            spare.append((cell, 0, over))
+    return out
+
+
+def sequences(short: DataFrame, most: int, per_task: int = _PER_TASK) -> DataFrame:
+    """id, sequence_id and at of pieces short(id, length) of under ``most`` tokens; a sequence has the id of the piece that opened it."""
+    rows = short.select("id", F.col("length").cast("int").alias("size"))
+    large = rows.where(F.col("size") > most // 2)
+    gaps = large.select("id", (F.lit(most) - F.col("size")).alias("size"))
+    free, placed, few = rows.where(F.col("size") <= most // 2), [large.select("id", F.col("id").alias("seq"), F.lit(0).alias("at"))], False
+
+    def kept(swept: DataFrame, kind: int) -> DataFrame:
+        return swept.where(F.col("kind") == kind)
+
+    def swept(rows: DataFrame, n: int, opening: bool) -> DataFrame:
+        by = [F.desc("size"), F.desc("kind"), F.col("id")]
+        dealt = rows.repartitionByRange(max(1, -(-n // per_task)), *by).sortWithinPartitions(*by)
+        return saved(arrow_pass(dealt, _sweeper(most, opening, False), _SWEPT), "swept")
+
+    while True:
+        state = free.agg(F.count("*").alias("n"), F.max("size").alias("top"), F.min("size").alias("low")).first()
+        if not state["n"]:
+            break
+        gaps = gaps.where(F.col("size") >= state["low"])  # what is smaller holds no piece any more
+        n_gaps = gaps.count()
+        if few or not n_gaps:
+            opens = F.col("size") > state["top"] // 2
+            out = swept(free.where(opens).select(F.lit(_FREE).alias("kind"), "id", "size"), state["n"], True)
+            placed.append(kept(out, _PLACED).select("id", "seq", "at"))
+            gaps, free, few = gaps.union(kept(out, _GAP).select("id", "size")), free.where(~opens), False
+            continue
+        both = free.select(F.lit(_FREE).alias("kind"), "id", "size").union(gaps.select(F.lit(_GAP).alias("kind"), "id", "size"))
+        first = swept(both, state["n"] + n_gaps, False)
+        placed.append(kept(first, _PLACED).select("id", "seq", "at"))
+        free, gaps = kept(first, _FREE), kept(first, _GAP)
+        over = F.coalesce(F.sum(F.when((F.col("kind") == _GAP) & (F.col("cum") >= 0), F.col("size"))), F.lit(0))
+        lacking = F.coalesce(F.sum(F.when(F.col("kind") == _FREE, F.col("size"))), F.lit(0))
+        sums = first.where(F.col("kind") != _PLACED).groupBy("cell").agg(over.alias("over"), lacking.alias("lacking")).collect()  # a row for each task of the sort
+        moves = stretches([(r["cell"], r["over"], r["lacking"]) for r in sorted(sums, key=lambda r: r["cell"])])
+        if moves:
+            plan = F.broadcast(short.sparkSession.createDataFrame(moves, "giver int, a long, b long, target int"))  # under two rows for each task
+            found = gaps.join(plan, (F.col("cell") == F.col("giver")) & (F.col("cum") >= F.col("a")) & (F.col("cum") < F.col("b")), "left")
+            found = saved(found.select("id", "size", "target"), "gaps")
+            meet = free.select(F.lit(_FREE).alias("kind"), "cell", "id", "size").union(found.where("target IS NOT NULL").select(F.lit(_GAP).alias("kind"), F.col("target").alias("cell"), "id", "size"))
+            meet = meet.repartition("cell").sortWithinPartitions("cell", F.desc("size"), F.desc("kind"), "id")
+            second = saved(arrow_pass(meet, _sweeper(most, False, True), _SWEPT), "swept")
+            placed.append(kept(second, _PLACED).select("id", "seq", "at"))
+            free, gaps = kept(second, _FREE), kept(second, _GAP).select("id", "size").union(found.where("target IS NULL").select("id", "size"))
+        free, gaps = free.select("id", "size"), gaps.select("id", "size")
+        few = state["n"] - free.count() < _LEAST_PLACED * state["n"]
+    return reduce(DataFrame.union, placed).select("id", F.col("seq").alias("sequence_id"), F.col("at").cast("long").alias("offset"))
+
+
+def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end: int = 2, with_ids: bool = False, per_task: int = _PER_TASK) -> DataFrame:
     """Pieces of all documents and their place in sequences of at most ``most`` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32 (little-endian uint32 ids), sequence_id, offset (and ids with
-    ``with_ids``). A document is its token ids and ``end``; a null text is empty, so it is one piece of one token. A row is
-    a document even if others repeat it; pieces of equal length are told apart by a row number; other columns are ignored.
-    tokenizer: a path that every executor can open.
+    ``with_ids``). A document is its token ids and ``end``; a null text is empty, so it is one piece of one token. The string of a
+    special token in a text gives that token's id, as the tokenizer does by default. A row is
+    a document even if others repeat it; pieces are told apart by a row number; other columns are ignored.
+    tokenizer: a path that every executor can open. per_task: pieces and gaps that a task sweeps.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     pieces = saved(arrow_pass(rows, _piecer(tokenizer, most, end, with_ids), columns, rows=200).withColumn("id", F.monotonically_increasing_id()), "pieces")
-    full = pieces.where(F.col("length") == most)
-    short = pieces.where(F.col("length") < most).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(_BLOCKS)).cast("int"))
-    sizes = short.groupBy("length", "block").count()
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # under ``most`` rows
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = short.withColumn("r", F.row_number().over(Window.partitionBy("length", "block").orderBy("id")) - 1)
-    ranked = ranked.join(sizes.select("length", "block", before.alias("before")), ["length", "block"]).withColumn("rank", F.col("r") + F.col("before"))
-    plan = docs.sparkSession.createDataFrame(best_fit_rounds(counts, most), "of long, rank_from long, rank_to long, first long, offset long")
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+    full, short = pieces.where(F.col("length") == most), pieces.where(F.col("length") < most)
     keep = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    # Whole sequences take the piece's own number, below zero; the others count from zero.
-    whole = full.select(*keep, (-1 - F.col("id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return placed.select(*keep, (F.col("first") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset").unionByName(whole)
+    placed = short.join(sequences(short, most, per_task), "id").select(*keep, "sequence_id", "offset")
+    # Whole sequences take the piece's own number too, below zero.
+    return placed.unionByName(full.select(*keep, (-1 - F.col("id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from patternscore.llm.packing import Tokens, best_fit_rounds, pack, piece_bounds
+from patternscore.llm.packing import Sweep, Tokens, pack, piece_bounds, sequences, stretches
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
@@ -15,11 +15,10 @@ def encode(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
-ROWS = [(1, None), (2, ""), (3, "Hello, world. It's\n a test"), (4, "two  spaces \n\n x"), (5, " lead"), (6, "trail "), (7, "été 日本 \U0001f600 "), (8, "word " * 3000 + "end"), (9, "x" * 5000), (9, "x" * 5000), (10, "a b  c"), (11, "<|endoftext|> a"), (None, "null id")]
+ROWS = [(1, None), (2, ""), (3, "Hello, world. It's\n a test"), (4, "two  spaces \n\n x"), (5, " lead"), (6, "trail "), (7, "été 日本 \U0001f600 "), (8, "word " * 3000 + "end"), (9, "x" * 5000), (9, "x" * 5000), (10, "a b  c"), (11, "<|endoftext|> a"), (12, "a b<|endoftext|>c <|endoftext|>"), (12, "a b<|endoftext|>c <|endoftext|>"), (None, "null id")]
 ROWS += [(100 + i, " ".join(random.Random(i).choice(["ab", "Cde,", "fgh.\nIj", "12", "-"]) for _ in range(random.Random(i).randrange(700)))) for i in range(60)]
 
 
@@ -56,18 +55,52 @@ def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
 
-def test_rounds_are_best_fit_and_few():
-    rng = random.Random(1)
-    counts = {x: rng.randrange(1, 5000) for x in range(1, 1024)}
-    plan = best_fit_rounds(counts, 1024)
-    used = defaultdict(int)
-    for length, a, b, first, offset in plan:
-        for s in range(first, first + b - a):
-            assert used[s] == offset
-            used[s] += length
-    assert max(used.values()) <= 1024 and {x: sum(b - a for l, a, b, _, _ in plan if l == x) for x in counts} == counts
-    assert len(used) <= 1.02 * -(-sum(k * v for k, v in counts.items()) // 1024)
-    assert len(plan) < 20_000 and len(best_fit_rounds({k: v * 10**6 for k, v in counts.items()}, 1024)) < 20_000  # runs, not pieces
+def placed_well(spark, lengths, per_task, most=1024):
+    """Number of sequences, after every piece was found once and every sequence without gaps."""
+    df = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+    got = sequences(df, most, per_task).collect()
+    assert sorted(r["id"] for r in got) == list(range(len(lengths)))
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r["sequence_id"]].append((r["offset"], lengths[r["id"]]))
+    for parts in seqs.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= most
+    return len(seqs)
+
+
+def lengths_of(kind, rng, n):
+    if kind == "even":
+        return [rng.randrange(1, 1024) for _ in range(n)]
+    if kind == "small":
+        return [rng.randrange(1, 30) for _ in range(n)]
+    if kind == "hot":  # a third of all pieces have one length
+        return [300 if rng.random() < 1 / 3 else rng.randrange(1, 600) for _ in range(n)]
+    return [min(1023, int(rng.expovariate(1 / 120)) + 1) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["even", "small", "hot", "falling"])
+def test_one_task_is_best_fit_and_many_are_near(spark, kind):
+    lengths = lengths_of(kind, random.Random(kind), 1500)
+    best = best_fit(lengths)
+    assert placed_well(spark, lengths, 10**6) == best
+    assert placed_well(spark, lengths, 200) <= best + 12  # a task may leave one sequence part filled
+
+
+def test_sweep_takes_the_successor():
+    s = Sweep(1024)
+    for seq, room in ((1, 500), (2, 300), (3, 301)):
+        s.add(seq, room)
+    assert s.place(9, 301) == (3, 723) and s.place(10, 301) == (1, 524) and s.place(11, 301) is None
+    assert s.place(12, 199) == (1, 825) and s.left() == [(2, 300)]
+    assert Sweep(10, opening=True).place(7, 4) == (7, 0)
+
+
+def test_stretches_settle_who_gets_what():
+    assert stretches([(0, 100, 0), (1, 50, 0), (2, 0, 70), (3, 5, 40), (4, 0, 1)]) == [(1, 0, 50, 2), (0, 0, 20, 2), (0, 20, 60, 3), (3, 0, 1, 4)]
 
 
 def test_memo_forgets_nothing(monkeypatch):
