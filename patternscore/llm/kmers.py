@@ -4,9 +4,9 @@ A window is ``k`` consecutive symbols (words or bytes); its minimiser is the sma
 Consecutive windows with one minimiser form a super-k-mer of at most k - m + 1 windows. Equal windows have equal
 minimisers, so a minimiser met once in the corpus has no repeated window: its windows never travel. The others go
 as packed strings, merged with their copies before the shuffle, to the bucket of their minimiser, where a
-``counter`` finds the repeated windows. Minimisers of over ``bucket`` different strings send each window as a string of its own,
-keyed by the hash of the window, so no bucket grows with the corpus. Documents are known by doc_id and a hash of their
-text; the texts that hold candidates are found with a bitmap of fixed size and joined exactly.
+``counter`` finds the repeated windows. A bucket of over ``bucket`` different strings is dealt again: its strings are cut into
+super-k-mers of the next, longer gram, and in the end into single windows, so no bucket grows with the corpus. Documents are
+known by doc_id and a hash of their text; the texts that hold candidates are found with a bitmap of bounded size and joined exactly.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ class Scheme:
 
     k: int
     split: Callable[[bytes], object]  # a text's symbols, with a len()
-    minimisers: Callable[[object], tuple[np.ndarray, np.ndarray, np.ndarray]]  # super-k-mers: start, number of windows, hash
+    cuts: tuple[Callable[[object], tuple[np.ndarray, np.ndarray, np.ndarray]], ...]  # super-k-mers by ever longer grams: start, number of windows, hash
     pack: Callable[[object, int, int], bytes]  # symbols of a range as one string
     counter: Callable[[list[bytes], list[int]], list[list[tuple[int, int]]]]  # bucket's distinct strings and their counts -> ranges of repeated windows
     bucket: int = 2048  # most different strings of a bucket
@@ -54,7 +54,7 @@ def _scanner(s: Scheme):
             rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), strict=True))
             for doc, th, text in rows:
                 symbols = s.split(text.as_py())
-                start, n, mini = s.minimisers(symbols)
+                start, n, mini = s.cuts[0](symbols)
                 if len(start):
                     out["ph"] += [_packed_hash(s.pack(symbols, a, b)) for a, b in zip(start.tolist(), (start + n + (s.k - 1)).tolist(), strict=True)]
                     out["doc_id"] += [doc] * len(start)
@@ -89,19 +89,40 @@ def _keeper(s: Scheme, bits: BitFilter, join: bytes, every: bool):
     return make
 
 
-def _packer(s: Scheme, with_text: bool):
+def _packer(s: Scheme):
     def make():
         def f(batch):
-            out = {k: [] for k in (("mini", "ph", "packed") if with_text else ("mini", "ph", "doc_id", "th", "start"))}
-            for doc, th, text, marks in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            out = {k: [] for k in ("mini", "ph", "packed")}
+            for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 symbols = s.split(text)
                 for m in marks:
-                    for a, n in [(m["start"], m["n"])] if not m["large"] else [(m["start"] + i, 1) for i in range(m["n"])]:
-                        packed = s.pack(symbols, a, a + n + s.k - 1)
-                        ph = _packed_hash(packed) if m["large"] else m["ph"]
-                        mini = ph if m["large"] else m["mini"]
-                        for c, v in zip(out, (mini, ph, packed) if with_text else (mini, ph, doc, th, a), strict=True):
-                            out[c].append(v)
+                    for c, v in zip(out, (m["mini"], m["ph"], s.pack(symbols, m["start"], m["start"] + m["n"] + s.k - 1)), strict=True):
+                        out[c].append(v)
+            return out
+
+        return f
+
+    return make
+
+
+def _cutter(s: Scheme, level: int):
+    """Strings of a bucket that is too large, cut by the gram of a level; beyond the last gram each window is a string."""
+
+    def make():
+        def f(batch):
+            out = {k: [] for k in ("mini", "ph", "a", "mini2", "ph2", "packed", "c")}
+            for mini, ph, packed, c in zip(*(batch.column(x).to_pylist() for x in ("mini", "ph", "packed", "c")), strict=True):
+                symbols = s.split(packed)
+                if level < len(s.cuts):
+                    start, n, new = s.cuts[level](symbols)
+                    cuts = zip(start.tolist(), n.tolist(), signed(new).tolist(), strict=True)
+                else:
+                    cuts = ((i, 1, None) for i in range(len(symbols) - s.k + 1))
+                for a, n, new in cuts:
+                    part = s.pack(symbols, a, a + n + s.k - 1)
+                    own = _packed_hash(part)
+                    for x, v in zip(out, (mini, ph, a, own if new is None else new, own, part, c), strict=True):
+                        out[x].append(v)
             return out
 
         return f
@@ -171,29 +192,42 @@ def _finisher(s: Scheme, join: bytes, with_text: bool):
     return make
 
 
+def repeats_of(strings: DataFrame, s: Scheme, bucket: int, level: int = 1) -> DataFrame:
+    """mini, ph, spans (ranges of repeated windows) of the strings (mini, ph, packed, c) of all buckets that hold any."""
+    sizes = saved(strings.groupBy("mini").count().where(F.col("count") > bucket).select("mini"), "large-buckets") if level <= len(s.cuts) else None
+    split = sizes is not None and not sizes.isEmpty()
+    own = strings.join(sizes, "mini", "left_anti") if split else strings
+    found = arrow_pass(own.repartition("mini").sortWithinPartitions("mini"), _bucketer(s), f"mini long, ph long, spans {_SPAN}")
+    if not split:
+        return saved(found, "repeats")
+    cut = arrow_pass(strings.join(sizes, "mini", "left_semi"), _cutter(s, level), "mini long, ph long, a int, mini2 long, ph2 long, packed binary, c long", rows=50)
+    cut = saved(cut, "cut-strings")
+    parts = cut.groupBy(F.col("mini2").alias("mini"), F.col("ph2").alias("ph"), "packed").agg(F.sum("c").alias("c"))
+    below = repeats_of(saved(parts, "strings"), s, bucket, level + 1).select(F.col("mini").alias("mini2"), F.col("ph").alias("ph2"), "spans")
+    moved = F.transform("spans", lambda x: F.struct((F.col("a") + x["a"]).alias("a"), (F.col("a") + x["b"]).alias("b")))
+    above = cut.select("mini", "ph", "a", "mini2", "ph2").join(below, ["mini2", "ph2"]).groupBy("mini", "ph").agg(F.flatten(F.collect_set(moved)).alias("spans"))
+    return saved(found.unionByName(above), "repeats")
+
+
 def remove_repeats(docs: DataFrame, s: Scheme, join: bytes, bucket: int | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, size, n_removed, kept_sha256, n_spans (and kept, the remaining text in UTF-8 bytes, if with_text) of each document."""
     bucket, texts = bucket or s.bucket, _texts(docs)
     supers = saved(arrow_pass(texts, _scanner(s), "doc_id long, th long, mini long, ph long, start int, n int", rows=25), "super-kmers")
-    met = saved(supers.groupBy("mini").agg(F.count("*").alias("c"), (F.min("ph") != F.max("ph")).alias("mixed")).where("c > 1"), "minimisers")
-    # Copies of one string are merged before they travel, so a bucket's size is its number of different strings.
-    full = supers.join(met.where((F.col("c") > bucket) & F.col("mixed")).select("mini"), "mini", "left_semi").groupBy("mini", "ph").agg(F.lit(1)).groupBy("mini").count()
-    often = met.select("mini").join(full.where(F.col("count") > bucket).select("mini", F.lit(True).alias("large")), "mini", "left").select("mini", F.coalesce("large", F.lit(False)).alias("large"))
-    marked = saved(supers.join(often, "mini").groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n", "mini", "ph", "large")).alias("marks")), "marks")
-    dropped(supers)
+    met = saved(supers.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1").select("mini"), "minimisers")
+    marked = saved(supers.join(met, "mini").groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n", "mini", "ph")).alias("marks")), "marks")
+    dropped(supers, met)
     bits = BitFilter.of(marked, "th")
     scan = saved(arrow_pass(texts, _keeper(s, bits, join, with_text), "doc_id long, th long, size long, kept_sha256 string, text binary", rows=100), "texts")
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in _KEY]
     held = scan.where("text IS NOT NULL")
     cand = saved(held.alias("l").join(marked.alias("r"), same, "left").select("l.doc_id", "l.th", "l.text", "r.marks"), "candidates")
     dropped(marked)
-    some = cand.where("marks IS NOT NULL")
-    packed = arrow_pass(some, _packer(s, True), "mini long, ph long, packed binary", rows=4)
-    strings = packed.groupBy("mini", "ph", "packed").agg(F.count("*").alias("c"))
-    repeats = saved(arrow_pass(strings.repartition("mini").sortWithinPartitions("mini"), _bucketer(s), f"mini long, ph long, spans {_SPAN}"), "repeats")
-    own = cand.select(*_KEY, F.explode("marks").alias("m")).where("NOT m.large").select("m.mini", "m.ph", *_KEY, "m.start")
-    windows = arrow_pass(some.withColumn("marks", F.filter("marks", lambda m: m["large"])).where(F.size("marks") > 0), _packer(s, False), "mini long, ph long, doc_id long, th long, start int", rows=4)
-    spots = own.unionByName(windows)
+    # Copies of one string are merged before they travel, so a bucket's size is its number of different strings.
+    packed = arrow_pass(cand.where("marks IS NOT NULL").select("text", "marks"), _packer(s), "mini long, ph long, packed binary", rows=4)
+    strings = saved(packed.groupBy("mini", "ph", "packed").agg(F.count("*").alias("c")), "strings")
+    repeats = repeats_of(strings, s, bucket)
+    dropped(strings)
+    spots = cand.select(*_KEY, F.explode("marks").alias("m")).select("m.mini", "m.ph", *_KEY, "m.start")
     ranges = spots.join(repeats, ["mini", "ph"]).select(*_KEY, F.transform("spans", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"] + (s.k - 1)).alias("b"))).alias("spans"))
     spans = ranges.groupBy(*_KEY).agg(F.flatten(F.collect_set("spans")).alias("spans"))
     joined = cand.alias("l").join(spans.alias("r"), same, "left").select("l.doc_id", "l.th", "l.text", "r.spans")

@@ -65,6 +65,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, with_text:
     (kept words joined by one space) of each document, and the kept text with ``with_text``. Null and empty texts have no words;
     rows that repeat each other count as two occurrences and each get their row; other columns are ignored.
     """
-    scheme = Scheme(window, bytes.split, partial(_super_kmers, k=window, m=gram), _pack, partial(count_windows, k=window))
+    cuts = tuple(partial(_super_kmers, k=window, m=m) for m in (gram, (gram + window) // 2))
+    scheme = Scheme(window, bytes.split, cuts, _pack, partial(count_windows, k=window))
     out = remove_repeats(docs, scheme, b" ", with_text=with_text).withColumnRenamed("size", "n_words")
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["n_spans", out["kept"].cast("string").alias("text")] if with_text else []))

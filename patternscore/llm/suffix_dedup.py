@@ -1,8 +1,9 @@
 """Substring dedup on bytes: strings of 400 bytes that start twice, found in suffix arrays.
 
 Windows of one minimiser meet in its bucket (see kmers). There the strings are cut into blocks aligned to the
-minimiser, so equal windows have equal whole blocks; the suffix array of the block sequences, built by linear
-grouping, and its longest common prefixes give the windows whose blocks repeat. Those are compared byte by byte.
+minimiser and blocks are numbered by their bytes, so equal windows have equal whole blocks. The suffix array of the
+numbers, built by linear grouping, and its longest common prefixes put windows of equal blocks in one group; a window is
+repeated if another of its group, at the same place of a block, also has the bytes (under two blocks) that stick out at its ends.
 """
 
 from __future__ import annotations
@@ -85,27 +86,23 @@ def suffix_array(t: list[int]) -> list[int]:
     return out
 
 
-def longest_matches(t: list[int], sa: list[int]) -> list[int]:
-    """For each place, the longest match of its suffix with any other suffix."""
+def common_prefixes(t: list[int], sa: list[int]) -> tuple[list[int], list[int]]:
+    """Rank of each suffix, and for each rank what its suffix has in common with the one before."""
     n = len(t)
-    rank = [0] * n
+    rank, out, h = [0] * n, [0] * n, 0
     for r, i in enumerate(sa):
         rank[i] = r
-    out, h = [0] * n, 0
     for i in range(n):
         if rank[i]:
             j = sa[rank[i] - 1]
             while i + h < n and j + h < n and t[i + h] == t[j + h]:
                 h += 1
-            if h > out[i]:
-                out[i] = h
-            if h > out[j]:
-                out[j] = h
+            out[rank[i]] = h
             if h:
                 h -= 1
         else:
             h = 0
-    return out
+    return rank, out
 
 
 def byte_grams(text: bytes, m: int) -> np.ndarray:
@@ -149,26 +146,36 @@ def repeated_windows(strings: list[bytes], counts: list[int], k: int, m: int, bl
         t += [len(strings) + names.setdefault(s[a : a + block], len(names) + 1) for a in range(r, len(s) - block + 1, block)]
         t.append(i + 1)  # ends this string's matches
     t.append(0)
-    longest = np.array(longest_matches(t, suffix_array(t)))
-    seen: dict[bytes, int] = {}
+    rank, common = common_prefixes(t, suffix_array(t))
+    rank, common = np.array(rank), np.array(common)
+    groups, shared = {}, {}  # for a number of blocks: group of each suffix, and whether it has company
+    for blocks in {max(0, (k - x) // block) for x in range(block)}:
+        own = np.cumsum(common < blocks)[rank] if blocks else np.zeros(len(t), np.int64)
+        groups[blocks], shared[blocks] = own, np.bincount(own)[own] > 1
+    seen: dict[tuple[int, bytes], int] = {}
     likely = []
     for s, f, r in zip(strings, first, shift, strict=True):
         p = np.arange(len(s) - k + 1)
-        b = -((r - p) // block)
-        b = np.where(p <= r, 0, b)
-        ps = np.flatnonzero(longest[f + b] >= (p + k - r - b * block) // block).tolist()
-        likely.append(ps)
-        for x in ps:
-            w = s[x : x + k]
-            seen[w] = seen.get(w, 0) + 1
+        b = np.where(p <= r, 0, -((r - p) // block))
+        ahead = r + b * block - p  # bytes of the window before its first whole block
+        number = np.maximum(0, k - ahead) // block
+        places, keys = [], []
+        for blocks in groups:
+            for x in np.flatnonzero((number == blocks) & shared[blocks][np.minimum(f + b, len(t) - 1)]).tolist():
+                u = min(int(ahead[x]), k)
+                key = (int(groups[blocks][f + b[x]] if blocks else 0) * 2 * k + u * 2 + (blocks & 1), s[x : x + u] + s[x + u + blocks * block : x + k])
+                seen[key] = seen.get(key, 0) + 1
+                places.append(x)
+                keys.append(key)
+        likely.append((places, keys))
     out = []
-    for s, c, ps in zip(strings, counts, likely, strict=True):
+    for s, c, (places, keys) in zip(strings, counts, likely, strict=True):
         if c > 1:
             out.append([(0, len(s) - k + 1)])
             continue
         flags = [False] * (len(s) - k + 1)
-        for x in ps:
-            flags[x] = seen[s[x : x + k]] > 1
+        for x, key in zip(places, keys, strict=True):
+            flags[x] = seen[key] > 1
         out.append(ranges_of(flags))
     return out
 
@@ -188,6 +195,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 32, with_text:
     kept_sha256 of each document, and the kept bytes as text (invalid where a cut splits a character, hence binary) with
     ``with_text``. Rows that repeat each other count as two occurrences and each get their row; other columns are ignored.
     """
-    scheme = Scheme(length, _split, partial(_super_kmers, k=length, m=gram), _pack, partial(repeated_windows, k=length, m=gram), 8192)
+    longer = [gram << i for i in (1, 2, 3) if gram << i <= length]  # powers of two times the gram
+    cuts = tuple(partial(_super_kmers, k=length, m=m) for m in (gram, *longer[-1:]))
+    scheme = Scheme(length, _split, cuts, _pack, partial(repeated_windows, k=length, m=gram), 8192)
     out = remove_repeats(docs, scheme, b"", with_text=with_text).withColumnRenamed("size", "n_bytes")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))

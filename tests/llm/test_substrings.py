@@ -7,7 +7,7 @@ import pytest
 
 from patternscore.llm.kmers import remove_repeats
 from patternscore.llm.substring_dedup import substring_dedup
-from patternscore.llm.suffix_dedup import longest_matches, repeated_windows, suffix_array, suffix_dedup
+from patternscore.llm.suffix_dedup import common_prefixes, repeated_windows, suffix_array, suffix_dedup
 
 
 def brute(rows, k, split, join):
@@ -82,16 +82,14 @@ def test_suffix_array_matches_sorting():
             t = [rng.randrange(1, letters + 1) for _ in range(n)] + [0]
             sa = suffix_array(t)
             assert sa == sorted(range(n + 1), key=lambda i: t[i:])
-            best = longest_matches(t, sa)
-            for i in range(n + 1):
-                want = 0
-                for j in range(n + 1):
-                    if i != j:
-                        h = 0
-                        while max(i, j) + h <= n and t[i + h] == t[j + h]:
-                            h += 1
-                        want = max(want, h)
-                assert best[i] == want
+            rank, common = common_prefixes(t, sa)
+            assert [sa[r] for r in rank] == list(range(n + 1))
+            for r in range(1, n + 1):
+                i, j = sa[r - 1], sa[r]
+                h = 0
+                while max(i, j) + h <= n and t[i + h] == t[j + h]:
+                    h += 1
+                assert common[r] == h
 
 
 def test_bucket_windows_match_counting():
