@@ -1,50 +1,85 @@
 """Exact dedup with an extendible-hash index on shared files.
 
-The directory maps hash prefixes to buckets; it doubles while a bucket holds more than ``bucket_rows``
-rows, up to 2**16 entries. Tasks merge copies of a text before the shuffle, so a text that fills a third
-of the corpus sends one row a task. Owner tasks hold ranges of keys, chain texts whose 64-bit key is equal,
-compare their bytes and write the index (one row per distinct text, without the text) to the shared folder.
-Documents then look up their group in it.
+The directory is a set of key ranges, one a bucket: it doubles while a bucket holds more than ``bucket_rows`` different keys, bit by
+bit and as deep as the keys go. Tasks merge copies of a text before the shuffle, so a text that fills a third
+of the corpus sends one row a task. Each owner task holds the buckets of a range of keys, chains texts whose 64-bit key is equal,
+compares their bytes and writes its part of the index (one row per distinct text, without the text, sorted by bucket and key) to the
+shared folder. Documents then find their bucket in the directory and their group in the bucket.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_pass, saved
+from .common import SPACES, arrow_pass, saved, text_hash
 
-#: Bits of the largest directory.
-MAX_DEPTH = 16
+#: A directory has about so many buckets at most, so that it stays small wherever it is sent: larger corpora have larger buckets.
+_BUCKETS = 1 << 15
+#: Bits of the first look at the keys, and of each further look at the buckets that are still too full.
+_FIRST_BITS, _MORE_BITS = 16, 4
 
 
-def build_directory(counts: np.ndarray, bucket_rows: int) -> np.ndarray:
-    """The directory for rows counted by their first MAX_DEPTH key bits: entry i is the bucket of keys that start with i."""
+def split(counts: np.ndarray, bucket_rows: int) -> tuple[list[int], list[int]]:
+    """Of slots with so many keys each, the first slots of buckets by repeated halving, and the single slots that are too full."""
     below = np.concatenate(([0], np.cumsum(counts)))
-    directory, depth, buckets, todo = np.zeros(1, np.int32), 0, 1, [(0, 0, 0)]
+    starts, full, todo = [], [], [(0, len(counts))]
     while todo:
-        bucket, local, prefix = todo.pop()
-        width = 1 << (MAX_DEPTH - local)
-        if local == MAX_DEPTH or below[(prefix + 1) * width] - below[prefix * width] <= bucket_rows:
-            continue
-        if local == depth:
-            directory, depth = np.repeat(directory, 2), depth + 1
-        half = 1 << (depth - local - 1)
-        directory[(2 * prefix + 1) * half : (2 * prefix + 2) * half] = buckets
-        todo += [(bucket, local + 1, 2 * prefix), (buckets, local + 1, 2 * prefix + 1)]
-        buckets += 1
-    return directory
-
-
-def _better(n: int, doc, other_n: int, other) -> bool:
-    """Longer text first, then the smaller doc_id; a null doc_id comes last."""
-    return n > other_n or n == other_n and doc is not None and (other is None or doc < other)
+        a, b = todo.pop()
+        if below[b] - below[a] <= bucket_rows:
+            starts.append(a)
+        elif b - a == 1:
+            full.append(a)
+        else:
+            todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+    return starts, full
+
+
+def build_directory(keys: DataFrame, bucket_rows: int) -> np.ndarray:
+    """Ascending first keys (unsigned) of the buckets of different keys (column h): bucket i holds the keys from entry i to the next."""
+    starts, over, bits = [], [0], 0
+    while over:
+        more = min(64 - bits, _MORE_BITS if bits else _FIRST_BITS)
+        rows = keys
+        if bits:  # few: each holds over bucket_rows keys
+            full = F.broadcast(keys.sparkSession.createDataFrame(pa.table({"p": pa.array(over, pa.int64())})))
+            rows = keys.join(full, F.shiftrightunsigned("h", 64 - bits) == F.col("p"), "left_semi")
+        bits += more
+        slots = rows.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("slot")).count().collect()  # at most 2**more rows for each of over
+        counts = {r["slot"] % 2**64: r["count"] for r in slots}
+        below, over = over, []
+        for p in below:
+            first, full = split(np.array([counts.get((p << more) + i, 0) for i in range(1 << more)]), bucket_rows)
+            if bits == 64:  # a single key
+                first, full = first + full, []
+            starts += [((p << more) + i) << (64 - bits) for i in first]
+            over += [(p << more) + i for i in full]
+    return np.array(sorted(starts), np.uint64)
+
+
+def bucket_of(directory: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (np.searchsorted(directory, h.view(np.uint64), side="right") - 1).astype(np.int32)
+
+
+def _bucket(directory: np.ndarray, h: str) -> Column:
+    @F.pandas_udf("int")
+    def f(x: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(directory, x.to_numpy(np.int64)))
+
+    return f(h)
+
+
+def _better(a: tuple, b: tuple) -> bool:
+    """Of (length, doc_id, hash of the text): the longer text first, then the smaller doc_id (null comes last), then the smaller hash."""
+    return (-a[0], a[1] is None, a[1] or 0, a[2]) < (-b[0], b[1] is None, b[1] or 0, b[2])
 
 
 def _merger(directory: np.ndarray, most_bytes: int):
-    shift = np.uint64(64 - (len(directory).bit_length() - 1)) if len(directory) > 1 else None
-
     def make():
         held: dict[bytes, list] = {}
         size = [0]
@@ -54,21 +89,21 @@ def _merger(directory: np.ndarray, most_bytes: int):
                 return None
             rows = list(held.values())
             h = np.array([r[0] for r in rows], np.int64)
-            bucket = directory[(h.view(np.uint64) >> shift).astype(np.int64)] if shift is not None else np.zeros(len(h), np.int32)
-            out = {"bucket": bucket, "h": h, "norm": list(held), "sha": [r[1] for r in rows], "n": [r[2] for r in rows], "doc_id": [r[3] for r in rows], "copies": [r[4] for r in rows]}
+            out = {"bucket": bucket_of(directory, h), "h": h, "norm": list(held), "copies": [r[2] for r in rows]}
+            out |= {c: [r[1][i] for r in rows] for i, c in enumerate(("n", "doc_id", "th"))}
             held.clear()
             size[0] = 0
             return out
 
         def f(batch):
-            for doc, h, norm, sha, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "norm", "sha", "n")), strict=True):
+            for h, norm, *own in zip(*(batch.column(c).to_pylist() for c in ("h", "norm", "n", "doc_id", "th")), strict=True):
                 if (r := held.get(norm)) is None:
-                    held[norm] = [h, sha, n, doc, 1]
+                    held[norm] = [h, own, 1]
                     size[0] += len(norm) + 300
                 else:
-                    r[4] += 1
-                    if _better(n, doc, r[2], r[3]):
-                        r[2:4] = n, doc
+                    r[2] += 1
+                    if _better(own, r[1]):
+                        r[1] = own
             return flush() if size[0] > most_bytes else None
 
         f.last = flush
@@ -77,35 +112,38 @@ def _merger(directory: np.ndarray, most_bytes: int):
     return make
 
 
+_INDEX = ("bucket", "h", "chain", "sha", "keep_n", "keep_id", "keep_th", "group_size")
+
+
 def _owner():
     """Rows arrive by bucket and key: the chain of one key holds each distinct text once."""
     chain: list[list] = []
-    at = [None]
+    at: list = [None, None]
 
     def take(out):
-        for i, e in enumerate(chain):
-            for k, v in zip(("h", "chain", "sha", "keep_id", "keep_n", "group_size"), (at[0], i, e[1], e[3], e[2], e[4]), strict=True):
+        for i, (norm, own, copies) in enumerate(chain):
+            for k, v in zip(_INDEX, (*at, i, hashlib.sha256(norm).hexdigest(), *own, copies), strict=True):
                 out[k].append(v)
         chain.clear()
 
     def f(batch):
-        out = {k: [] for k in ("h", "chain", "sha", "keep_id", "keep_n", "group_size")}
-        for h, norm, sha, n, doc, copies in zip(*(batch.column(c).to_pylist() for c in ("h", "norm", "sha", "n", "doc_id", "copies")), strict=True):
-            if h != at[0]:
+        out = {k: [] for k in _INDEX}
+        for bucket, h, norm, copies, *own in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "norm", "copies", "n", "doc_id", "th")), strict=True):
+            if h != at[1]:
                 take(out)
-                at[0] = h
+                at[:] = bucket, h
             for e in chain:
                 if e[0] == norm:
-                    e[4] += copies
-                    if _better(n, doc, e[2], e[3]):
-                        e[2:4] = n, doc
+                    e[2] += copies
+                    if _better(own, e[1]):
+                        e[1] = own
                     break
             else:
-                chain.append([norm, sha, n, doc, copies])
+                chain.append([norm, own, copies])
         return out
 
     def last():
-        out = {k: [] for k in ("h", "chain", "sha", "keep_id", "keep_n", "group_size")}
+        out = {k: [] for k in _INDEX}
         take(out)
         return out
 
@@ -113,22 +151,25 @@ def _owner():
     return f
 
 
-def exact_dedup(docs: DataFrame, bucket_rows: int = 512, merge_bytes: int = 32 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, bucket_rows: int = 4096, merge_bytes: int = 32 << 20) -> DataFrame:
     """Of texts that are equal without white space (space, tab to carriage return), the longest stays, then the smallest doc_id.
 
     Returns a row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
-    A null text is empty, and all empty texts are one group. A null doc_id comes after all others; rows
+    A null text is empty, and all empty texts are one group. A null doc_id comes after all others; of different texts of one
+    doc_id and length the one with the smaller xxhash64 stays, and rows
     that repeat a doc_id together with its text get the same answer. Other columns are ignored; no rows, no result rows.
+    bucket_rows: keys that a bucket holds before it splits; more where the directory would pass its size.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    norm = F.translate(text, SPACES, "")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("n"), norm.alias("norm")).select("doc_id", "n", "norm", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
-    counts = np.zeros(1 << MAX_DEPTH, np.int64)
-    for r in base.groupBy(F.shiftrightunsigned("h", 64 - MAX_DEPTH).alias("slot")).count().collect():  # at most 2**16 rows
-        counts[r["slot"]] = r["count"]
-    directory = build_directory(counts, bucket_rows)
-    merged = arrow_pass(base.withColumn("norm", F.col("norm").cast("binary")), _merger(directory, merge_bytes), "bucket int, h long, norm binary, sha string, n int, doc_id long, copies long")
-    owned = merged.repartition("bucket").sortWithinPartitions("bucket", "h")
-    index = saved(arrow_pass(owned, _owner, "h long, chain int, sha string, keep_id long, keep_n int, group_size long"), "exact-index")
-    found = base.select("doc_id", "n", "h", "sha").join(index, ["h", "sha"])
-    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))).alias("kept"), F.col("sha").alias("text_sha256"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("n"), text_hash().alias("th"), F.translate(text, SPACES, "").alias("norm"))
+    base = base.withColumn("h", F.xxhash64("norm"))
+    keyed = saved(base.select("doc_id", "n", "th", "h", F.sha2("norm", 256).alias("sha")), "keys")
+    keys = saved(keyed.select("h").distinct(), "different-keys")
+    directory = build_directory(keys, max(bucket_rows, 2 * keys.count() // _BUCKETS))
+    merged = arrow_pass(base.withColumn("norm", F.col("norm").cast("binary")), _merger(directory, merge_bytes), "bucket int, h long, norm binary, n int, doc_id long, th long, copies long")
+    owners = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    owned = merged.repartition(F.expr(f"bucket * {owners}L div {len(directory)}")).sortWithinPartitions("bucket", "h")
+    index = saved(arrow_pass(owned, _owner, "bucket int, h long, chain int, sha string, keep_n int, keep_id long, keep_th long, group_size long"), "exact-index")
+    found = keyed.withColumn("bucket", _bucket(directory, "h")).join(index, ["bucket", "h", "sha"])
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n")) & (F.col("th") == F.col("keep_th"))
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))

@@ -16,6 +16,7 @@ import zlib
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -273,7 +274,7 @@ def sequences(short: DataFrame, most: int, per_task: int = _PER_TASK) -> DataFra
         sums = first.where(F.col("kind") != _PLACED).groupBy("cell").agg(over.alias("over"), lacking.alias("lacking")).collect()  # a row for each task of the sort
         moves = stretches([(r["cell"], r["over"], r["lacking"]) for r in sorted(sums, key=lambda r: r["cell"])])
         if moves:
-            plan = F.broadcast(short.sparkSession.createDataFrame(moves, "giver int, a long, b long, target int"))  # under two rows for each task
+            plan = F.broadcast(short.sparkSession.createDataFrame(pa.table([pa.array(x, t) for x, t in zip(zip(*moves, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["giver", "a", "b", "target"])))  # under two rows for each task
             found = gaps.join(plan, (F.col("cell") == F.col("giver")) & (F.col("cum") >= F.col("a")) & (F.col("cum") < F.col("b")), "left")
             found = saved(found.select("id", "size", "target"), "gaps")
             meet = free.select(F.lit(_FREE).alias("kind"), "cell", "id", "size").union(found.where("target IS NOT NULL").select(F.lit(_GAP).alias("kind"), F.col("target").alias("cell"), "id", "size"))

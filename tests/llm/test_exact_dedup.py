@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 
-from patternscore.llm.exact_dedup import MAX_DEPTH, build_directory, exact_dedup
+from patternscore.llm.exact_dedup import bucket_of, build_directory, exact_dedup, split
 
 WS = str.maketrans("", "", " \t\n\x0b\f\r")
 
@@ -40,13 +40,25 @@ def test_empty_table(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_directory_splits_until_buckets_fit():
+def test_ties_of_one_doc_id(spark):
+    df = spark.createDataFrame([(13, "a bc"), (13, "ab c"), (13, "ab c"), (14, "a b c")], "doc_id long, text string")
+    kept = [(r["doc_id"], r["kept"]) for r in exact_dedup(df).collect()]
+    assert sorted(kept) == [(13, False)] * 3 + [(14, True)]
+    got = exact_dedup(df.where("doc_id = 13")).collect()
+    assert sum(r["kept"] for r in got) in (1, 2) and {r["keep_id"] for r in got} == {13}  # one text stays, with its repeats
+    two = exact_dedup(df.where("doc_id = 13").distinct()).collect()
+    assert sum(r["kept"] for r in two) == 1
+
+
+def test_directory_splits_until_buckets_fit(spark):
     rng = np.random.default_rng(0)
-    counts = np.bincount(rng.integers(0, 1 << MAX_DEPTH, 5000), minlength=1 << MAX_DEPTH)
-    d = build_directory(counts, 100)
-    per_entry = counts.reshape(len(d), -1).sum(axis=1)
-    assert np.bincount(d, per_entry).max() <= 100
-    assert all(np.all(np.diff(np.flatnonzero(d == b)) == 1) for b in range(d.max() + 1))  # a bucket is one key range
-    hot = np.zeros(1 << MAX_DEPTH, np.int64)
-    hot[77] = 10**6
-    assert len(build_directory(hot, 10)) == 1 << MAX_DEPTH
+    h = rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    h[:300] = (h[0] & ~np.int64(0xFFFF)) + np.arange(300)  # keys that differ in their last bits only
+    h[300:305] = [-(1 << 63), (1 << 63) - 1, 0, -1, 1]
+    keys = spark.createDataFrame([(x,) for x in set(h.tolist())], "h long")
+    for rows in (100, 20, 1):
+        d = build_directory(keys, rows)
+        own = bucket_of(d, np.array(sorted(set(h.tolist())), np.int64))
+        assert d[0] == 0 and np.all(d[1:] > d[:-1]) and np.bincount(own).max() <= rows and own.max() < len(d)
+    assert build_directory(keys.limit(0), 5).tolist() == [0]
+    assert split(np.array([1, 0, 9, 2]), 3) == ([3, 0], [2])
