@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scoring import BELLS
+
 # Shares of separation, detection rate, robustness and diversity in the whole.
 PARTS = (0.45, 0.25, 0.20, 0.10)
 #: Threshold shares that a search may try, in percent.
@@ -41,7 +43,7 @@ def diversity(weights: tuple[float, ...]) -> float:
 
 
 def rate_quality(rate: float) -> float:
-    return max(top * float(np.exp(-0.5 * ((rate - at) / width) ** 2)) for at, width, top in ((4.0, 1.0, 1.0), (1.5, 0.5, 0.8), (7.0, 1.5, 0.6)))
+    return max(top * float(np.exp(-0.5 * ((rate - at) / width) ** 2)) for at, width, top in BELLS)
 
 
 def separation_quality(d: float) -> float:

@@ -3,23 +3,53 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import first_row
 
-def correlation(a: str, b: str) -> Column:
-    """Pearson's; 0 where a column does not vary."""
-    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
+
+_MOMENTS = "i int, j int, n double, a double, b double, aa double, bb double, ab double"
+
+
+def _moments(columns: int, shift: list[float]):
+    """Sums over a task's rows for each pair of columns, over rows where both have a value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((5, columns, columns))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - shift
+            here = ~np.isnan(x)
+            x, w = np.where(here, x, 0.0), here.astype(float)
+            total += np.stack((w.T @ w, x.T @ w, (x * x).T @ w, x.T @ x, w.T @ (x * x)))
+        i, j = np.triu_indices(columns, 1)
+        n, a, aa, ab, bb = (t[i, j] for t in total)
+        rows = dict(zip(("i", "j", "n", "a", "b", "aa", "bb", "ab"), (i.astype(np.int32), j.astype(np.int32), n, a, total[1][j, i], aa, bb, ab), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in rows.values()], names=list(rows))
+
+    return run
 
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r of each pair of columns, from one pass over the rows."""
-    pairs = list(combinations(columns, 2))
-    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(correlation(a, b), 6).alias("r")) for a, b in pairs]).alias("p"))
-    return one.select(F.inline("p"))
+    """a, b, r (Pearson's; 0 where a column does not vary) of each pair of columns, over rows where both have a value.
+
+    Each task sends its sums of products, a row for each pair of columns, so the plan has no expression per pair.
+    """
+    own = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    means = first_row(own, *[F.avg(f"x{i}") for i in range(len(columns))])  # sums are taken about the means, so no digits are lost
+    sums = own.mapInArrow(_moments(len(columns), [m or 0.0 for m in means]), _MOMENTS)
+    one = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
+    spread = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+    va, vb = spread("a", "aa"), spread("b", "bb")
+    varies = (F.col("n") > 0) & (va > 1e-12 * F.col("aa")) & (vb > 1e-12 * F.col("bb"))
+    r = F.when(varies, (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.sqrt(va * vb)).otherwise(0.0)
+    name = lambda i: F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(i) + 1)
+    return one.select(name("i").alias("a"), name("j").alias("b"), (F.round(r, 6) + F.lit(0.0)).alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
@@ -65,12 +95,16 @@ def greedy_groups(corr: np.ndarray, columns: list[str], size: int, least: float
     return out
 
 
+def variances(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    row = first_row(df, *[F.round(F.var_samp(c), 3) for c in columns])
+    return dict(zip(columns, row, strict=True))
+
+
 def variance_groups(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     """column_name, variance, group_id: columns by descending sample variance, dealt round the groups."""
-    one = df.agg(*[F.round(F.var_samp(c), 3).alias(c) for c in columns])
-    n = max(1, len(columns) // size)
-    long = one.unpivot([], columns, "column_name", "variance")
-    return long.withColumn("group_id", F.pmod(F.row_number().over(Window.orderBy(F.desc("variance"), "column_name")) - 1, F.lit(n)).cast("long"))
+    found, n = variances(df, columns), max(1, len(columns) // size)
+    order = sorted(columns, key=lambda c: (-(found[c] if found[c] is not None else -1.0), c))
+    return df.sparkSession.createDataFrame([(c, found[c], i % n) for i, c in enumerate(order)], "column_name string, variance double, group_id long")
 
 
 # Name parts of each category, in the order in which they are tried.
@@ -93,12 +127,40 @@ def domain_of(name: Column) -> Column:
     return out
 
 
+def domain_groups(columns: list[str], size: int) -> list[list[str]]:
+    """Columns of one category in their order, in chunks; groups under 3 are merged."""
+    kinds: dict[str, list[str]] = {k: [] for k in (*DOMAINS, "other")}
+    for c in columns:
+        kinds[next((k for k, parts in DOMAINS.items() if any(p in c for p in parts)), "other")].append(c)
+    return merged_small([g for cs in kinds.values() for g in chunks(cs, size)])
+
+
+def group_info(df: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """group_id, size, features, mean_variance (sample) and mean_correlation (absolute, a column with itself included) of each group."""
+    columns = list(dict.fromkeys(c for g in groups for c in g))
+    corr, var, at = correlation_matrix(df, columns), variances(df, columns), {c: i for i, c in enumerate(columns)}
+    rows = []
+    for i, g in enumerate(groups):
+        own = [at[c] for c in g]
+        rows.append((i, len(g), ",".join(g), float(np.mean([var[c] or 0.0 for c in g])), float(corr[np.ix_(own, own)].mean())))
+    return df.sparkSession.createDataFrame(rows, "group_id long, size long, features string, mean_variance double, mean_correlation double")
+
+
+def save_groups(spark, groups: list[list[str]], path: str) -> None:
+    """A row (group_id, features) per group, as JSON lines in a folder that Spark can write."""
+    spark.createDataFrame(list(enumerate(groups)), "group_id long, features array<string>").coalesce(1).write.mode("errorifexists").json(path)
+
+
+def load_groups(spark, path: str) -> list[list[str]]:
+    return [r["features"] for r in spark.read.schema("group_id long, features array<string>").json(path).orderBy("group_id").collect()]  # a row for each group
+
+
 def linked_components(corr: np.ndarray, columns: list[str], size: int, least: float = 0.3) -> list[list[str]]:
-    """Columns connected by |r| > least, in walks of at most 1.5 * size; re-chunked if a group is larger or under 3."""
+    """Columns connected by |r| > least, in walks that stop at 1.5 * size columns; re-chunked if a group is larger or under 3."""
     left, groups = set(range(len(columns))), []
     while left:
         walk, todo = [], [min(left)]
-        while todo and len(walk) < int(1.5 * size):
+        while todo and len(walk) < 1.5 * size:
             x = todo.pop()
             if x in left:
                 left.discard(x)

@@ -1,4 +1,9 @@
-"""Equal-width bins, pattern frequencies, group scores, thresholds and their explanation."""
+"""Equal-width bins, pattern frequencies, group scores, thresholds and their explanation.
+
+Edges, frequencies, mean, deviation and threshold are fitted once: a few numbers on the driver, and one saved table of pattern
+frequencies (at most bins ** columns rows a group). Applying them reads the rows once whatever the number of groups. Rows that repeat
+count as often as they stand there; an empty table has no scores and no threshold.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .preprocess import with_stats
+from ..sources.shared import saved
+from .ranks import counted_quantiles, first_row, running_total
 
 
 @dataclass(frozen=True)
@@ -27,15 +33,28 @@ class Plan:
         return [f"group_{i}" for i in range(len(self.groups))]
 
 
-def bin_columns(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
-    """Codes 0 to bins - 1 of equal widths between each column's minimum and maximum; a constant column is 0, null stays null."""
-    out = with_stats(df, *[f for c in columns for f in (F.min(c).alias(f"_a_{c}"), F.max(c).alias(f"_b_{c}"))])
-    codes = {}
+def fitted_edges(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
+    """Minimum and maximum of each column."""
+    row = first_row(df, *[f for c in columns for f in (F.min(c), F.max(c))])
+    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
+
+
+def bin_columns(df: DataFrame, columns: list[str], bins: int, edges: dict[str, tuple] | None = None) -> DataFrame:
+    """Codes 0 to bins - 1 of equal widths between each column's minimum and maximum; a constant column is 0, null stays null.
+
+    edges: fitted_edges() of other rows; values outside them fall in the first or last bin.
+    """
+    codes, edges = {}, edges or fitted_edges(df, columns)
     for c in columns:
-        low, high = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        low, high = edges[c]
+        none = F.when(F.col(c).isNotNull(), F.lit(0).cast("long"))
+        if low is None or not high > low:
+            codes[c] = none
+            continue
+        low, high = F.lit(low), F.lit(high)
         code = sum(((F.col(c) >= low + i * (high - low) / bins).cast("long") for i in range(1, bins)), F.lit(0).cast("long"))
-        codes[c] = F.when(high > low, code).otherwise(F.when(F.col(c).isNotNull(), F.lit(0).cast("long")))
-    return out.withColumns(codes).drop(*[f"_{k}_{c}" for k in "ab" for c in columns])
+        codes[c] = F.when(F.col(c).isNotNull(), code)
+    return df.withColumns(codes)
 
 
 def pattern(group: list[str]) -> Column:
@@ -54,13 +73,20 @@ def log_frequencies(counts: DataFrame) -> DataFrame:
     return counts.join(sizes, "group_id").select("group_id", "pattern", F.ln((F.col("n") + 1) / F.col("total")).alias("ll"), F.ln(1 / F.col("total")).alias("unseen"))
 
 
-def log_likelihoods(df: DataFrame, plan: Plan, table: DataFrame | None = None) -> DataFrame:
-    """key and a column group_<i> per group. table: log_frequencies() of other rows; a pattern it lacks counts as seen 0 times."""
-    out = bin_columns(df, plan.columns, plan.bins)
-    table = log_frequencies(pattern_counts(out, plan)) if table is None else table
-    for i, (g, name) in enumerate(zip(plan.groups, plan.scores, strict=True)):
-        own = table.where(F.col("group_id") == i).select(F.col("pattern").alias("_p"), F.col("ll").alias(name))
-        out = out.join(own, pattern(g) == F.col("_p"), "left").drop("_p")
+def log_likelihoods(df: DataFrame, plan: Plan, table: DataFrame | None = None, edges: dict[str, tuple] | None = None) -> DataFrame:
+    """key and a column group_<i> per group.
+
+    table and edges: saved log_frequencies() and fitted_edges() of other rows; a pattern that the table lacks counts as seen 0 times.
+    The table is small (Spark broadcasts it by its size on disk), so all groups are looked up in one pass over the rows.
+    """
+    out = bin_columns(df, plan.columns, plan.bins, edges)
+    if table is None:
+        table = saved(log_frequencies(pattern_counts(out, plan)), "frequencies")
+    unseen = {r["group_id"]: r["u"] for r in table.groupBy("group_id").agg(F.max("unseen").alias("u")).collect()}  # a row for each group
+    out = out.select(plan.key, *[pattern(g).alias(f"_p{i}") for i, g in enumerate(plan.groups)])
+    for i, name in enumerate(plan.scores):
+        own = table.where(F.col("group_id") == i).select(F.col("pattern").alias(f"_q{i}"), F.col("ll").alias(f"_l{i}"))
+        out = out.join(own, F.col(f"_p{i}") == F.col(f"_q{i}"), "left").withColumn(name, F.coalesce(f"_l{i}", F.lit(unseen.get(i)).cast("double")))
     return out.select(plan.key, *plan.scores)
 
 
@@ -81,44 +107,60 @@ def aggregated(scores: list[str], how: str = "mean", weights: list[float] | None
     return total if how == "sum" else total / k
 
 
-def anomaly_scores(ll: DataFrame, plan: Plan, how: str = "mean", weights: list[float] | None = None, zscore: bool = True) -> DataFrame:
-    """ll with anomaly_score: the negated aggregate, in population deviations from its mean (as it is where that is 0)."""
-    out = ll.withColumn("anomaly_score", -aggregated(plan.scores, how, weights))
-    if not zscore:
-        return out
-    out = with_stats(out, F.avg("anomaly_score").alias("_m"), F.stddev_pop("anomaly_score").alias("_s"))
-    return out.withColumn("anomaly_score", F.when(F.col("_s") > 0, (F.col("anomaly_score") - F.col("_m")) / F.col("_s")).otherwise(F.col("anomaly_score"))).drop("_m", "_s")
+def centre(ll: DataFrame, plan: Plan, how: str = "mean", weights: list[float] | None = None) -> tuple[float, float]:
+    """Mean and population deviation of the raw scores (the negated aggregates)."""
+    row = first_row(ll.select((-aggregated(plan.scores, how, weights)).alias("s")), F.avg("s"), F.stddev_pop("s"))
+    return row[0] or 0.0, row[1] or 0.0
+
+
+def anomaly_scores(ll: DataFrame, plan: Plan, how: str = "mean", weights: list[float] | None = None, zscore: bool = True, fitted: tuple[float, float] | None = None) -> DataFrame:
+    """ll with anomaly_score: the negated aggregate, in population deviations from its mean (as it is where that is 0).
+
+    fitted: centre() of other rows. Without it ll is read twice, so it should be a saved table.
+    """
+    raw = -aggregated(plan.scores, how, weights)
+    mean, std = (0.0, 0.0) if not zscore else fitted or centre(ll, plan, how, weights)
+    return ll.withColumn("anomaly_score", (raw - F.lit(mean)) / F.lit(std) if std > 0 else raw)
 
 
 def average_ranks(scored: DataFrame) -> DataFrame:
-    """scored with rank_share: average rank / rows. Ranks accumulate over distinct scores, which are few, not over rows."""
-    each = scored.groupBy("anomaly_score").agg(F.count("*").alias("c"))
-    to_here = F.sum("c").over(Window.orderBy("anomaly_score"))
-    ranked = each.select("anomaly_score", ((to_here - F.col("c") + (F.col("c") + 1) / 2) / F.sum("c").over(Window.partitionBy())).alias("rank_share"))
+    """scored with rank_share: average rank / rows. Ranks accumulate over distinct scores, by ranges of scores."""
+    each = scored.groupBy("anomaly_score").agg(F.count("*").alias("_c"))
+    totals = saved(running_total(each, ["anomaly_score"], F.col("_c"), "_t"), "totals")
+    n = first_row(totals, F.max("_t"))[0]
+    ranked = totals.select("anomaly_score", ((F.col("_t") - F.col("_c") + (F.col("_c") + 1) / 2) / F.lit(n)).alias("rank_share"))
     return scored.join(ranked, "anomaly_score")
 
 
-def threshold(scored: DataFrame, method: str = "percentile", share: float = 5.0, deviations: float = 2.0) -> DataFrame:
-    """One row, threshold. Scores are counted first: percentiles then work on distinct scores with frequencies."""
-    s, n = F.col("anomaly_score"), F.col("c")
-    counted = scored.groupBy("anomaly_score").agg(F.count("*").alias("c"))
-    at = F.percentile(s, F.lit(1 - share / 100), n)
-    mean = F.sum(s * n) / F.sum(n)
-    moment = lambda k: F.sum(n * F.pow(s - F.col("_mean"), F.lit(k))) / F.sum(n)
+def threshold_value(scored: DataFrame, method: str = "percentile", share: float = 5.0, deviations: float = 2.0) -> float | None:
+    """The threshold by a method: percentile, iqr, std, adaptive or forest; None of no rows. Scores are counted first, so ties cost nothing."""
+    counted = saved(scored.where("anomaly_score IS NOT NULL").groupBy(F.col("anomaly_score").alias("value")).agg(F.count("*").alias("n")), "scores")
+    n, s = F.col("n"), F.col("value")
+    mean = first_row(counted, F.sum(s * n) / F.sum(n))[0]
+    if mean is None:
+        return None
+    moment = lambda k: F.sum(n * F.pow(s - F.lit(mean), F.lit(k))) / F.sum(n)
     if method == "percentile":
-        return counted.agg(at.alias("threshold"))
+        return counted_quantiles(counted, [1 - share / 100])[0]
     if method == "iqr":
-        q = counted.agg(F.percentile(s, F.array(F.lit(0.25), F.lit(0.75)), n).alias("q"))
-        low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-        return q.select((high + 1.5 * (high - low)).alias("threshold"))
-    counted = counted.crossJoin(F.broadcast(counted.agg(mean.alias("_mean"))))
-    std = F.sqrt(moment(2.0))
+        low, high = counted_quantiles(counted, [0.25, 0.75])
+        return high + 1.5 * (high - low)
     if method == "std":
-        return counted.agg((F.first("_mean") + deviations * std).alias("threshold"))
+        return first_row(counted, F.lit(mean) + deviations * F.sqrt(moment(2.0)))[0]
+    if method == "forest":
+        from .forest import forest_threshold
+
+        return forest_threshold(counted, share)
     if method != "adaptive":
         raise ValueError(f"no threshold method {method}")
-    one = counted.agg(F.sum(n).cast("double").alias("n"), F.first("_mean").alias("mean"), std.alias("std"), moment(3.0).alias("m3"), moment(4.0).alias("m4"), at.alias("at"))
-    return one.select(F.when(normality_statistic() < NORMAL_K2, F.col("mean") + deviations * F.col("std")).otherwise(F.col("at")).alias("threshold"))
+    one = counted.agg(F.sum(n).cast("double").alias("n"), F.sqrt(moment(2.0)).alias("std"), moment(3.0).alias("m3"), moment(4.0).alias("m4"))
+    row = one.select("std", (normality_statistic() < NORMAL_K2).alias("normal")).first()
+    return mean + deviations * row["std"] if row["normal"] else counted_quantiles(counted, [1 - share / 100])[0]
+
+
+def threshold(scored: DataFrame, method: str = "percentile", share: float = 5.0, deviations: float = 2.0) -> DataFrame:
+    """One row, threshold."""
+    return scored.sparkSession.range(1).select(F.lit(threshold_value(scored, method, share, deviations)).cast("double").alias("threshold"))
 
 
 #: The 5 % point of chi-square with 2 degrees of freedom.
@@ -143,8 +185,9 @@ NORMAL_SQL = f"({_Z1} * {_Z1} + {_Z2} * {_Z2})"
 
 
 def flagged(scored: DataFrame, method: str = "percentile", share: float = 5.0, deviations: float = 2.0) -> DataFrame:
-    """scored with is_anomaly: scores strictly above the threshold."""
-    return scored.crossJoin(F.broadcast(threshold(scored, method, share, deviations))).withColumn("is_anomaly", F.col("anomaly_score") > F.col("threshold"))
+    """scored with threshold and is_anomaly: scores strictly above the threshold. scored is read twice, so it should be a saved table."""
+    at = F.lit(threshold_value(scored, method, share, deviations)).cast("double")
+    return scored.withColumn("threshold", at).withColumn("is_anomaly", F.col("anomaly_score") > at)
 
 
 def separation(flags: DataFrame) -> DataFrame:
@@ -160,10 +203,13 @@ def separation(flags: DataFrame) -> DataFrame:
     return one.select("n", F.col("n1").alias("n_anomalies"), (100 * F.col("n1") / F.col("n")).alias("anomaly_rate"), F.col("m1").alias("mean_anomaly"), F.col("m0").alias("mean_normal"), d.alias("cohens_d"))
 
 
+# Centre, width and height of the bells that say how likely a detection rate (percent) is.
+BELLS = ((4.0, 1.0, 1.0), (1.5, 0.5, 0.8), (7.0, 1.5, 0.6))
+
+
 def rate_score(rate: Column) -> Column:
-    """How likely a detection rate (percent) is: the greatest of three bells around 4, 1.5 and 7 percent."""
-    bell = lambda at, width, top: top * F.exp(-0.5 * F.pow((rate - at) / width, F.lit(2.0)))
-    return F.greatest(bell(4.0, 1.0, 1.0), bell(1.5, 0.5, 0.8), bell(7.0, 1.5, 0.6))
+    """How likely a detection rate (percent) is: the greatest of the bells."""
+    return F.greatest(*[top * F.exp(-0.5 * F.pow((rate - at) / width, F.lit(2.0))) for at, width, top in BELLS])
 
 
 def explanations(flags: DataFrame, plan: Plan, top: int = 2) -> DataFrame:
@@ -175,8 +221,8 @@ def explanations(flags: DataFrame, plan: Plan, top: int = 2) -> DataFrame:
 def contributions(flags: DataFrame, plan: Plan) -> DataFrame:
     """group_name and its mean score of normal rows less that of anomalies."""
     a = F.col("is_anomaly")
-    one = flags.agg(*[(F.avg(F.when(~a, F.col(c))) - F.avg(F.when(a, F.col(c)))).alias(c) for c in plan.scores])
-    return one.unpivot([], plan.scores, "group_name", "contribution")
+    means = F.array(*[F.struct(F.lit(c).alias("group_name"), (F.avg(F.when(~a, F.col(c))) - F.avg(F.when(a, F.col(c)))).alias("contribution")) for c in plan.scores])
+    return flags.agg(means.alias("m")).select(F.inline("m"))
 
 
 def histogram(scored: DataFrame, bins: int = 50) -> DataFrame:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import fitness as FT
 from ..operators import grouping as G
+from ..operators import metrics as M
+from ..operators import model as MD
 from ..operators import networks as N
 from ..operators import optimise as O
 from ..operators import preprocess as P
 from ..operators import scoring as S
+from ..sources.shared import saved
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -73,9 +76,14 @@ _SCORED = f"{_LL}, a AS (SELECT *, -(group_0 + group_1) / 2 AS raw FROM l), s AS
 _FLAGS = f"{_SCORED}, t AS (SELECT quantile_cont(anomaly_score, 0.95) AS threshold FROM s), x AS (SELECT s.*, threshold, anomaly_score > threshold AS is_anomaly FROM s, t)"
 
 
+def order_likelihoods(spark, sf_dir) -> DataFrame:
+    """Group scores of all orders, saved: mean, threshold and flags read this narrow table, not the orders."""
+    return saved(S.log_likelihoods(order_features(spark, sf_dir), ORDERS), "likelihoods")
+
+
 def scored_orders(spark, sf_dir) -> DataFrame:
     """Scores are rounded to 9 places, so that equal patterns tie whatever the order of summation."""
-    out = S.anomaly_scores(S.log_likelihoods(order_features(spark, sf_dir), ORDERS), ORDERS)
+    out = S.anomaly_scores(order_likelihoods(spark, sf_dir), ORDERS)
     return out.withColumn("anomaly_score", F.round("anomaly_score", 9))
 
 
@@ -157,10 +165,25 @@ def greedy_groups(spark, sf_dir):
     return spark.createDataFrame([(i, c) for i, g in enumerate(groups) for c in g], "group_id long, column_name string")
 
 
-@query("SELECT name, CASE WHEN contains(name, 'V_') THEN 'voltage' WHEN contains(name, 'I_') THEN 'current' WHEN contains(name, 'P_') THEN 'power' WHEN contains(name, 'phi_') OR contains(name, 'phase_') THEN 'phase' WHEN contains(name, '_H') OR contains(name, 'THD_') THEN 'harmonic' ELSE 'other' END AS domain FROM (SELECT DISTINCT substr(p_name, 1, 3) || unnest(['V_', 'I_', 'P_', 'phi_', '_H', 'x']) AS name FROM part)")
+#: Two groups of the rollup's columns for the group information.
+HALVES = [ROLLUP[:4], ROLLUP[4:]]
+
+
+def _half_sql(i: int, g: list[str]) -> str:
+    r = lambda a, b: "1.0" if a == b else f"abs(round(coalesce(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 0), 6))"
+    pairs = " + ".join(r(a, b) for a in g for b in g)
+    return f"SELECT CAST({i} AS BIGINT) AS group_id, CAST({len(g)} AS BIGINT) AS size, '{','.join(g)}' AS features, round(({' + '.join(f'round(var_samp({c}), 3)' for c in g)}) / {len(g)}, 3) AS mean_variance, round(({pairs}) / {len(g) ** 2}, 6) AS mean_correlation FROM r"
+
+
+@query(f"WITH {_ROLLUP} " + " UNION ALL ".join(_half_sql(i, g) for i, g in enumerate(HALVES)))
+def group_info(spark, sf_dir):
+    return rounded(rounded(G.group_info(order_rollup(spark, sf_dir), HALVES), "mean_correlation"), "mean_variance", places=3)
+
+
+@query("SELECT name, CASE WHEN contains(name, 'V_') THEN 'voltage' WHEN contains(name, 'I_') THEN 'current' WHEN contains(name, 'P_') THEN 'power' WHEN contains(name, 'phi_') OR contains(name, 'phase_') THEN 'phase' WHEN contains(name, '_H') OR contains(name, 'THD_') THEN 'harmonic' ELSE 'other' END AS domain FROM (SELECT DISTINCT p_name || unnest(['V_', 'I_', 'P_', 'phi_', '_H', 'x']) AS name FROM part)")
 def domain_groups(spark, sf_dir):
     ends = F.explode(F.array(*[F.lit(x) for x in ("V_", "I_", "P_", "phi_", "_H", "x")]))
-    names = table(spark, sf_dir, "part").select(F.substring("p_name", 1, 3).alias("p"), ends.alias("e")).select(F.concat("p", "e").alias("name")).distinct()
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("p"), ends.alias("e")).select(F.concat("p", "e").alias("name")).distinct()
     return names.select("name", G.domain_of(F.col("name")).alias("domain"))
 
 
@@ -207,12 +230,13 @@ def _threshold(method: str, sql: str):
         return rounded(S.threshold(scored_orders(spark, sf_dir), method), "threshold")
 
     f.__name__ = f"thr_{method}"
-    query(f"WITH {_SCORED} {sql}")(f)
+    query(f"WITH {_SCORED} {sql}" if sql else None)(f)
 
 
 _threshold("percentile", "SELECT round(quantile_cont(anomaly_score, 0.95), 6) AS threshold FROM s")
 _threshold("std", "SELECT round(avg(anomaly_score) + 2 * stddev_pop(anomaly_score), 6) AS threshold FROM s")
 _threshold("iqr", "SELECT round(quantile_cont(anomaly_score, 0.75) + 1.5 * (quantile_cont(anomaly_score, 0.75) - quantile_cont(anomaly_score, 0.25)), 6) AS threshold FROM s")
+_threshold("forest", "")
 _threshold("adaptive", f", m AS (SELECT CAST(count(*) AS DOUBLE) AS n, any_value(mean) AS mean, sqrt(avg(power(anomaly_score - mean, 2))) AS std, avg(power(anomaly_score - mean, 3)) AS m3, avg(power(anomaly_score - mean, 4)) AS m4, quantile_cont(anomaly_score, 0.95) AS cut FROM s, (SELECT avg(anomaly_score) AS mean FROM s)) SELECT round(CASE WHEN {S.NORMAL_SQL} < {S.NORMAL_K2} THEN mean + 2 * std ELSE cut END, 6) AS threshold FROM m")
 
 
@@ -221,6 +245,85 @@ def flag_anomalies(spark, sf_dir):
     return rounded(S.flagged(scored_orders(spark, sf_dir)), "anomaly_score").select("o_orderkey", "anomaly_score", "is_anomaly")
 
 
+@query("SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns, CAST(1 AS BIGINT) AS n_numeric, CAST(2 AS BIGINT) AS n_categorical, 3 * count(*) - count(price) - count(status) - count(priority) AS n_missing, round(100 * (3 * count(*) - count(price) - count(status) - count(priority)) / (3 * count(*)), 6) AS missing_percent, CAST((count(price) < count(*)) AS BIGINT) + CAST((count(status) < count(*)) AS BIGINT) + CAST((count(priority) < count(*)) AS BIGINT) AS columns_with_missing, CAST(2 * count(price) < count(*) AS BIGINT) + CAST(2 * count(status) < count(*) AS BIGINT) + CAST(2 * count(priority) < count(*) AS BIGINT) AS sparse_columns FROM g".join([f"WITH {_GAPPY} ", ""]))
+def table_profile(spark, sf_dir):
+    return P.table_profile(gappy_orders(spark, sf_dir).drop("o_orderkey"))
+
+
+@query(f"WITH {_GAPPY} SELECT o_orderkey FROM g WHERE price IS NOT NULL AND status IS NOT NULL AND priority IS NOT NULL")
+def drop_incomplete(spark, sf_dir):
+    return P.drop_incomplete(gappy_orders(spark, sf_dir), ["price", "status", "priority"]).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 0 ELSE o_totalprice END AS price FROM orders")
+def infinite_to_zero(spark, sf_dir):
+    price = F.when(F.col("o_totalprice") > 300000, float("inf")).otherwise(F.col("o_totalprice")).alias("price")
+    return table(spark, sf_dir, "orders").select("o_orderkey", price).withColumn("price", P.infinite_to_zero("price"))
+
+
+#: Orders before 1997 are old rows, the others new ones: the cleaning and scoring of all are fitted on the old ones.
+_OLD = "CAST(o_orderdate AS DATE) < DATE '1997-01-01'"
+
+
+def dated_orders(spark, sf_dir) -> DataFrame:
+    """Prices over 300000 and priority 1-URGENT are null; old orders have no status P."""
+    o = table(spark, sf_dir, "orders")
+    old = F.to_date("o_orderdate") < F.lit("1997-01-01").cast("date")
+    status = F.when(~old | (F.col("o_orderstatus") != "P"), F.col("o_orderstatus"))
+    return o.select("o_orderkey", F.when(F.col("o_totalprice") <= 300000, F.col("o_totalprice")).alias("price"), status.alias("status"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("priority"), old.alias("old"))
+
+
+_DATED = f"""d AS (SELECT o_orderkey, CASE WHEN o_totalprice <= 300000 THEN o_totalprice END AS price, CASE WHEN NOT ({_OLD}) OR o_orderstatus <> 'P' THEN o_orderstatus END AS status,
+  nullif(o_orderpriority, '1-URGENT') AS priority, {_OLD} AS old FROM orders)"""
+
+
+def _filled_sql(c: str) -> str:
+    return f"coalesce({c}, (SELECT {c} FROM d WHERE old AND {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}"
+
+
+_CLEANED = f"""{_DATED}, fill AS (SELECT o_orderkey, old, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM d WHERE old)) AS price, {_filled_sql('status')}, {_filled_sql('priority')} FROM d),
+q AS (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b FROM fill WHERE old),
+cs AS (SELECT status, row_number() OVER (ORDER BY status) - 1 AS code FROM (SELECT DISTINCT status FROM fill WHERE old)),
+cp AS (SELECT priority, row_number() OVER (ORDER BY priority) - 1 AS code FROM (SELECT DISTINCT priority FROM fill WHERE old)),
+cut AS (SELECT o_orderkey, old, least(greatest(price, a - 0.5 * (b - a)), b + 0.5 * (b - a)) AS price, coalesce(cs.code, 0) AS status, coalesce(cp.code, 0) AS priority FROM fill LEFT JOIN cs USING (status) LEFT JOIN cp USING (priority), q),
+clean AS (SELECT o_orderkey, old, (price - (SELECT avg(price) FROM cut WHERE old)) / (SELECT stddev_pop(price) FROM cut WHERE old) AS price, status, priority FROM cut)"""
+NEW = S.Plan("o_orderkey", [["price", "status"], ["priority"]], 3)
+
+
+def _dated_fit(spark, sf_dir):
+    rows = dated_orders(spark, sf_dir)
+    cleaner = MD.Cleaner.fit(rows.where("old"), "o_orderkey", ["price", "status", "priority"], factor=0.5)
+    return rows, cleaner
+
+
+@query(f"WITH {_CLEANED} SELECT o_orderkey, round(price, 6) AS price, status, priority FROM clean WHERE NOT old")
+def fit_transform_new(spark, sf_dir):
+    """New orders, cleaned as the old ones were; a status that no old order had is code 0."""
+    rows, cleaner = _dated_fit(spark, sf_dir)
+    return rounded(cleaner.transform(rows.where("NOT old")), "price")
+
+
+def _old_bin(c: str) -> str:
+    low, high = f"(SELECT min({c}) FROM clean WHERE old)", f"(SELECT max({c}) FROM clean WHERE old)"
+    return f"CASE WHEN {high} > {low} THEN " + " + ".join(f"CAST({c} >= {low} + {i} * ({high} - {low}) / 3 AS BIGINT)" for i in (1, 2)) + f" ELSE 0 END AS {c}"
+
+
+_CLASSIFIED = f"""{_CLEANED}, b AS (SELECT o_orderkey, old, {', '.join(_old_bin(c) for c in NEW.columns)} FROM clean),
+p AS (SELECT o_orderkey, old, 0 AS g, concat_ws('|', price, status) AS pattern FROM b UNION ALL SELECT o_orderkey, old, 1, CAST(priority AS VARCHAR) FROM b),
+c AS (SELECT g, pattern, count(*) AS n FROM p WHERE old GROUP BY ALL), w AS (SELECT g, pattern, n, sum(n + 1) OVER (PARTITION BY g) AS total FROM c),
+t AS (SELECT g, max(total) AS total FROM w GROUP BY g),
+l AS (SELECT o_orderkey, old, sum(-ln((coalesce(n, 0) + 1) / t.total)) / 2 AS raw FROM p JOIN t USING (g) LEFT JOIN w USING (g, pattern) GROUP BY o_orderkey, old),
+s AS (SELECT o_orderkey, old, round((raw - (SELECT avg(raw) FROM l WHERE old)) / (SELECT stddev_pop(raw) FROM l WHERE old), 9) AS anomaly_score FROM l)"""
+
+
+@query(f"WITH {_CLASSIFIED} SELECT o_orderkey, round(anomaly_score, 6) AS anomaly_score, anomaly_score > (SELECT quantile_cont(anomaly_score, 0.95) FROM s WHERE old) AS is_anomaly FROM s WHERE NOT old")
+def classify_new(spark, sf_dir):
+    """New orders under everything that the old ones fitted: fills, codes, limits, edges, frequencies, mean, deviation and threshold."""
+    rows, cleaner = _dated_fit(spark, sf_dir)
+    model = MD.Model.fit(saved(cleaner.transform(rows.where("old")), "clean"), NEW, places=9)
+    return rounded(model.score(cleaner.transform(rows.where("NOT old"))), "anomaly_score").select("o_orderkey", "anomaly_score", "is_anomaly")
+
+
 @query(f"WITH {_FLAGS} SELECT o_orderkey, round(anomaly_score, 6) AS anomaly_score FROM x ORDER BY x.anomaly_score DESC, o_orderkey LIMIT 10")
 def top_anomalies(spark, sf_dir):
     """The ten highest scores: a top-k report."""
@@ -235,6 +338,49 @@ def separation_quality(spark, sf_dir):
     return rounded(S.separation(S.flagged(scored_orders(spark, sf_dir))), "anomaly_rate", "mean_anomaly", "mean_normal", "cohens_d")
 
 
+_STATS = "count(*) AS n, round(avg(anomaly_score), 6) AS mean, round(stddev_pop(anomaly_score), 6) AS std, round(min(anomaly_score), 6) AS low, round(max(anomaly_score), 6) AS high, round(quantile_cont(anomaly_score, 0.5), 6) AS median, round(quantile_cont(anomaly_score, 0.25), 6) AS q25, round(quantile_cont(anomaly_score, 0.75), 6) AS q75"
+
+
+@query(f"WITH {_FLAGS} SELECT 'all' AS part, {_STATS} FROM x UNION ALL SELECT 'anomalies', {_STATS} FROM x WHERE is_anomaly")
+def score_statistics(spark, sf_dir):
+    return rounded(M.score_statistics(saved(S.flagged(scored_orders(spark, sf_dir)), "flags")), "mean", "std", "low", "high", "median", "q25", "q75")
+
+
+def _performance_sql(name: str, share: float) -> str:
+    """A table of one row: metrics of the flags at a threshold share."""
+    return f"""{name}x AS (SELECT anomaly_score, anomaly_score > (SELECT quantile_cont(anomaly_score, {1 - share / 100}) FROM s) AS is_anomaly FROM s),
+{name}k AS (SELECT count(*) AS n, count(*) FILTER (is_anomaly) AS n1, count(*) FILTER (NOT is_anomaly) AS n0, avg(anomaly_score) FILTER (is_anomaly) AS m1, avg(anomaly_score) FILTER (NOT is_anomaly) AS m0, var_samp(anomaly_score) FILTER (is_anomaly) AS v1, var_samp(anomaly_score) FILTER (NOT is_anomaly) AS v0 FROM {name}x),
+{name} AS (SELECT n1 AS n_anomalies, 100 * n1 / n AS anomaly_rate, coalesce((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n - 2)), 0) AS cohens_d, coalesce(abs(m1 - m0), 0) AS separation FROM {name}k)"""
+
+
+_BANDS = """CASE WHEN cohens_d >= 1.2 THEN 'excellent' WHEN cohens_d >= 0.8 THEN 'good' WHEN cohens_d >= 0.5 THEN 'moderate' WHEN cohens_d >= 0.2 THEN 'weak' ELSE 'poor' END AS effect,
+CASE WHEN anomaly_rate BETWEEN 3 AND 5 THEN 'optimal' WHEN anomaly_rate >= 1.5 AND anomaly_rate < 3 THEN 'conservative' WHEN anomaly_rate > 5 AND anomaly_rate <= 7 THEN 'aggressive' ELSE 'unusual' END AS rate,
+CASE WHEN cohens_d >= 1.2 THEN 4 WHEN cohens_d >= 0.8 THEN 3 WHEN cohens_d >= 0.5 THEN 2 WHEN cohens_d >= 0.2 THEN 1 ELSE 0 END AS cohens_d_points,
+CASE WHEN anomaly_rate BETWEEN 3 AND 5 THEN 4 WHEN anomaly_rate BETWEEN 2 AND 6 THEN 3 WHEN anomaly_rate BETWEEN 1 AND 8 THEN 2 WHEN anomaly_rate BETWEEN 0.5 AND 10 THEN 1 ELSE 0 END AS anomaly_rate_points,
+CASE WHEN separation >= 2 THEN 4 WHEN separation >= 1.5 THEN 3 WHEN separation >= 1 THEN 2 WHEN separation >= 0.5 THEN 1 ELSE 0 END AS separation_points"""
+
+
+@query(f"WITH {_SCORED}, {_performance_sql('y', 5.0)} SELECT n_anomalies, round(anomaly_rate, 6) AS anomaly_rate, round(cohens_d, 6) AS cohens_d, round(separation, 6) AS separation, {_BANDS} FROM y")
+def performance_bands(spark, sf_dir):
+    one = rounded(M.performance(S.flagged(scored_orders(spark, sf_dir))), "anomaly_rate", "cohens_d", "separation")
+    return one.drop("n", "mean_anomaly", "mean_normal")
+
+
+_COMPARED = ("n_anomalies", "anomaly_rate", "cohens_d", "separation")
+
+
+@query(f"""WITH {_SCORED}, {_performance_sql('a1', 8.0)}, {_performance_sql('a2', 4.0)},
+z AS (SELECT {', '.join(f'a1.{c} AS before_{c}, a2.{c} AS after_{c}, a2.{c} - a1.{c} AS change_{c}' for c in _COMPARED)} FROM a1, a2),
+v AS (SELECT *, change_cohens_d > 0.1 OR (after_anomaly_rate BETWEEN 3 AND 5 AND NOT before_anomaly_rate BETWEEN 3 AND 5) OR change_separation > 0 AS better, change_cohens_d < -0.1 OR after_anomaly_rate > 10 OR after_anomaly_rate < 0.5 AS worse FROM z)
+SELECT {', '.join(f'before_n_anomalies, after_n_anomalies, change_n_anomalies' if c == 'n_anomalies' else ', '.join(f'round({w}_{c}, 6) AS {w}_{c}' for w in ('before', 'after', 'change')) for c in _COMPARED)},
+CASE WHEN better AND NOT worse THEN 'significant_improvement' WHEN better THEN 'mixed_results' WHEN worse THEN 'performance_degradation' ELSE 'marginal_changes' END AS assessment FROM v""")
+def compare_results(spark, sf_dir):
+    """The orders flagged at a share of 8 percent and at 4 percent."""
+    scored = scored_orders(spark, sf_dir)
+    before, after = (M.performance(S.flagged(scored, share=x)) for x in (8.0, 4.0))
+    return rounded(M.comparison(before, after), *[f"{w}_{c}" for w in ("before", "after", "change") for c in _COMPARED[1:]])
+
+
 @query(f"WITH {_CLASSES}, y AS (SELECT 100 * n1 / n AS rate FROM k) SELECT round(greatest(exp(-0.5 * (rate - 4) * (rate - 4)), 0.8 * exp(-0.5 * power((rate - 1.5) / 0.5, 2)), 0.6 * exp(-0.5 * power((rate - 7) / 1.5, 2))), 6) AS rate_score FROM y")
 def detection_rate_score(spark, sf_dir):
     return S.separation(S.flagged(scored_orders(spark, sf_dir))).select(F.round(S.rate_score(F.col("anomaly_rate")), 6).alias("rate_score"))
@@ -292,13 +438,33 @@ def distance_loglik(spark, sf_dir):
 @query()
 def network_arcs(spark, sf_dir):
     """Parent and child of each arc that hill climbing on BIC finds. The search is no SQL."""
-    columns = ["n_lines", "quantity", "price", "n_returned"]
-    found = N.hill_climb(S.bin_columns(order_rollup(spark, sf_dir), columns, 3), columns)
+    found = N.hill_climb(S.bin_columns(order_rollup(spark, sf_dir), ROLLUP, 3), ROLLUP)
+    return spark.createDataFrame([(p, c) for c, ps in found.items() for p in ps], "parent string, child string")
+
+
+@query()
+def learned_networks(spark, sf_dir):
+    """Arcs of each of the rollup's groups, all rows and columns. The search is no SQL."""
+    found = N.learned_networks(S.bin_columns(order_rollup(spark, sf_dir), ROLLUP, 3), HALVES)
+    return spark.createDataFrame([(i, p, c) for i, net in found.items() for c, ps in net.items() for p in ps], "group_id long, parent string, child string")
+
+
+@query()
+def pc_arcs(spark, sf_dir):
+    """Arcs of the rollup's columns by conditional independence tests. The search is no SQL."""
+    found = N.pc_arcs(S.bin_columns(order_rollup(spark, sf_dir), ROLLUP, 3), ROLLUP)
     return spark.createDataFrame([(p, c) for c, ps in found.items() for p in ps], "parent string, child string")
 
 
+@query()
+def detect_unusual(spark, sf_dir):
+    """Clean, group, score and flag the rollup of all orders. The grouping loop is no SQL; its parts have their own queries."""
+    _, _, scored = MD.detect(order_rollup(spark, sf_dir), "l_orderkey", ROLLUP, places=9)
+    return rounded(scored, "anomaly_score").select("l_orderkey", "anomaly_score", "is_anomaly")
+
+
 def order_vectors(spark, sf_dir) -> DataFrame:
-    return FT.counted_vectors(S.log_likelihoods(order_features(spark, sf_dir), ORDERS), ORDERS.scores)
+    return saved(FT.counted_vectors(order_likelihoods(spark, sf_dir), ORDERS.scores), "vectors")
 
 
 @query()
@@ -310,18 +476,17 @@ def candidate_fitness(spark, sf_dir):
 
 
 def _search(run, spark, sf_dir) -> DataFrame:
-    """History of a search. The vectors, which every generation reads, are computed once."""
-    vectors = order_vectors(spark, sf_dir).cache()
+    """History of a search. The vectors, which every generation reads, are a saved table."""
+    vectors = order_vectors(spark, sf_dir)
     found = run(lambda people: FT.population_fitness(vectors, ORDERS.scores, people), len(ORDERS.groups))
-    vectors.unpersist()
     return spark.createDataFrame(found.history, "generation long, best double, mean double, deviation double")
 
 
 @query()
 def genetic_search(spark, sf_dir):
-    return _search(lambda judge, k: O.genetic(judge, k, population=16, generations=3), spark, sf_dir)
+    return _search(lambda judge, k: O.genetic(judge, k), spark, sf_dir)
 
 
 @query()
 def cma_es_search(spark, sf_dir):
-    return _search(lambda judge, k: O.cma_es(judge, k, generations=4), spark, sf_dir)
+    return _search(lambda judge, k: O.cma_es(judge, k), spark, sf_dir)
