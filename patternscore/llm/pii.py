@@ -3,7 +3,7 @@
 One pass finds every candidate span: the base patterns (which stay whatever the method says) and looser ones. Labelers
 (format, checksum, gazetteers, context words, surroundings) vote for, against or not at all on each. Expectation-maximisation
 estimates each labeler's reliability without labels; votes take few values, so the count of each vote pattern says all that it needs.
-The resulting probabilities train a logistic span classifier on votes and shapes, which decides which looser spans are added.
+The resulting probabilities train a logistic span classifier on votes, shapes and the word before the span, which decides which looser spans are added.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",  # shorter runs are no cards
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser forms of the same kinds, all of bounded length.
+#: Looser forms of the same kinds. A name has 64 characters at most and a label of a domain 63, as mail and host names are defined.
 LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]{0,63}\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]{1,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[a-z0-9-]{1,63}){1,4}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]{0,63}(?:\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]{1,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[a-z0-9-]{1,63})+|\x20@\x20[a-z0-9-]{1,63}(?:\x20?\.\x20?[a-z0-9-]{2,63})+|\x20at\x20[a-z0-9-]{1,63}(?:\x20dot\x20[a-z0-9-]{2,63})+)",
+    "ip": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])",
+    "phone": r"(?<![0-9A-Za-z+(./-])(?:(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}|\(?0[1-9][0-9]{1,3}\)?[/\x20-]{1,3}[0-9]{3,4}[\x20-]?[0-9]{3,4})(?![0-9-])",
 }
 #: Cheap patterns that a text must hold for a base or a looser match to be possible.
 NEEDS = {
@@ -39,10 +39,10 @@ NEEDS = {
     ("ip", True): r"[0-9]\.[0-9]++\.[0-9]",
     ("card", True): r"[0-9](?:[\x20-]?[0-9]){13}",
     ("phone", True): r"\+[0-9]",
-    ("email", False): r"[(\[][aA][tT][)\]]",
-    ("ip", False): r":[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:",
+    ("email", False): r"[(\[][aA][tT][)\]]|\x20@\x20|(?i:\x20at\x20[a-z0-9-]+\x20dot\x20)",
+    ("ip", False): r"::|:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:",
     ("card", False): r"[0-9]\.[0-9]{4}\.[0-9]",
-    ("phone", False): r"[0-9][.\x20-][0-9]{4}",
+    ("phone", False): r"[0-9][.\x20-][0-9]{4}|0[1-9][0-9]{1,3}\)?[/\x20-]",
 }
 #: Matches of a text are gathered in runs of so many, so that a text of very many matches stays cheap.
 _RUN = 128
@@ -60,17 +60,20 @@ CARD_STARTS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 COUNTRY_CODES = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 
 #: Ranges in use of IPv6 (global, unique local, link-local, multicast, and zero for loopback and the like), and eight single bytes: a key's fingerprint or a hardware address.
-V6_STARTS = r"(?i)^(?:[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]|ff[0-9a-f]{2}|0{1,4}):"
+V6_STARTS = r"(?i)^(?:[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]|ff[0-9a-f]{2}|0{0,4}):"
 BYTES = r"^(?:[0-9A-Fa-f]{2}:){7}[0-9A-Fa-f]{2}$"
 
+#: Characters before and after a span that labelers look at, and buckets of the word before it that the classifier knows.
+LEFT, RIGHT, NEAR = 40, 20, 32
+
 VOTES = ("format", "checksum", "gazetteer", "context", "surroundings")
 
 
 def _struct(start: Column, kind: str, value: Column, base: bool, text: Column, want: Column) -> Column:
     end = start + F.length(value)
     return F.struct(
-        start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), F.lit(base).alias("base"), want.alias("valid"), value.substr(1, 80).alias("value"),
-        F.when(start > 0, text.substr(F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40)))).otherwise("").alias("left"), text.substr(end + 1, F.lit(20)).alias("right"),
+        start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), F.lit(base).alias("base"), want.alias("valid"), value.alias("value"),
+        F.when(start > 0, text.substr(F.greatest(start - LEFT + 1, F.lit(1)), F.least(start, F.lit(LEFT)))).otherwise("").alias("left"), text.substr(end + 1, F.lit(RIGHT)).alias("right"),
     )
 
 
@@ -155,13 +158,15 @@ def labeled(spans: DataFrame) -> DataFrame:
             0: _vote(F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1)).isin(*DOMAIN_ENDS), ~value.rlike(r"[A-Za-z]{2,}$")),
             1: F.when(v6, _vote(value.rlike(V6_STARTS), ~value.rlike(V6_STARTS))).otherwise(_vote(value.rlike(r"^(?:10|127|192\.168|172)\.") | value.rlike(r"^[1-9][0-9]{1,2}\."), value.rlike(r"^0"))),
             2: _vote(digits.rlike(CARD_STARTS), ~digits.rlike(r"^[2-6]")),
-            3: _vote(F.when(value.startswith("+"), digits.rlike(COUNTRY_CODES)).otherwise(digits.rlike(r"^[2-9]..[2-9]")), digits.rlike(r"^(?:0000|1234)")),
+            3: _vote(F.when(value.startswith("+"), digits.rlike(COUNTRY_CODES)).otherwise(digits.rlike(r"^(?:[2-9]..[2-9]|0[1-9])")), digits.rlike(r"^(?:0000|1234)")),
         }),
         "context": _vote(reduce(lambda a, k: a | ((F.col("kind") == k) & F.col("left").rlike(CONTEXT[KINDS[k]])), range(len(KINDS)), F.lit(False)), F.col("left").rlike(AGAINST)),
         "surroundings": _vote(F.col("left").rlike(r"(?:^|[\s(\[<:;,\"'])$") & F.col("right").rlike(r"^(?:$|[\s)\]>.;,!?\"'])"), F.col("left").rlike(r"[A-Za-z0-9]$") | F.col("right").rlike(r"^[A-Za-z0-9]")),
     }
     shapes = {"long": (F.length(value) > 20).cast("int"), "grouped": value.rlike(r"[0-9][ .()-]+[0-9]").cast("int"), "letters": value.rlike("[A-Za-z]").cast("int"), "loose": (~strict).cast("int")}
-    return spans.select(*spans.columns, *[v.cast("int").alias(k) for k, v in votes.items()], *[v.alias(f"is_{k}") for k, v in shapes.items()])
+    word = F.lower(F.regexp_extract("left", r"(\p{L}+)\P{L}*$", 1))
+    near = F.when(word == "", -1).otherwise(F.pmod(F.xxhash64(word), F.lit(NEAR))).cast("int")
+    return spans.select(*spans.columns, *[v.cast("int").alias(k) for k, v in votes.items()], *[v.alias(f"is_{k}") for k, v in shapes.items()], near.alias("near"))
 
 
 def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 40) -> tuple[dict[int, float], dict[tuple[int, int, int], float]]:
@@ -206,12 +211,13 @@ def _features() -> list[tuple[str, Column]]:
     flags = [(f"f_{k}", F.col("kind") == i) for i, k in enumerate(KINDS)]
     flags += [(f"f_{n}_{'yes' if v > 0 else 'no'}", F.col(n) == v) for n in VOTES for v in (1, -1)]
     flags += [(f"f_{n}", F.col(f"is_{n}") == 1) for n in ("long", "grouped", "letters", "loose")]
+    flags += [(f"f_near_{i}", F.col("near") == i) for i in range(NEAR)]
     return [(n, c.cast("double")) for n, c in flags]
 
 
 def span_classifier(rows: DataFrame, prior: dict, odds: dict) -> Column | None:
-    """Log odds of a span under a logistic regression on votes and shapes, trained on the estimated probabilities."""
-    shapes = ["is_long", "is_grouped", "is_letters", "is_loose"]
+    """Log odds of a span under a logistic regression on votes, shapes and the word before the span, trained on the estimated probabilities."""
+    shapes = ["is_long", "is_grouped", "is_letters", "is_loose", "near"]
     counted = rows.groupBy("kind", *VOTES, *shapes).agg(F.count("*").cast("double").alias("n"))  # a bounded number of patterns
     p = 1 / (1 + F.exp(-_log_odds(prior, odds)))
     soft = counted.select("*", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("n") * p).alias("weight")), F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - p)).alias("weight")))).alias("t"))
@@ -219,7 +225,7 @@ def span_classifier(rows: DataFrame, prior: dict, odds: dict) -> Column | None:
     train = VectorAssembler(inputCols=names, outputCol="x").transform(soft.select("t.label", "t.weight", *[c.alias(n) for n, c in _features()])).select("label", "weight", "x").where("weight > 1e-9")
     if train.select("label").distinct().count() < 2:
         return None
-    fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1e-4, maxIter=50).fit(train)
+    fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1e-3, maxIter=50).fit(train)
     out = F.lit(float(fit.intercept))
     for w, (_, f) in zip(fit.coefficients, _features(), strict=True):
         out = out + f * F.lit(float(w))
@@ -240,6 +246,10 @@ def find_pii(docs: DataFrame, least: float = 0.9) -> DataFrame:
     other columns are ignored.
     """
     found = saved(candidate_spans(docs), "spans")
+    # What overlaps a base match is no candidate and no evidence: the base match stands for it.
+    found = found.withColumn("_base", F.filter("spans", lambda s: s["base"]))
+    alone = F.filter("spans", lambda s: s["base"] | ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    found = found.select("doc_id", F.when(F.size("_base") == F.size("spans"), F.col("spans")).otherwise(alone).alias("spans"))
     rows = saved(labeled(found.select(F.explode("spans").alias("s")).select("s.*")), "span-votes")
     counted = rows.groupBy("kind", *VOTES).count().collect()  # at most 4 * 3**5 patterns
     patterns = sorted((r["kind"], tuple(r[v] for v in VOTES), r["count"]) for r in counted)
@@ -255,8 +265,7 @@ def find_pii(docs: DataFrame, least: float = 0.9) -> DataFrame:
     else:
         numbered = found.withColumn("uid", F.monotonically_increasing_id())
         numbered = saved(numbered.select("uid", "doc_id", base.alias("base"), F.filter("spans", lambda s: ~s["base"]).alias("loose")), "spans")
-        free = ~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
-        loose = labeled(numbered.select("uid", "base", F.explode("loose").alias("s")).where(free).select("uid", "s.*"))
+        loose = labeled(numbered.select("uid", F.explode("loose").alias("s")).select("uid", "s.*"))
         good = loose.where(score > log(least / (1 - least))).groupBy("uid").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
         more = numbered.join(good, "uid", "left").select("doc_id", "base", F.coalesce("added", added).alias("added"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as bigint) AS n_{k}") for i, k in enumerate(KINDS)]

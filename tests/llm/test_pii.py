@@ -78,6 +78,45 @@ def test_full_ipv6_addresses_are_judged(spark):
     assert all(got[i]["spans"] == said(brute(t)) for i, t in rows[:60])
 
 
+def test_planted_looser_forms_and_decoys(spark):
+    """Precision and recall of added spans: the looser forms are planted in prose beside things that only look like them."""
+    rng = random.Random(12)
+    say = lambda *w: rng.choice(w)
+    rows, want = [], {}
+
+    def put(d, before, span, kind, after, good):
+        text = f"{rng.choice(['so', 'well', 'then'])} {before} {span}{after}"
+        rows.append((d, text))
+        at = text.index(span)
+        want[d] = f"{kind}:{at}:{at + len(span)}" if good else ""
+
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    for i in range(300):
+        rows.append((i, f"{say('call', 'phone', 'tel')} +1 {rng.randrange(201, 989)} 555 {n(4)} or {say('mail', 'contact', 'write')} u{i}@site{i % 7}.com , {say('server', 'host', 'ip')} 10.0.{i % 200}.7 ; card {card(rng)}."))
+    good = {
+        "phone": lambda: (say("call", "phone", "tel", "fax"), say(f"({rng.randrange(201, 989)}) {rng.randrange(201, 989)}-{n(4)}", f"0{rng.randrange(30, 99)} {rng.randrange(200, 989)} {n(4)}")),
+        "email": lambda: (say("mail", "contact", "write"), say(f"joe{n(2)} (at) site{n(1)} (dot) com", f"ann{n(2)} at place{n(1)} dot org", f"bo{n(2)}[at]inst{n(1)}.edu")),
+        "ip": lambda: (say("server", "host", "address"), say(f"2001:db8::{n(3)}:{n(2)}", f"fe80::{n(3)}", f"2001:db8:0:0:{n(3)}:8a2e:{n(3)}:1")),
+    }
+    bad = {
+        "phone": lambda: (say("order", "invoice", "serial", "isbn"), f"{rng.randrange(100, 199)}-{rng.randrange(100, 199)}-{n(4)}"),
+        "ip": lambda: (say("hash", "token", "build", "id"), ":".join(f"{rng.randrange(256):02x}" for _ in range(8))),
+    }
+    d = 1000
+    for kinds, ok in ((good, True), (bad, False)):
+        for kind, make in kinds.items():
+            for _ in range(40):
+                before, span = make()
+                put(d, before, span, kind, say(" today", ".", ", thanks", " then"), ok)
+                d += 1
+    got = {r["doc_id"]: r["spans"] for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(bool(w) and got[k] == w for k, w in want.items())
+    false = sum(not w and got[k] != "" for k, w in want.items())
+    assert hits / sum(bool(w) for w in want.values()) >= 0.9
+    assert false <= 0.05 * sum(not w for w in want.values())
+    assert all(got[i] == said(brute(t)) for i, t in rows[:300])
+
+
 def test_no_rows_and_no_spans(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert find_pii(none).collect() == []
