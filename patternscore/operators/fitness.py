@@ -50,6 +50,39 @@ def separation_quality(d: float) -> float:
     return min(1.0, d / 2 + (0.1 if d > 1.5 else 0.0))
 
 
+def local_fitness(values: np.ndarray, counts: np.ndarray, population: list[Candidate]) -> list[float]:
+    """population_fitness() of score vectors (a row each) and their numbers on the driver."""
+    out, rows = [], int(counts.sum())
+    for p in population:
+        if not rows:
+            out.append(0.0)
+            continue
+        s = -values @ np.array(p.weights)
+        order = np.argsort(s, kind="stable")
+        total, ranked = np.cumsum(counts[order]), s[order]
+
+        def cut(share: float, total=total, ranked=ranked) -> float:
+            at = (1 - share / 100) * (rows - 1)
+            low, high = (ranked[np.searchsorted(total, k, side="right")] for k in (np.floor(at), min(np.floor(at) + 1, rows - 1)))
+            return float(low + (at - np.floor(at)) * (high - low))
+
+        a, b, c = (cut(x) for x in (max(LEAST_SHARE, p.share - 0.5), p.share, min(MOST_SHARE, p.share + 0.5)))
+        r: dict = {"n": rows} | {f"n_{k}": int(counts[s > v].sum()) for k, v in (("a", a), ("b", b), ("c", c))}
+        for name, own in (("hit", s > b), ("rest", s <= b)):
+            r |= {f"{name}{k}": float((counts[own] * (s[own] - b) ** k).sum()) for k in (1, 2)}
+        out.append(_fitness(r, p))
+    return out
+
+
+def judge_of(vectors: DataFrame, scores: list[str], most: int = 100_000):
+    """A judge of populations over counted_vectors(), which should be a saved table: up to ``most`` vectors are judged on the driver, more by Spark."""
+    if vectors.limit(most + 1).count() > most:
+        return lambda population: population_fitness(vectors, scores, population)
+    rows = vectors.select(*scores, "_rows").collect()  # at most ``most``
+    own = np.array([tuple(r) for r in rows], float).reshape(-1, len(scores) + 1)
+    return lambda population: local_fitness(own[:, :-1], own[:, -1], population)
+
+
 def population_fitness(vectors: DataFrame, scores: list[str], population: list[Candidate]) -> list[float]:
     """Fitness (0 to 100) of each candidate; 0 where nothing or half of the rows and more would be flagged.
 

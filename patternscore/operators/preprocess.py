@@ -147,7 +147,8 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
-    row = first_row(df, *[F.min(c) == F.max(c) for c in columns]) if columns else []
+    """Columns of one value or none."""
+    row = first_row(df, *[F.coalesce(F.min(c) == F.max(c), F.lit(True)) for c in columns]) if columns else []
     return [c for c, same in zip(columns, row, strict=True) if same]
 
 

@@ -296,11 +296,11 @@ def _dated_fit(spark, sf_dir):
     return rows, cleaner
 
 
-@query(f"WITH {_CLEANED} SELECT o_orderkey, round(price, 6) AS price, status, priority FROM clean WHERE NOT old")
+@query(f"WITH {_CLEANED} SELECT o_orderkey, round(price, 4) AS price, status, priority FROM clean WHERE NOT old")
 def fit_transform_new(spark, sf_dir):
     """New orders, cleaned as the old ones were; a status that no old order had is code 0."""
     rows, cleaner = _dated_fit(spark, sf_dir)
-    return rounded(cleaner.transform(rows.where("NOT old")), "price")
+    return rounded(cleaner.transform(rows.where("NOT old")), "price", places=4)
 
 
 def _old_bin(c: str) -> str:
@@ -478,7 +478,7 @@ def candidate_fitness(spark, sf_dir):
 def _search(run, spark, sf_dir) -> DataFrame:
     """History of a search. The vectors, which every generation reads, are a saved table."""
     vectors = order_vectors(spark, sf_dir)
-    found = run(lambda people: FT.population_fitness(vectors, ORDERS.scores, people), len(ORDERS.groups))
+    found = run(FT.judge_of(vectors, ORDERS.scores), len(ORDERS.groups))
     return spark.createDataFrame(found.history, "generation long, best double, mean double, deviation double")
 
 

@@ -1,12 +1,17 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from patternscore.operators import fitness as FT
+from patternscore.operators import forest as FO
 from patternscore.operators import grouping as G
+from patternscore.operators import metrics as M
+from patternscore.operators import model as MD
 from patternscore.operators import networks as N
 from patternscore.operators import optimise as O
 from patternscore.operators import preprocess as P
+from patternscore.operators import ranks as R
 from patternscore.operators import scoring as S
 from patternscore.plans.registry import ORACLE_SQL, QUERIES
 from patternscore.sources import tables as T
@@ -85,6 +90,9 @@ def test_fitness_of_a_population(spark):
     people = [FT.Candidate.of(np.array([*w, t])) for w, t in (((1, 1, 1, 1), 5), ((0.1, 0.5, 0.9, 0.3), 1.2), ((1, 0.2, 0.2, 0.1), 9.9))]
     got = FT.population_fitness(FT.counted_vectors(df, list("abcd")), list("abcd"), people)
     assert got == pytest.approx([plain_fitness(rows, p) for p in people], abs=1e-6)
+    for most in (10, 10_000):  # by Spark and on the driver
+        judge = FT.judge_of(FT.counted_vectors(df, list("abcd")), list("abcd"), most)
+        assert judge(people) == pytest.approx(got, abs=1e-6)
     one = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)] * 20, df.schema)
     assert FT.population_fitness(FT.counted_vectors(one, list("abcd")), list("abcd"), people) == [0.0] * 3
     assert FT.population_fitness(FT.counted_vectors(one.limit(0), list("abcd")), list("abcd"), people) == [0.0] * 3
@@ -112,6 +120,120 @@ def test_hill_climbing_finds_the_arcs(spark):
     assert N.factorised_log_likelihood(new, {"a": [], "b": ["a"]}, table_of=df).where("a = 9").first()["ll"] == -20.0
 
 
+def test_quantiles_ranks_and_totals(spark):
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 5, 3000):
+        x, y = rng.integers(0, 40, n).astype(float), rng.normal(size=n)
+        rows = [(a, b if i % 7 else None) for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))]
+        df = spark.createDataFrame(rows, "x double, y double").repartition(3)
+        got = R.exact_quantiles(df, ["x", "y"], [0.0, 0.25, 0.5, 0.95, 1.0])
+        for c, values in (("x", x), ("y", y[np.arange(n) % 7 != 0])):
+            want = np.quantile(values, [0.0, 0.25, 0.5, 0.95, 1.0]).tolist() if len(values) else [None] * 5
+            assert got[c] == pytest.approx(want)
+    totals = R.running_total(spark.range(1000).withColumn("w", F.col("id") % 3), ["id"], F.col("w"), "t").orderBy("id").collect()
+    assert [r["t"] for r in totals] == np.cumsum(np.arange(1000) % 3).tolist()
+    one = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "x string")
+    assert sorted(tuple(r) for r in P.label_codes(one, "x").collect()) == [("a", 0), ("b", 1), ("nan", 2)]
+
+
+def test_model_freezes_what_it_fitted(spark):
+    """Old and new rows: a new pattern, a new category, values outside the edges, nulls and infinities."""
+    old = spark.createDataFrame([(i, float(i % 4), "ab"[i % 2], 1.0, None if i % 3 else 2.0) for i in range(40)], "id long, x double, c string, same double, sparse double")
+    cleaner = MD.Cleaner.fit(old, "id", ["x", "c", "same", "sparse"])
+    assert cleaner.columns == ["x", "c"] and sorted(cleaner.dropped) == ["same", "sparse"]
+    clean = cleaner.transform(old)
+    model = MD.Model.fit(clean, S.Plan("id", [["x", "c"]], 4), share=10.0)
+    again = {r["id"]: r["anomaly_score"] for r in model.score(clean).collect()}
+    new = spark.createDataFrame([(0, 0.0, "a", 1.0, 2.0), (100, 0.0, "b", 1.0, None), (101, float("inf"), "never", 1.0, None), (102, 1e9, None, 1.0, None)], old.schema)
+    got = {r["id"]: r for r in model.score(cleaner.transform(new)).collect()}
+    assert got[0]["anomaly_score"] == again[0]
+    # Pattern (0, b) was never seen: each of the four that were has ten rows.
+    assert got[100]["group_0"] == pytest.approx(np.log(1 / 44)) and got[100]["is_anomaly"]
+    rows = {r["id"]: r for r in cleaner.transform(new).collect()}
+    assert rows[101]["c"] == 0 and rows[102]["c"] == 0 and rows[101]["x"] == pytest.approx(0.0)  # code of no category, mode, median
+    assert {r["column_name"]: r["state"] for r in cleaner.summary(spark).collect()} == {"x": "kept", "c": "kept", "same": "dropped", "sparse": "dropped"}
+    with pytest.raises(ValueError):
+        MD.Cleaner.fit(old.limit(0), "id", ["x", "c"])
+
+
+def test_scores_read_the_rows_once_for_any_groups(spark):
+    df = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", *[(F.col("l_quantity") + i).alias(f"c{i}") for i in range(12)])
+    plans = [S.flagged(S.anomaly_scores(S.log_likelihoods(df, p), p)) for p in (S.Plan("l_orderkey", [[f"c{i}" for i in range(a, a + k)] for a in range(0, 12, k)], 3) for k in (6, 2))]
+    for out in plans:
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert text.count("lineitem.parquet") <= 1
+
+
+def test_forest_flags_the_far_end(spark):
+    rng = np.random.default_rng(0)
+    x = np.round(np.concatenate((rng.normal(size=2000), rng.uniform(6, 9, 40))), 4)
+    scored = spark.createDataFrame([(float(v),) for v in x], "anomaly_score double")
+    at = S.threshold_value(scored, "forest", 2.5)
+    assert (x > at).sum() < len(x) and at <= 9
+    cuts, paths = FO.path_lengths(x[:50], np.random.default_rng(1), 6)
+    assert np.all(np.diff(cuts) >= 0) and len(paths) == len(cuts) + 1
+    assert S.threshold_value(scored.limit(0), "forest") is None
+
+
+def test_bands_and_comparison(spark):
+    d = spark.createDataFrame([(x,) for x in (1.2, 0.9, 0.5, 0.3, 0.1)], "x double")
+    assert [r[0] for r in d.select(M.effect_level(F.col("x"))).collect()] == ["excellent", "good", "moderate", "weak", "poor"]
+    r = spark.createDataFrame([(x,) for x in (3.0, 5.0, 1.5, 7.0, 7.1, 0.4)], "x double")
+    assert [x[0] for x in r.select(M.rate_level(F.col("x"))).collect()] == ["optimal", "optimal", "conservative", "aggressive", "unusual", "unusual"]
+    assert [x[0] for x in r.select(M.quality_points(F.col("x"), "anomaly_rate")).collect()] == [4, 4, 2, 2, 2, 0]
+
+
+def plain_bic(rows, node, parents):
+    from collections import Counter
+
+    joint, given = Counter(tuple(r[c] for c in (*parents, node)) for r in rows), Counter(tuple(r[c] for c in parents) for r in rows)
+    free = (len({r[node] for r in rows}) - 1) * int(np.prod([len({r[p] for r in rows}) for p in parents] or [1]))
+    return sum(n * np.log(n / given[k[:-1]]) for k, n in joint.items()) - 0.5 * np.log(len(rows)) * free
+
+
+def plain_k2(rows, node, parents):
+    from collections import Counter
+    from math import lgamma
+
+    kinds = sorted({r[node] for r in rows})
+    joint, given = Counter(tuple(r[c] for c in (*parents, node)) for r in rows), Counter(tuple(r[c] for c in parents) for r in rows)
+    return sum(lgamma(len(kinds)) - lgamma(n + len(kinds)) + sum(lgamma(joint[(*g, k)] + 1) for k in kinds) for g, n in given.items())
+
+
+def test_structure_scores_and_searches(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    a, b = rng.choice(3, n, p=[0.6, 0.3, 0.1]), rng.integers(0, 2, n)
+    c = (a + b + (rng.random(n) < 0.1)) % 3
+    d = (c + (rng.random(n) < 0.15)) % 3
+    rows = [dict(zip("abcd", map(int, r), strict=True)) for r in zip(a, b, c, d, strict=True)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "a long, b long, c long, d long")
+    sums = N.SetSums(N.counted_patterns(df, list("abcd")))
+    families = [("c", frozenset("ab")), ("d", frozenset("c")), ("a", frozenset())]
+    sums.ask({frozenset()} | {frozenset(x) for x in "abcd"} | {s for x, ps in families for s in (ps, ps | {x})})
+    sums.ask_counts(set(families))
+    for x, ps in families:
+        assert sums.bic(x, ps) == pytest.approx(plain_bic(rows, x, sorted(ps)))
+        assert sums.k2(x, ps) == pytest.approx(plain_k2(rows, x, sorted(ps)), rel=1e-9)
+    arcs, _ = N.skeleton(df, list("abcd"), alpha=0.001)
+    assert arcs == {frozenset("ac"), frozenset("bc"), frozenset("cd")}
+    assert N.pc_arcs(df, list("abcd"), alpha=0.001) == {"a": [], "b": [], "c": ["a", "b"], "d": ["c"]}
+    for score in ("bic", "k2"):
+        found = N.hill_climb(df, list("abcd"), score=score)
+        assert {frozenset((p, x)) for x, ps in found.items() for p in ps} >= {frozenset("ac"), frozenset("bc"), frozenset("cd")}
+    assert set(N.learned_networks(df, [["a", "b"], ["c"], ["c", "d"]])) == {0, 2}
+    for x, free, want in ((3.841458821, 1, 0.05), (5.991464547, 2, 0.05), (18.30703805, 10, 0.05), (1e-9, 3, 1.0), (200.0, 5, 2.8e-41)):
+        assert N.chi_square_tail(x, free) == pytest.approx(want, rel=1e-2)
+
+
+def test_group_files_and_domains(spark, tmp_path):
+    groups = [["a", "b"], ["c"]]
+    G.save_groups(spark, groups, str(tmp_path / "groups"))
+    assert G.load_groups(spark, str(tmp_path / "groups")) == groups
+    names = ["V_1", "V_2", "V_3", "phase_Gr_V_1", "I_1", "I_2", "I_3", "x", "THD_1"]
+    assert G.domain_groups(names, 10) == [["V_1", "V_2", "V_3", "phase_Gr_V_1", "THD_1"], ["I_1", "I_2", "I_3", "x"]]
+
+
 def test_more_groups():
     corr = np.eye(6)
     for i, j in ((0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)):
