@@ -65,3 +65,25 @@ def test_held_out_accuracy(spark):
     share = {r["bad"]: r["share"] for r in out}
     # Some labels of this table contradict their texts: toxic ones on texts of pure junk.
     assert share[True] > 0.8 and share[False] < 0.01
+
+
+def test_scores_match_a_plain_scorer(spark):
+    """The whole result of a fitted model, text by text, without Spark or numpy."""
+    import math
+    import re
+
+    import xxhash
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = fit_severity(docs, grades_of(labels), least_z=2.0)
+    weights = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    got = {r["doc_id"]: r for r in score_severity(docs.select("doc_id", "text"), model).collect()}
+    assert len(got) == docs.count() and len(weights) > 5
+    for r in docs.select("doc_id", "text").collect():
+        words = set(re.findall(r"\w+", (r["text"] or "").lower()))
+        names = words | {w[:n] + "*" for w in words for n in (3, 4, 5, 6, 8) if len(w) > n}
+        score = sum(weights.get(f, 0.0) for f in {xxhash.xxh64_intdigest(x.encode()) % (1 << 18) for x in names})
+        above = [1 / (1 + math.exp(c - score)) for c in model.thresholds.tolist()]
+        one = got[r["doc_id"]]
+        assert abs(one["severity"] - sum(above)) < 1e-9
+        assert one["grade"] == sum(a > 0.5 for a in above) and one["toxic"] == (above[0] >= 0.35)
