@@ -29,8 +29,8 @@ _MEMO = 800_000
 _PER_TASK = 250_000
 #: A round that places a smaller share of its pieces is the last before new sequences are opened.
 _LEAST_PLACED = 0.05
-#: Kinds of rows: a piece that has its place, a piece that has none, a gap.
-_PLACED, _FREE, _GAP = 0, 1, 2
+#: Kinds of rows: a piece that has its place, a piece that has none, a gap, and what a range has over (seq) and lacks (cum).
+_PLACED, _FREE, _GAP, _SUM = 0, 1, 2, 3
 
 
 class Tokens:
@@ -174,7 +174,7 @@ def _sweeper(most: int, opening: bool, by_cell: bool):
     """
 
     def make():
-        now: dict = {"cell": None, "sweep": None, "low": most}
+        now: dict = {"cell": None, "sweep": None, "low": most, "lacking": 0}
 
         def closed(out):
             if now["sweep"] is None:
@@ -184,10 +184,12 @@ def _sweeper(most: int, opening: bool, by_cell: bool):
                 fits = room >= now["low"]
                 out.append((_GAP, now["cell"], seq, 0, room, 0, cum if fits else -1))
                 cum += room * fits
+            if cum or now["lacking"]:
+                out.append((_SUM, now["cell"], 0, cum, 0, 0, now["lacking"]))
 
         def begin(cell, out):
             closed(out)
-            now.update(cell=cell, sweep=Sweep(most, opening), low=most)
+            now.update(cell=cell, sweep=Sweep(most, opening), low=most, lacking=0)
 
         def columns(out):
             names = ("kind", "cell", "id", "seq", "size", "at", "cum")
@@ -203,6 +205,7 @@ def _sweeper(most: int, opening: bool, by_cell: bool):
                 if kind == _GAP:
                     now["sweep"].add(i, size)
                 elif (found := now["sweep"].place(i, size)) is None:
+                    now["lacking"] += size
                     out.append((_FREE, cell, i, 0, size, 0, -1))
                 else:
                     out.append((_PLACED, cell, i, found[0], size, found[1], -1))
@@ -243,7 +246,8 @@ def sequences(short: DataFrame, most: int, per_task: int = _PER_TASK) -> DataFra
     rows = short.select("id", F.col("length").cast("int").alias("size"))
     large = rows.where(F.col("size") > most // 2)
     gaps = large.select("id", (F.lit(most) - F.col("size")).alias("size"))
-    free, placed, few = rows.where(F.col("size") <= most // 2), [large.select("id", F.col("id").alias("seq"), F.lit(0).alias("at"))], False
+    free, placed = rows.where(F.col("size") <= most // 2), [large.select("id", F.col("id").alias("seq"), F.lit(0).alias("at"))]
+    before = None  # pieces that had no place before the last round of matching
 
     def kept(swept: DataFrame, kind: int) -> DataFrame:
         return swept.where(F.col("kind") == kind)
@@ -257,22 +261,22 @@ def sequences(short: DataFrame, most: int, per_task: int = _PER_TASK) -> DataFra
         state = free.agg(F.count("*").alias("n"), F.max("size").alias("top"), F.min("size").alias("low")).first()
         if not state["n"]:
             break
+        few = before is not None and before - state["n"] < _LEAST_PLACED * before
         gaps = gaps.where(F.col("size") >= state["low"])  # what is smaller holds no piece any more
         n_gaps = gaps.count()
         if few or not n_gaps:
             opens = F.col("size") > state["top"] // 2
             out = swept(free.where(opens).select(F.lit(_FREE).alias("kind"), "id", "size"), state["n"], True)
             placed.append(kept(out, _PLACED).select("id", "seq", "at"))
-            gaps, free, few = gaps.union(kept(out, _GAP).select("id", "size")), free.where(~opens), False
+            gaps, free = gaps.union(kept(out, _GAP).select("id", "size")), free.where(~opens)
+            before = None
             continue
         both = free.select(F.lit(_FREE).alias("kind"), "id", "size").union(gaps.select(F.lit(_GAP).alias("kind"), "id", "size"))
         first = swept(both, state["n"] + n_gaps, False)
         placed.append(kept(first, _PLACED).select("id", "seq", "at"))
         free, gaps = kept(first, _FREE), kept(first, _GAP)
-        over = F.coalesce(F.sum(F.when((F.col("kind") == _GAP) & (F.col("cum") >= 0), F.col("size"))), F.lit(0))
-        lacking = F.coalesce(F.sum(F.when(F.col("kind") == _FREE, F.col("size"))), F.lit(0))
-        sums = first.where(F.col("kind") != _PLACED).groupBy("cell").agg(over.alias("over"), lacking.alias("lacking")).collect()  # a row for each task of the sort
-        moves = stretches([(r["cell"], r["over"], r["lacking"]) for r in sorted(sums, key=lambda r: r["cell"])])
+        sums = kept(first, _SUM).select("cell", "seq", "cum").collect()  # a row for each task of the sort
+        moves = stretches(sorted((r["cell"], r["seq"], r["cum"]) for r in sums))
         if moves:
             plan = F.broadcast(short.sparkSession.createDataFrame(pa.table([pa.array(x, t) for x, t in zip(zip(*moves, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["giver", "a", "b", "target"])))  # under two rows for each task
             found = gaps.join(plan, (F.col("cell") == F.col("giver")) & (F.col("cum") >= F.col("a")) & (F.col("cum") < F.col("b")), "left")
@@ -283,7 +287,7 @@ def sequences(short: DataFrame, most: int, per_task: int = _PER_TASK) -> DataFra
             placed.append(kept(second, _PLACED).select("id", "seq", "at"))
             free, gaps = kept(second, _FREE), kept(second, _GAP).select("id", "size").union(found.where("target IS NULL").select("id", "size"))
         free, gaps = free.select("id", "size"), gaps.select("id", "size")
-        few = state["n"] - free.count() < _LEAST_PLACED * state["n"]
+        before = state["n"]
     return reduce(DataFrame.union, placed).select("id", F.col("seq").alias("sequence_id"), F.col("at").cast("long").alias("offset"))
 
 
