@@ -151,7 +151,7 @@ def _owner():
     return f
 
 
-def exact_dedup(docs: DataFrame, bucket_rows: int = 4096, merge_bytes: int = 32 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, bucket_rows: int = 4096, merge_bytes: int = 32 << 20, owner_chars: int = 64 << 20) -> DataFrame:
     """Of texts that are equal without white space (space, tab to carriage return), the longest stays, then the smallest doc_id.
 
     Returns a row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
@@ -159,16 +159,21 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = 4096, merge_bytes: int = 32
     doc_id and length the one with the smaller xxhash64 stays, and rows
     that repeat a doc_id together with its text get the same answer. Other columns are ignored; no rows, no result rows.
     bucket_rows: keys that a bucket holds before it splits; more where the directory would pass its size.
+    owner_chars: characters of different texts that an owner task is to read; owners are as many as the session's shuffle
+    partitions at least, and beyond those no more than buckets.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("n"), text_hash().alias("th"), F.translate(text, SPACES, "").alias("norm"))
     base = base.withColumn("h", F.xxhash64("norm"))
     keyed = saved(base.select("doc_id", "n", "th", "h", F.sha2("norm", 256).alias("sha")), "keys")
-    keys = saved(keyed.select("h").distinct(), "different-keys")
-    directory = build_directory(keys, max(bucket_rows, 2 * keys.count() // _BUCKETS))
+    keys = saved(keyed.groupBy("h").agg(F.max("n").alias("n")), "different-keys")
+    size = keys.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars")).first()
+    directory = build_directory(keys.select("h"), max(bucket_rows, 2 * size["keys"] // _BUCKETS))
     merged = arrow_pass(base.withColumn("norm", F.col("norm").cast("binary")), _merger(directory, merge_bytes), "bucket int, h long, norm binary, n int, doc_id long, th long, copies long")
-    owners = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    owned = merged.repartition(F.expr(f"bucket * {owners}L div {len(directory)}")).sortWithinPartitions("bucket", "h")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owners = max(least, min(len(directory), -(-size["chars"] // owner_chars)))
+    owner = F.expr(f"bucket * {owners}L div {len(directory)}")
+    owned = (merged.repartition(owners, owner) if owners > least else merged.repartition(owner)).sortWithinPartitions("bucket", "h")
     index = saved(arrow_pass(owned, _owner, "bucket int, h long, chain int, sha string, keep_n int, keep_id long, keep_th long, group_size long"), "exact-index")
     found = keyed.withColumn("bucket", _bucket(directory, "h")).join(index, ["bucket", "h", "sha"])
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n")) & (F.col("th") == F.col("keep_th"))

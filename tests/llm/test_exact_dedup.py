@@ -24,7 +24,7 @@ ROWS = [(1, "a b c"), (2, "abc"), (3, "a  bc"), (4, None), (5, ""), (6, " \n"),
 
 def test_matches_brute_force(spark):
     df = spark.createDataFrame([(d, t, "x", 5) for d, t in ROWS], "doc_id long, text string, h string, n int")
-    for kw in ({}, {"bucket_rows": 1, "merge_bytes": 1}):
+    for kw in ({}, {"bucket_rows": 1, "merge_bytes": 1}, {"bucket_rows": 1, "owner_chars": 1}):
         assert sorted((tuple(r) for r in exact_dedup(df, **kw).collect()), key=repr) == brute(ROWS)
 
 
