@@ -6,7 +6,7 @@ import importlib
 import importlib.util
 
 #: Modules that hold QUERIES and ORACLE_SQL.
-_PARTS = ["q_exact_dedup", "q_simhash", "q_decontaminate", "q_warc", "q_substrings", "q_line_dedup", "q_packing", "q_toxicity", "q_pii", "q_conversations", "q_spelling"]
+_PARTS = ["q_exact_dedup", "q_simhash", "q_decontaminate", "q_warc", "q_substrings", "q_line_dedup", "q_packing", "q_toxicity", "q_pii", "q_conversations", "q_spelling", "q_sketch_dedup"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
