@@ -91,7 +91,7 @@ class Model:
     def fit(cls, df: DataFrame, plan: S.Plan, how: str = "mean", weights: list[float] | None = None, zscore: bool = True, method: str = "percentile", share: float = 5.0, deviations: float = 2.0, places: int | None = None) -> Model:
         """places: decimals that scores are rounded to before they meet the threshold, so that equal patterns tie."""
         edges = S.fitted_edges(df, plan.columns)
-        table = saved(S.log_frequencies(S.pattern_counts(S.bin_columns(df, plan.columns, plan.bins, edges), plan)), "frequencies")
+        table = S.frequency_table(df, plan, edges)
         ll = saved(S.log_likelihoods(df, plan, table, edges), "likelihoods")
         out = cls(plan, edges, table, how, weights, S.centre(ll, plan, how, weights) if zscore else None, None, places)
         out.threshold = S.threshold_value(out._scored(ll), method, share, deviations)

@@ -1,13 +1,14 @@
 """Equal-width bins, pattern frequencies, group scores, thresholds and their explanation.
 
 Edges, frequencies, mean, deviation and threshold are fitted once: a few numbers on the driver, and one saved table of pattern
-frequencies (at most bins ** columns rows a group). Applying them reads the rows once whatever the number of groups. Rows that repeat
+frequencies (wide groups have nearly as many as rows). Applying them takes the same number of shuffles whatever the number of groups. Rows that repeat
 count as often as they stand there; an empty table has no scores and no threshold.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,27 +68,98 @@ def pattern_counts(binned: DataFrame, plan: Plan) -> DataFrame:
     return binned.select(F.inline(each)).groupBy("group_id", "pattern").agg(F.count("*").alias("n"))
 
 
+#: Pattern frequencies that are sent to all tasks at most; rows of rarer patterns travel to their frequencies.
+MOST_SENT = 100_000
+#: Columns whose codes fit one 64-bit number, for a number of bins.
+_FIT = lambda bins: int(62 / log2(bins + 1))
+
+
+def codes(plan: Plan) -> list[Column]:
+    """A code of each group's pattern of bins, exact: digits of base bins + 1 (null is a digit) in a bigint, or in several as text if some group is wider."""
+    out, wide = [], any(len(g) > _FIT(plan.bins) for g in plan.groups)
+    for g in plan.groups:
+        numbers = []
+        for part in (g[i : i + _FIT(plan.bins)] for i in range(0, len(g), _FIT(plan.bins))):
+            number = "0L"
+            for c in part:
+                number = f"({number} * {plan.bins + 1} + coalesce(`{c}`, {plan.bins}))"
+            numbers.append(F.expr(number))  # as text: thousands of calls for each of its parts take seconds
+        out.append(F.concat_ws(",", *[n.cast("string") for n in numbers]) if wide else numbers[0])
+    return out
+
+
+def coded(df: DataFrame, plan: Plan, edges: dict[str, tuple] | None = None) -> DataFrame:
+    """key and code_<i>, the code of each group's pattern."""
+    binned = bin_columns(df, plan.columns, plan.bins, edges)
+    return binned.select(plan.key, *[c.alias(f"code_{i}") for i, c in enumerate(codes(plan))])
+
+
+def code_counts(rows: DataFrame, plan: Plan) -> DataFrame:
+    """group_id, code, n of coded() rows: all groups in one shuffle of partial counts."""
+    each = F.array(*[F.struct(F.lit(i).cast("long").alias("group_id"), F.col(f"code_{i}").alias("code")) for i in range(len(plan.groups))])
+    return rows.select(F.inline(each)).groupBy("group_id", "code").agg(F.count("*").alias("n"))
+
+
 def log_frequencies(counts: DataFrame) -> DataFrame:
-    """group_id, pattern, ll = ln((n + 1) / (rows + patterns)); a saved table of these scores new rows too."""
+    """group_id, pattern (or code), n, ll = ln((n + 1) / (rows + patterns)) and unseen, the same of n = 0; a saved table of these scores new rows too."""
     sizes = counts.groupBy("group_id").agg(F.sum(F.col("n") + 1).alias("total"))
-    return counts.join(sizes, "group_id").select("group_id", "pattern", F.ln((F.col("n") + 1) / F.col("total")).alias("ll"), F.ln(1 / F.col("total")).alias("unseen"))
+    key = "code" if "code" in counts.columns else "pattern"
+    return counts.join(F.broadcast(sizes), "group_id").select("group_id", key, "n", F.ln((F.col("n") + 1) / F.col("total")).alias("ll"), F.ln(1 / F.col("total")).alias("unseen"))  # a row for each group
+
+
+def frequency_table(df: DataFrame, plan: Plan, edges: dict[str, tuple] | None = None) -> DataFrame:
+    """Saved log_frequencies() of the rows' codes."""
+    return saved(log_frequencies(code_counts(coded(df, plan, edges), plan)), "frequencies")
+
+
+def _sent_from(table: DataFrame, most: int) -> int:
+    """The least power of two such that at most ``most`` patterns of the table occur so often."""
+    bands = {r["b"]: r["c"] for r in table.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("c")).collect()}  # 63 rows at most
+    at = max(bands, default=0) + 1
+    while at and (most := most - bands.get(at - 1, 0)) >= 0:
+        at -= 1
+    return 1 << at
 
 
-def log_likelihoods(df: DataFrame, plan: Plan, table: DataFrame | None = None, edges: dict[str, tuple] | None = None) -> DataFrame:
+def log_likelihoods(df: DataFrame, plan: Plan, table: DataFrame | None = None, edges: dict[str, tuple] | None = None, most: int = MOST_SENT) -> DataFrame:
     """key and a column group_<i> per group.
 
     table and edges: saved log_frequencies() and fitted_edges() of other rows; a pattern that the table lacks counts as seen 0 times.
-    The table is small (Spark broadcasts it by its size on disk), so all groups are looked up in one pass over the rows.
+    The most frequent patterns, ``most`` at most, go to all tasks. If that is not all of them, what a row still lacks travels as
+    (row, group, code), for all groups in one shuffle, to the rest of the table and back in a second one: none of those keys is a hot one, as
+    all frequent patterns were sent.
     """
-    out = bin_columns(df, plan.columns, plan.bins, edges)
+    by_code = table is None or "code" in table.columns
+    edges = edges or fitted_edges(df, plan.columns)
+    if by_code:
+        rows = coded(df, plan, edges)
+    else:
+        rows = bin_columns(df, plan.columns, plan.bins, edges).select(plan.key, *[pattern(g).alias(f"code_{i}") for i, g in enumerate(plan.groups)])
     if table is None:
-        table = saved(log_frequencies(pattern_counts(out, plan)), "frequencies")
+        rows = _numbered(rows)
+        table = saved(log_frequencies(code_counts(rows, plan)), "frequencies")
+    table = table.withColumnRenamed("pattern", "code")
     unseen = {r["group_id"]: r["u"] for r in table.groupBy("group_id").agg(F.max("unseen").alias("u")).collect()}  # a row for each group
-    out = out.select(plan.key, *[pattern(g).alias(f"_p{i}") for i, g in enumerate(plan.groups)])
-    for i, name in enumerate(plan.scores):
-        own = table.where(F.col("group_id") == i).select(F.col("pattern").alias(f"_q{i}"), F.col("ll").alias(f"_l{i}"))
-        out = out.join(own, F.col(f"_p{i}") == F.col(f"_q{i}"), "left").withColumn(name, F.coalesce(f"_l{i}", F.lit(unseen.get(i)).cast("double")))
-    return out.select(plan.key, *plan.scores)
+    least = _sent_from(table, most)
+    if least > 1 and "_r" not in rows.columns:
+        rows = _numbered(rows)
+    for i in range(len(plan.groups)):
+        own = table.where((F.col("group_id") == i) & (F.col("n") >= least)).select(F.col("code").alias(f"_q{i}"), F.col("ll").alias(f"_l{i}"))
+        rows = rows.join(F.broadcast(own), F.col(f"code_{i}") == F.col(f"_q{i}"), "left").drop(f"_q{i}")
+    found = [[F.col(f"_l{i}")] for i in range(len(plan.groups))]
+    if least > 1:
+        each = F.array(*[F.struct(F.lit(i).cast("long").alias("group_id"), F.col(f"code_{i}").alias("code"), F.col(f"_l{i}").isNull().alias("open")) for i in range(len(plan.groups))])
+        left = rows.select("_r", F.inline(F.filter(each, lambda x: x["open"])))
+        rare = left.join(table.where(F.col("n") < least).select("group_id", "code", "ll"), ["group_id", "code"])
+        back = rare.groupBy("_r").agg(*[F.max(F.when(F.col("group_id") == i, F.col("ll"))).alias(f"_m{i}") for i in range(len(plan.groups))])
+        rows = rows.join(back, "_r", "left")
+        found = [[*f, F.col(f"_m{i}")] for i, f in enumerate(found)]
+    return rows.select(plan.key, *[F.coalesce(*f, F.lit(unseen.get(i)).cast("double")).alias(name) for i, (f, name) in enumerate(zip(found, plan.scores, strict=True))])
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Saved rows with a number of their own, _r: a narrow table of key and codes that later passes read instead of the rows."""
+    return saved(rows.withColumn("_r", F.monotonically_increasing_id()), "codes")
 
 
 def aggregated(scores: list[str], how: str = "mean", weights: list[float] | None = None) -> Column:

@@ -202,6 +202,34 @@ def pattern_loglik(spark, sf_dir):
     return rounded(S.log_likelihoods(order_features(spark, sf_dir), ORDERS), "group_0", "group_1")
 
 
+#: Columns of the lineitems of an order, whole numbers or values as they are, in Spark and SQL alike.
+WIDE = {
+    "n_lines": "count(*)", "last_line": "max(l_linenumber)", "min_part": "min(l_partkey)", "max_part": "max(l_partkey)", "min_supp": "min(l_suppkey)", "max_supp": "max(l_suppkey)",
+    **{f"{f}_{c}": f"{f}(l_{c})" for c in ("quantity", "extendedprice", "discount", "tax") for f in ("min", "max")},
+    **{f"n_{x}": f"sum(CASE WHEN l_returnflag = '{x}' THEN 1 ELSE 0 END)" for x in "ANR"}, "n_open": "sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END)",
+    **{f"q_{x}": f"sum(CASE WHEN l_quantity > {x} THEN 1 ELSE 0 END)" for x in (10, 20, 30, 40)}, **{f"d_{x}": f"sum(CASE WHEN l_discount > 0.0{x} THEN 1 ELSE 0 END)" for x in (2, 5, 8)},
+    **{f"p_{x}": f"sum(CASE WHEN l_extendedprice > {x} THEN 1 ELSE 0 END)" for x in (20000, 50000, 80000)},
+}
+#: 14 groups of 10 to 15 of them: nearly every order has patterns of its own.
+WIDE_GROUPS = [[list(WIDE)[(2 * i + j) % len(WIDE)] for j in range(10 + i % 6)] for i in range(14)]
+
+
+def wide_rollup(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[F.expr(f"CAST({e} AS DOUBLE) AS {c}") for c, e in WIDE.items()])
+
+
+def _wide_sql(i: int, g: list[str]) -> str:
+    cols = ", ".join(g)
+    return f"round(ln((count(*) OVER (PARTITION BY {cols}) + 1) / (SELECT count(*) + count(DISTINCT ({cols})) FROM b)), 6) AS group_{i}"
+
+
+@query(f"WITH v AS (SELECT l_orderkey, {', '.join(f'CAST({e} AS DOUBLE) AS {c}' for c, e in WIDE.items())} FROM lineitem GROUP BY l_orderkey), b AS (SELECT l_orderkey, {', '.join(f'{_edges(c, 5)} AS {c}' for c in WIDE)} FROM v) SELECT l_orderkey, {', '.join(_wide_sql(i, g) for i, g in enumerate(WIDE_GROUPS))} FROM b")
+def wide_pattern_loglik(spark, sf_dir):
+    """Pattern log-frequencies of 14 wide groups."""
+    plan = S.Plan("l_orderkey", WIDE_GROUPS, 5)
+    return rounded(S.log_likelihoods(saved(wide_rollup(spark, sf_dir), "rollup"), plan), *plan.scores)
+
+
 def _aggregate(how: str, sql: str):
     def f(spark, sf_dir):
         ll = S.log_likelihoods(order_features(spark, sf_dir), ORDERS)

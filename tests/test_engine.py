@@ -164,6 +164,58 @@ def test_scores_read_the_rows_once_for_any_groups(spark):
         assert text.count("lineitem.parquet") <= 1
 
 
+def plain_patterns(rows, groups):
+    from collections import Counter
+
+    counts = [Counter(tuple(r[j] for j in g) for r in rows) for g in groups]
+    return [[np.log((c[tuple(r[j] for j in g)] + 1) / (len(rows) + len(c))) for g, c in zip(groups, counts, strict=True)] for r in rows]
+
+
+@pytest.mark.parametrize("bins, width", [(4, 6), (4, 40)])
+def test_rare_patterns_travel_in_one_shuffle(spark, bins, width):
+    """Groups with nearly a pattern a row, one pattern of half the rows, nulls, and codes of one number or of several."""
+    rng = np.random.default_rng(width)
+    x = rng.integers(0, bins, (600, width)).astype(float)
+    x[:300] = x[0]
+    x[-2:] = [[0.0] * width, [bins - 1.0] * width]
+    columns = [f"c{j}" for j in range(width)]
+    rows = [(i, *[None if (i * 7 + j) % 97 == 0 else v for j, v in enumerate(r)]) for i, r in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in columns)).repartition(5)
+    groups = [[(i + j) % width for j in range(width - i % 3)] for i in range(9)]
+    want = plain_patterns([r[1:] for r in rows], groups)
+    plan = S.Plan("id", [[columns[j] for j in g] for g in groups], bins)
+    edges = {c: (0.0, float(bins)) for c in columns}  # codes are the values themselves
+    for most in (0, 5, 40, 100_000):
+        got = sorted(tuple(r) for r in S.log_likelihoods(df, plan, None, edges, most).collect())
+        assert [r[0] for r in got] == list(range(600))
+        assert np.allclose([r[1:] for r in got], want)
+    table = S.frequency_table(df, plan, edges)
+    new = df.limit(50).union(df.limit(1).select(F.lit(1000).cast("long"), *[F.lit(bins - 1.5) if j % 2 else F.lit(0.5) for j in range(width)]))
+    for most in (0, 100_000):
+        got = {r["id"]: r[1:] for r in S.log_likelihoods(new, plan, table, edges, most).collect()}
+        assert all(np.allclose(v, want[k]) for k, v in got.items() if k < 1000)
+        assert np.isclose(got[1000][0], np.log(1 / (600 + len({tuple(r[j + 1] for j in groups[0]) for r in rows}))))
+
+
+def test_shuffles_do_not_grow_with_groups(spark):
+    df = spark.range(500).select("id", *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(5)).cast("double").alias(f"c{i}") for i in range(16)])
+    seen = []
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        for n in (2, 14):
+            plan = S.Plan("id", [[f"c{(i + j) % 16}" for j in range(10)] for i in range(n)], 5)
+            text = S.log_likelihoods(df, plan, None, None, 10)._jdf.queryExecution().executedPlan().toString()
+            seen.append((text.count("Exchange hashpartitioning"), text.count("Exchange SinglePartition"), text.count("SortMergeJoin") + text.count("ShuffledHashJoin")))
+        text = S.log_likelihoods(df, plan, None, None, 100_000)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in text  # all patterns are sent
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    assert seen[0] == seen[1] and seen[0][0] <= 4 and seen[0][1] == 0 and seen[0][2] == 2, seen
+
+
 def test_forest_flags_the_far_end(spark):
     rng = np.random.default_rng(0)
     x = np.round(np.concatenate((rng.normal(size=2000), rng.uniform(6, 9, 40))), 4)
