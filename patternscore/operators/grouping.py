@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -69,14 +68,39 @@ def random_groups(columns: list[str], size: int, seed: int = 42) -> list[list[st
     return chunks(own, size)
 
 
+def average_linkage(apart: np.ndarray) -> list[tuple[int, int, float]]:
+    """The merges (a < b, height) of average linkage by ascending height; a cluster is known by its least member.
+
+    By the nearest-neighbour chain: it grows until two clusters are each other's nearest and then merges them, with distances updated by
+    cluster sizes, so the work grows with the square of the number of points.
+    """
+    d, size, merges, chain = apart.astype(float), np.ones(len(apart)), [], []
+    np.fill_diagonal(d, np.inf)
+    left = np.ones(len(d), bool)
+    while len(merges) < len(d) - 1:
+        chain = chain or [int(left.argmax())]
+        x = chain[-1]
+        y = int(d[x].argmin())
+        if len(chain) < 2 or d[x, y] < d[x, chain[-2]]:
+            chain.append(y)
+            continue
+        a, b = sorted((x, chain[-2]))
+        del chain[-2:]
+        merges.append((a, b, float(d[a, b])))
+        d[a] = d[:, a] = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[b] = d[:, b] = d[a, a] = np.inf
+        size[a] += size[b]
+        left[b] = False
+    return sorted(merges, key=lambda m: m[2])
+
+
 def linked_groups(corr: np.ndarray, columns: list[str], size: int) -> list[list[str]]:
     """Average linkage on 1 - |r|, cut at max(1, min(p // size, p // 2)) clusters; re-chunked if one passes 1.5 * size."""
-    clusters = [[i] for i in range(len(columns))]
-    while len(clusters) > max(1, min(len(columns) // size, len(columns) // 2)):
-        apart = lambda x, y: (1 - corr[np.ix_(x, y)]).mean()
-        i, j = min(combinations(range(len(clusters)), 2), key=lambda p: (apart(clusters[p[0]], clusters[p[1]]), p))
-        clusters[i] += clusters.pop(j)
-    groups = [[columns[i] for i in sorted(c)] for c in clusters]
+    many = max(1, min(len(columns) // size, len(columns) // 2))
+    clusters = {i: [i] for i in range(len(columns))}
+    for a, b, _ in average_linkage(1 - corr)[: max(0, len(columns) - many)]:
+        clusters[a] += clusters.pop(b)
+    groups = [[columns[i] for i in sorted(clusters[a])] for a in sorted(clusters)]
     return chunks([c for g in groups for c in g], size) if any(len(g) > 1.5 * size for g in groups) else groups
 
 
@@ -100,10 +124,14 @@ def variances(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return dict(zip(columns, row, strict=True))
 
 
+def by_variance(found: dict[str, float]) -> list[str]:
+    return sorted(found, key=lambda c: (-(found[c] if found[c] is not None else -1.0), c))
+
+
 def variance_groups(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     """column_name, variance, group_id: columns by descending sample variance, dealt round the groups."""
     found, n = variances(df, columns), max(1, len(columns) // size)
-    order = sorted(columns, key=lambda c: (-(found[c] if found[c] is not None else -1.0), c))
+    order = by_variance(found)
     return df.sparkSession.createDataFrame([(c, found[c], i % n) for i, c in enumerate(order)], "column_name string, variance double, group_id long")
 
 
@@ -198,3 +226,21 @@ def merged_small(groups: list[list[str]], least: int = 3) -> list[list[str]]:
     for i, c in enumerate(small):
         large[i % len(large)].append(c)
     return large
+
+
+#: What create_groups() may use.
+STRATEGIES = ("correlation", "greedy", "components", "kmeans", "random", "domain", "variance")
+
+
+def create_groups(df: DataFrame, columns: list[str], size: int = 15, strategy: str = "correlation", seed: int = 42) -> list[list[str]]:
+    """Groups of the columns by a strategy; one that is not in STRATEGIES is random."""
+    if strategy == "domain":
+        return domain_groups(columns, size)
+    if strategy == "variance":
+        n = max(1, len(columns) // size)
+        order = by_variance(variances(df, columns))
+        return [order[i::n] for i in range(n)]
+    ways = {"correlation": linked_groups, "greedy": greedy_groups, "components": linked_components, "kmeans": kmeans_groups}
+    if strategy in ways:
+        return ways[strategy](correlation_matrix(df, columns), columns, size)
+    return random_groups(columns, size, seed)

@@ -1,4 +1,4 @@
-"""Seeded searches for group weights and a threshold share. The loop is the driver's; each generation is judged by Spark."""
+"""Seeded searches for group weights and a threshold share. The loop over generations is the driver's; fitness.Judge judges each generation in tasks."""
 
 from __future__ import annotations
 

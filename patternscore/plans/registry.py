@@ -495,11 +495,25 @@ def order_vectors(spark, sf_dir) -> DataFrame:
     return saved(FT.counted_vectors(order_likelihoods(spark, sf_dir), ORDERS.scores), "vectors")
 
 
-@query()
+#: Weights and shares of the candidates whose fitness is compared.
+PEOPLE = [FT.Candidate((w, 1 - w), share) for w, share in ((0.5, 5.0), (0.2, 2.0), (0.9, 9.0))]
+
+
+def _fitness_sql(i: int, p: FT.Candidate) -> str:
+    a, b, c = (1 - x / 100 for x in (max(FT.LEAST_SHARE, p.share - 0.5), p.share, min(FT.MOST_SHARE, p.share + 0.5)))
+    bells = ", ".join(f"{top} * exp(-0.5 * power((100 * n1 / n - {at}) / {width}, 2))" for at, width, top in S.BELLS)
+    return f"""SELECT CAST({i} AS BIGINT) AS candidate, CASE WHEN n1 = 0 OR 2 * n1 >= n THEN 0 ELSE round(least(100, greatest(0, 100 * (
+{FT.PARTS[0]} * least(1, d / 2 + CASE WHEN d > 1.5 THEN 0.1 ELSE 0 END) + {FT.PARTS[1]} * greatest({bells}) + {FT.PARTS[2]} * least(1, exp(-5 * sd / mean)) + {FT.PARTS[3]} * {FT.diversity(p.weights)!r}))), 6) END AS fitness
+FROM (SELECT *, coalesce(abs(m1 - m0) / nullif(sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n - 2)), 0), 0) AS d, sqrt((power(n_a - mean, 2) + power(n1 - mean, 2) + power(n_c - mean, 2)) / 3) AS sd FROM (
+SELECT count(*) AS n, count(*) FILTER (s > b) AS n1, count(*) FILTER (s <= b) AS n0, count(*) FILTER (s > a) AS n_a, count(*) FILTER (s > c) AS n_c, (n1 + n_a + n_c) / 3 AS mean,
+avg(s) FILTER (s > b) AS m1, avg(s) FILTER (s <= b) AS m0, var_samp(s) FILTER (s > b) AS v1, var_samp(s) FILTER (s <= b) AS v0
+FROM (SELECT *, quantile_cont(s, {a!r}) OVER () AS a, quantile_cont(s, {b!r}) OVER () AS b, quantile_cont(s, {c!r}) OVER () AS c FROM (SELECT round(-(group_0 * {p.weights[0]!r} + group_1 * {p.weights[1]!r}), 9) AS s FROM l))))"""
+
+
+@query(f"WITH {_LL} " + " UNION ALL ".join(_fitness_sql(i, p) for i, p in enumerate(PEOPLE)))
 def candidate_fitness(spark, sf_dir):
-    """Fitness of three candidates: the tests hold it against numpy."""
-    people = [FT.Candidate((w, 1 - w), share) for w, share in ((0.5, 5.0), (0.2, 2.0), (0.9, 9.0))]
-    values = FT.population_fitness(order_vectors(spark, sf_dir), ORDERS.scores, people)
+    """Fitness of three candidates."""
+    values = FT.population_fitness(order_vectors(spark, sf_dir), ORDERS.scores, PEOPLE, places=9)
     return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(values)], "candidate long, fitness double")
 
 

@@ -90,14 +90,26 @@ def test_fitness_of_a_population(spark):
     people = [FT.Candidate.of(np.array([*w, t])) for w, t in (((1, 1, 1, 1), 5), ((0.1, 0.5, 0.9, 0.3), 1.2), ((1, 0.2, 0.2, 0.1), 9.9))]
     got = FT.population_fitness(FT.counted_vectors(df, list("abcd")), list("abcd"), people)
     assert got == pytest.approx([plain_fitness(rows, p) for p in people], abs=1e-6)
-    for most in (10, 10_000):  # by Spark and on the driver
-        judge = FT.judge_of(FT.counted_vectors(df, list("abcd")), list("abcd"), most)
-        assert judge(people) == pytest.approx(got, abs=1e-6)
+    judge = FT.judge_of(FT.counted_vectors(df.repartition(7), list("abcd")), list("abcd"))
+    assert judge(people) == pytest.approx(got, abs=1e-6) and judge(people[1:]) == pytest.approx(got[1:], abs=1e-6)
     one = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)] * 20, df.schema)
     assert FT.population_fitness(FT.counted_vectors(one, list("abcd")), list("abcd"), people) == [0.0] * 3
     assert FT.population_fitness(FT.counted_vectors(one.limit(0), list("abcd")), list("abcd"), people) == [0.0] * 3
 
 
+def test_thresholds_of_many_candidates(spark):
+    """Exact order statistics of 60 candidates: scores that crowd in a millionth of their range, ties, and weighted rows."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.normal(0, 1e-7, (4000, 3)), np.round(rng.normal(0, 3, (1500, 3)), 1), [[1e6, -1e6, 1e6]]))
+    n = rng.integers(1, 9, len(x))
+    vectors = spark.createDataFrame([(*r, int(k)) for r, k in zip(x.tolist(), n, strict=True)], "a double, b double, c double, _rows long").repartition(6)
+    weights, shares = rng.dirichlet(np.ones(3), 60), rng.uniform(0, 100, (60, 3))
+    got = FT.Judge(vectors, list("abc")).cuts(weights, shares)
+    for w, s, cuts in zip(weights, shares, got, strict=True):
+        scores = -((x[:, 0] * w[0] + x[:, 1] * w[1]) + x[:, 2] * w[2])
+        assert cuts == pytest.approx(np.percentile(np.repeat(scores, n), 100 - s), rel=1e-12, abs=1e-15)
+
+
 def test_searches_find_an_optimum_and_repeat():
     aim = np.array([0.6, 0.3, 0.1])
     judge = lambda people: [100 - 50 * float(((np.array(p.weights) - aim) ** 2).sum()) - abs(p.share - 4) for p in people]
@@ -286,6 +298,37 @@ def test_group_files_and_domains(spark, tmp_path):
     assert G.domain_groups(names, 10) == [["V_1", "V_2", "V_3", "phase_Gr_V_1", "THD_1"], ["I_1", "I_2", "I_3", "x"]]
 
 
+def plain_linkage(corr, columns, size):
+    clusters = [[i] for i in range(len(columns))]
+    while len(clusters) > max(1, min(len(columns) // size, len(columns) // 2)):
+        pairs = [(np.mean([1 - corr[a, b] for a in x for b in y]), i, j) for i, x in enumerate(clusters) for j, y in enumerate(clusters) if i < j]
+        _, i, j = min(pairs)
+        clusters[i] += clusters.pop(j)
+    groups = [[columns[i] for i in sorted(c)] for c in clusters]
+    return G.chunks([c for g in groups for c in g], size) if any(len(g) > 1.5 * size for g in groups) else groups
+
+
+def test_linkage_by_chain_equals_plain_linkage():
+    import time
+
+    rng = np.random.default_rng(1)
+    for p, size in ((1, 3), (2, 3), (9, 2), (30, 4), (30, 20), (41, 7)):
+        corr = np.abs(np.corrcoef(rng.normal(size=(p, 60)) + rng.integers(0, 4, (p, 1)) * rng.normal(size=60))).reshape(p, p)
+        assert G.linked_groups(corr, [f"c{i}" for i in range(p)], size) == plain_linkage(corr, [f"c{i}" for i in range(p)], size)
+    began = time.time()
+    corr = np.abs(np.corrcoef(rng.normal(size=(2000, 50))))
+    assert sorted(c for g in G.linked_groups(corr, list(range(2000)), 15) for c in g) == list(range(2000))
+    assert time.time() - began < 30
+
+
+def test_groups_by_every_strategy(spark):
+    df = spark.createDataFrame([(float(i), i * 2.0 + (i % 3), float((i * 7) % 11), float((i * 5) % 13)) for i in range(50)], "V_a double, V_b double, I_c double, x double")
+    for strategy in (*G.STRATEGIES, "other"):
+        groups = G.create_groups(df, df.columns, 2, strategy)
+        assert sorted(c for g in groups for c in g) == sorted(df.columns), strategy
+    assert G.create_groups(df, df.columns, 2, "variance") == [["V_b", "x"], ["V_a", "I_c"]]
+
+
 def test_more_groups():
     corr = np.eye(6)
     for i, j in ((0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)):
