@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import exact_quantiles
+from .ranks import bottom_k, grouped_quantiles
 from .scoring import separation
 
 # The bands of Cohen's d, of the detection rate (percent) and of the distance between class means.
@@ -19,13 +19,19 @@ STEP, LEAST_RATE, MOST_RATE = 0.1, 0.5, 10.0
 
 def score_statistics(flags: DataFrame) -> DataFrame:
     """A row for all scores and one for those of anomalies (part: all, anomalies): n, mean, std, low, high, median, q25, q75."""
-    parts = {"all": flags.select("anomaly_score"), "anomalies": flags.where("is_anomaly").select("anomaly_score")}
-    out = []
-    for name, rows in parts.items():
-        quartiles = exact_quantiles(rows, ["anomaly_score"], [0.5, 0.25, 0.75])["anomaly_score"]
-        one = rows.agg(F.count("*").alias("n"), F.avg("anomaly_score").alias("mean"), F.stddev_pop("anomaly_score").alias("std"), F.min("anomaly_score").alias("low"), F.max("anomaly_score").alias("high"))
-        out.append(one.select(F.lit(name).alias("part"), "*", *[F.lit(q).cast("double").alias(n) for q, n in zip(quartiles, ("median", "q25", "q75"), strict=True)]))
-    return out[0].unionByName(out[1])
+    part = F.explode(F.when(F.col("is_anomaly"), F.array(F.lit("all"), F.lit("anomalies"))).otherwise(F.array(F.lit("all"))))
+    rows = flags.select(part.alias("part"), "anomaly_score")
+    quartiles = grouped_quantiles(rows, ["part"], "anomaly_score", [0.5, 0.25, 0.75]).select("part", F.col("q0").alias("median"), F.col("q1").alias("q25"), F.col("q2").alias("q75"))
+    one = rows.groupBy("part").agg(F.count("*").alias("n"), F.avg("anomaly_score").alias("mean"), F.stddev_pop("anomaly_score").alias("std"), F.min("anomaly_score").alias("low"), F.max("anomaly_score").alias("high"))
+    both = flags.sparkSession.createDataFrame([("all",), ("anomalies",)], "part string")
+    return both.join(one.join(quartiles, "part", "left"), "part", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def heatmap_sample(flags: DataFrame, key: str, most: int = 100, anomalies: int = 20, seed: int = 42) -> DataFrame:
+    """``most`` rows for a picture: at most ``anomalies`` anomalies and normal rows for the rest, each class by the least md5 of (seed, key)."""
+    few = min(anomalies, flags.where("is_anomaly").count())
+    order = F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key).cast("string"))
+    return bottom_k(flags.withColumn("_order", order), "is_anomaly", {True: few, False: max(0, most - few)}, "_order").drop("_order")
 
 
 def _at_least(x: Column, bands, other) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations, permutations
 from math import exp, lgamma, log, prod
 
@@ -239,3 +240,80 @@ def distance_log_likelihood(binned: DataFrame, columns: list[str], name: str = "
     d = F.sqrt(sum((F.pow(F.col(c) - F.lit(m), F.lit(2.0)) for c, m in zip(columns, means, strict=True)), F.lit(0.0)))
     top = first_row(binned, F.max(d))[0] or 0.0
     return binned.withColumn(name, -5 * d / F.lit(top) if top > 0 else F.lit(-1.0))
+
+
+# What a node adds whose parents' values were never seen, and one whose own value was never seen with them.
+UNSEEN_PARENTS, NEVER = -5.0, -10.0
+#: Cells of all tables of a model at most: they are part of the plan.
+_CELLS = 1 << 20
+
+
+@dataclass(frozen=True)
+class ConditionalTables:
+    """ln P(node | parents) of every node of every group's network, as flat tables that a mixed-radix code of the bins addresses.
+
+    A table has (bins + 1) ** (parents + 1) cells, null being a value, so a row's likelihood is one lookup for each node: no join, and
+    one pass over the rows for all groups. Values that fitting did not see are unseen.
+    """
+
+    bins: int
+    networks: dict[int, dict[str, list[str]]]
+    cells: dict[tuple[int, str], list[float]]
+
+    @classmethod
+    def fit(cls, binned: DataFrame, networks: dict[int, dict[str, list[str]]], bins: int) -> ConditionalTables:
+        """networks: parents of each node by group. One job counts all families; the driver sees at most as many rows as there are cells."""
+        nodes = [(g, n, ps) for g, net in networks.items() for n, ps in net.items()]
+        if sum((bins + 1) ** (len(ps) + 1) for _, _, ps in nodes) > _CELLS:
+            raise ValueError(f"tables of more than {_CELLS} cells: learn networks with fewer parents")
+        each = F.array(*[F.struct(F.lit(i).alias("i"), F.expr(cls._code([*ps, n], bins)).alias("code")) for i, (_, n, ps) in enumerate(nodes)])
+        counts: dict[int, dict[int, int]] = {i: {} for i in range(len(nodes))}
+        for r in binned.select(F.inline(each)).groupBy("i", "code").agg(F.count("*").alias("n")).collect():  # a row for each cell
+            counts[r["i"]][r["code"]] = r["n"]
+        cells = {}
+        for i, (g, n, ps) in enumerate(nodes):
+            out = [UNSEEN_PARENTS] * (bins + 1) ** (len(ps) + 1)
+            for first in range(0, len(out), bins + 1):
+                own = [counts[i].get(first + d, 0) for d in range(bins + 1)]
+                if sum(own):
+                    out[first : first + bins + 1] = [log(c / sum(own)) if c else NEVER for c in own]
+            cells[g, n] = out
+        return cls(bins, networks, cells)
+
+    @staticmethod
+    def _code(columns: list[str], bins: int) -> str:
+        code = "0"
+        for c in columns:
+            code = f"({code} * {bins + 1} + coalesce(`{c}`, {bins}))"
+        return f"cast({code} as int)"
+
+    def log_likelihood(self, group: int) -> Column:
+        """The group's sum over its nodes, of binned rows."""
+        terms = F.lit(0.0)
+        for n, ps in self.networks[group].items():
+            table = F.split(F.lit(",".join(map(repr, self.cells[group, n]))), ",").cast("array<double>")  # folded to a constant
+            terms = terms + F.coalesce(F.get(table, F.expr(self._code([*ps, n], self.bins))), F.lit(UNSEEN_PARENTS))
+        return terms
+
+
+#: Ways to learn structures; another one is independence.
+STRUCTURES = ("independence", "bic", "hc", "pc")
+
+
+def learn_structures(binned: DataFrame, groups: list[list[str]], method: str = "hc", most_parents: int | None = None) -> dict[int, dict[str, list[str]]]:
+    """Parents by group: hill climbing (bic; hc takes K2 where BIC finds no arc), the PC search, or no arcs at all. Every group has a network."""
+    if method == "bic":
+        found = {i: hill_climb(binned, g, most_parents) for i, g in enumerate(groups) if len(g) > 1}
+    elif method == "hc":
+        found = learned_networks(binned, groups, most_parents)
+    elif method == "pc":
+        found = {i: pc_arcs(binned, g) for i, g in enumerate(groups) if len(g) > 1}
+    else:
+        found = {}
+    return {i: found.get(i, {c: [] for c in g}) for i, g in enumerate(groups)}
+
+
+def network_info(spark, networks: dict[int, dict[str, list[str]]]) -> DataFrame:
+    """group_id, n_features, features, n_nodes, n_edges of each network."""
+    rows = [(i, len(net), ",".join(net), len(net), sum(map(len, net.values()))) for i, net in networks.items()]
+    return spark.createDataFrame(rows, "group_id long, n_features long, features string, n_nodes long, n_edges long")

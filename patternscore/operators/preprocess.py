@@ -86,11 +86,14 @@ def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict:
-    """The most frequent value of each column, of ties the smallest; values are counted in tasks, so the driver sees one each."""
-    out = {}
-    for c in columns:
-        top = df.where(~missing(df, c)).groupBy(F.col(c).alias("v")).count().agg(F.max(F.struct("count", F.lit(0))).alias("m")).first()["m"]
-        out[c] = None if top is None else df.where(~missing(df, c)).groupBy(F.col(c).alias("v")).count().where(F.col("count") == top["count"]).agg(F.min("v")).first()[0]
+    """The most frequent value of each column, of ties the smallest: all columns of a type in one shuffle of partial counts; the driver sees one value each."""
+    out: dict = {c: None for c in columns}
+    for kind in {df.schema[c].dataType.simpleString() for c in columns}:
+        own = [c for c in columns if df.schema[c].dataType.simpleString() == kind]
+        each = F.array(*[F.struct(F.lit(i).alias("i"), F.when(~missing(df, c), F.col(c)).alias("v")) for i, c in enumerate(own)])
+        counts = df.select(F.inline(each)).where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("n"))
+        for r in counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("m")).collect():  # a row for each column
+            out[own[r["i"]]] = r["m"]["v"]
     return out
 
 
@@ -167,6 +170,18 @@ def summary(df: DataFrame, column: str) -> DataFrame:
     return one.select("*", *[r(F.lit(q).cast("double")).alias(n) for q, n in zip(quartiles, ("q25", "median", "q75"), strict=True)])
 
 
+def fingerprint(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns; nulls count, zeros of either sign are one."""
+    plain = [F.col(f"`{c}`") + F.lit(0.0) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes]
+    return F.xxhash64(*plain, *[F.col(f"`{c}`").isNull() for c in df.columns])
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Number of rows that repeat an earlier row."""
-    return df.groupBy(*df.columns).agg(F.count("*").alias("_c")).agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("n_duplicates"))
+    """Number of rows that repeat an earlier row, all columns compared; nulls equal nulls.
+
+    Fingerprints are counted first; only rows whose fingerprint occurs again are compared as a whole, so wide rows travel only if they
+    (or, rarely, their fingerprints alone) repeat. df is read twice.
+    """
+    again = df.select(fingerprint(df).alias("_f")).groupBy("_f").agg(F.count("*").alias("_c")).where("_c > 1").select("_f")
+    rows = df.withColumn("_f", fingerprint(df)).join(again, "_f", "left_semi").drop("_f")
+    return rows.groupBy(*[f"`{c}`" for c in rows.columns]).agg(F.count("*").alias("_c")).agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("n_duplicates"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import floor
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,41 @@ def counted_quantiles(counted: DataFrame, shares: list[float], value: str = "val
     return [_between(found[2 * i], found[2 * i + 1], p - floor(p)) for i, p in enumerate(at)]
 
 
+def grouped_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by, n and q<i> of each group: interpolated quantiles of its values (nulls left out). Different values are counted, and one range sort ranks those of all groups."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    totals = saved(running_total(counted, [*by, value], F.col("_n"), "_total"), "totals")
+    groups = totals.groupBy(*by).agg(F.sum("_n").alias("n"), F.min(F.col("_total") - F.col("_n")).alias("_base"))
+    ranked = totals.alias("t").join(groups.alias("g"), [F.col(f"t.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by]).select(*[F.col(f"t.{c}") for c in by], F.col(f"t.{value}").alias("_v"), (F.col("_total") - F.col("_base")).alias("_rank"), "n")
+    at = [F.lit(s) * (F.col("n") - 1) for s in shares]
+    ends = [F.min(F.when(F.col("_rank") > F.floor(p) + d, F.col("_v"))).alias(f"_{i}_{d}") for i, p in enumerate(at) for d in (0, 1)]
+    part = lambda i, p: F.col(f"_{i}_0") + (p - F.floor(p)) * (F.coalesce(f"_{i}_1", f"_{i}_0") - F.col(f"_{i}_0"))
+    return ranked.groupBy(*by, "n").agg(*ends).select(*by, "n", *[part(i, p).alias(f"q{i}") for i, p in enumerate(at)])
+
+
+def bottom_k(df: DataFrame, by: str, sizes: dict, order: str) -> DataFrame:
+    """Of each value of ``by`` in sizes, the rows of the least ``order`` (a text or number that tells rows apart): sizes[value] of them.
+
+    Each task keeps the least of its own rows, and the least of those are taken: the last step sees so many rows from each task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for value, k in sizes.items():
+                own = rows.filter(pc.equal(rows[by], pa.scalar(value, rows[by].type)))
+                both = pa.concat_tables([kept[value], own]) if value in kept else own
+                kept[value] = both.take(pc.sort_indices(both, sort_keys=[(order, "ascending")])[:k]).combine_chunks()
+        for rows in kept.values():
+            yield from rows.to_batches()
+
+    least = df.where(F.col(by).isin(list(sizes))).mapInArrow(run, df.schema)
+    most = F.coalesce(*[F.when(F.col(by) == v, F.lit(k)) for v, k in sizes.items()])
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    return least.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
 def number(c: str) -> Column:
     """A column as double, NaN as null."""
     x = F.col(c).cast("double")

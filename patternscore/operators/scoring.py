@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import saved
-from .ranks import counted_quantiles, first_row, running_total
+from .ranks import counted_quantiles, first_row, grouped_quantiles, running_total
 
 
 @dataclass(frozen=True)
@@ -297,6 +297,16 @@ def contributions(flags: DataFrame, plan: Plan) -> DataFrame:
     return flags.agg(means.alias("m")).select(F.inline("m"))
 
 
+def box_plot(flags: DataFrame) -> DataFrame:
+    """For each class (is_anomaly): n, q25, median, q75, whiskers (farthest scores within 1.5 quartile distances of the box) and n_outside. One sort ranks both classes."""
+    box = grouped_quantiles(flags, ["is_anomaly"], "anomaly_score", [0.25, 0.5, 0.75])
+    each = flags.select("is_anomaly", "anomaly_score").join(F.broadcast(box), "is_anomaly")  # two rows
+    reach = 1.5 * (F.col("q2") - F.col("q0"))
+    inside = F.when(F.col("anomaly_score").between(F.col("q0") - reach, F.col("q2") + reach), F.col("anomaly_score"))
+    out = each.groupBy("is_anomaly", "n", "q0", "q1", "q2").agg(F.min(inside).alias("low_whisker"), F.max(inside).alias("high_whisker"), (F.count("*") - F.count(inside)).alias("n_outside"))
+    return out.withColumnsRenamed({"q0": "q25", "q1": "median", "q2": "q75"})
+
+
 def histogram(scored: DataFrame, bins: int = 50) -> DataFrame:
     """bin and its number of rows."""
     own = bin_columns(scored.select("anomaly_score"), ["anomaly_score"], bins)

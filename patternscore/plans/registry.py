@@ -13,7 +13,9 @@ from ..operators import networks as N
 from ..operators import optimise as O
 from ..operators import preprocess as P
 from ..operators import scoring as S
-from ..sources.shared import saved
+from ..sources import tables as T
+from ..sources.shared import new_path, saved
+from ..streaming.scores import score_stream, scored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -137,9 +139,19 @@ def summary_stats(spark, sf_dir):
     return P.summary(table(spark, sf_dir, "events"), "value")
 
 
-@query("SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)")
+@query("WITH u AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R') SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM u)) AS n_duplicates FROM u")
 def duplicate_rows(spark, sf_dir):
-    return P.duplicate_rows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+    """All lineitems with all columns, of which the returned ones are there twice."""
+    rows = table(spark, sf_dir, "lineitem")
+    return P.duplicate_rows(rows.union(rows.where("l_returnflag = 'R'")))
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def csv_events(spark, sf_dir):
+    """events written as CSV and read back without a schema: types are found from all rows."""
+    path = new_path(spark, "csv")
+    table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("string")).write.options(header=True, escape='"').csv(path)
+    return T.read_any_csv(spark, path, times=True)
 
 
 @query(f"WITH {_ROLLUP} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(coalesce(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 0), 6) AS r FROM r" for i, a in enumerate(ROLLUP) for b in ROLLUP[i + 1 :]))
@@ -352,6 +364,43 @@ def classify_new(spark, sf_dir):
     return rounded(model.score(cleaner.transform(rows.where("NOT old"))), "anomaly_score").select("o_orderkey", "anomaly_score", "is_anomaly")
 
 
+_NEW_FLAGS = ORACLE_SQL["classify_new"]
+
+
+@query(_NEW_FLAGS)
+def saved_model(spark, sf_dir):
+    """classify_new with cleaner and model saved and loaded again."""
+    rows, cleaner = _dated_fit(spark, sf_dir)
+    path = new_path(spark, "model")
+    MD.Model.fit(saved(cleaner.transform(rows.where("old")), "clean"), NEW, places=9).save(spark, f"{path}/model")
+    cleaner.save(spark, f"{path}/cleaner")
+    cleaner, model = MD.Cleaner.load(spark, f"{path}/cleaner"), MD.Model.load(spark, f"{path}/model")
+    return rounded(model.score(cleaner.transform(rows.where("NOT old"))), "anomaly_score").select("o_orderkey", "anomaly_score", "is_anomaly")
+
+
+@query(_NEW_FLAGS)
+def stream_flags(spark, sf_dir):
+    """classify_new over a stream of the new orders."""
+    rows, cleaner = _dated_fit(spark, sf_dir)
+    model = MD.Model.fit(saved(cleaner.transform(rows.where("old")), "clean"), NEW, places=9)
+    path, source = new_path(spark, "stream"), saved(rows.where("NOT old"), "arriving")
+    stream = spark.readStream.schema(source.schema).parquet(source._saved_at)
+    score_stream(stream, model, f"{path}/scores", f"{path}/checkpoint", cleaner).awaitTermination()
+    return rounded(scored(spark, f"{path}/scores"), "anomaly_score").select("o_orderkey", "anomaly_score", "is_anomaly")
+
+
+_UPDATED = _CLASSIFIED.replace("sum(-ln((coalesce(n, 0) + 1) / t.total)) / 2 AS raw", "-min(ln((coalesce(n, 0) + 1) / t.total)) AS raw")
+
+
+@query(f"WITH {_UPDATED} SELECT o_orderkey, round(anomaly_score, 6) AS anomaly_score, anomaly_score > (SELECT quantile_cont(anomaly_score, 0.92) FROM s WHERE old) AS is_anomaly FROM s WHERE NOT old")
+def updated_model(spark, sf_dir):
+    """New orders under a fitted model whose aggregation and share are changed."""
+    rows, cleaner = _dated_fit(spark, sf_dir)
+    old = saved(cleaner.transform(rows.where("old")), "clean")
+    model = MD.Model.fit(old, NEW, places=9).updated(old, how="min", share=8.0)
+    return rounded(model.score(cleaner.transform(rows.where("NOT old"))), "anomaly_score").select("o_orderkey", "anomaly_score", "is_anomaly")
+
+
 @query(f"WITH {_FLAGS} SELECT o_orderkey, round(anomaly_score, 6) AS anomaly_score FROM x ORDER BY x.anomaly_score DESC, o_orderkey LIMIT 10")
 def top_anomalies(spark, sf_dir):
     """The ten highest scores: a top-k report."""
@@ -374,6 +423,22 @@ def score_statistics(spark, sf_dir):
     return rounded(M.score_statistics(saved(S.flagged(scored_orders(spark, sf_dir)), "flags")), "mean", "std", "low", "high", "median", "q25", "q75")
 
 
+@query(f"""WITH {_FLAGS}, q AS (SELECT is_anomaly, count(*) AS n, quantile_cont(anomaly_score, 0.25) AS q25, quantile_cont(anomaly_score, 0.5) AS median, quantile_cont(anomaly_score, 0.75) AS q75 FROM x GROUP BY is_anomaly)
+SELECT is_anomaly, any_value(n) AS n, round(any_value(q25), 6) AS q25, round(any_value(median), 6) AS median, round(any_value(q75), 6) AS q75,
+round(min(anomaly_score) FILTER (anomaly_score BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)), 6) AS low_whisker, round(max(anomaly_score) FILTER (anomaly_score BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)), 6) AS high_whisker,
+count(*) FILTER (NOT anomaly_score BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)) AS n_outside FROM x JOIN q USING (is_anomaly) GROUP BY is_anomaly""")
+def class_quartiles(spark, sf_dir):
+    """Box and whiskers of the scores of both classes."""
+    return rounded(S.box_plot(saved(S.flagged(scored_orders(spark, sf_dir)), "flags")), "q25", "median", "q75", "low_whisker", "high_whisker")
+
+
+@query(f"""WITH {_FLAGS}, k AS (SELECT least(20, count(*) FILTER (is_anomaly)) AS few FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY is_anomaly ORDER BY md5('42:' || o_orderkey) || o_orderkey) AS i FROM x)
+SELECT o_orderkey, is_anomaly, round(group_0, 6) AS group_0, round(group_1, 6) AS group_1 FROM r, k WHERE i <= CASE WHEN is_anomaly THEN few ELSE 100 - few END""")
+def heatmap_sample(spark, sf_dir):
+    """The rows of the likelihood picture: 100, of which 20 are anomalies if there are so many. A sampling operator."""
+    return rounded(M.heatmap_sample(saved(S.flagged(scored_orders(spark, sf_dir)), "flags"), "o_orderkey"), "group_0", "group_1").select("o_orderkey", "is_anomaly", "group_0", "group_1")
+
+
 def _performance_sql(name: str, share: float) -> str:
     """A table of one row: metrics of the flags at a threshold share."""
     return f"""{name}x AS (SELECT anomaly_score, anomaly_score > (SELECT quantile_cont(anomaly_score, {1 - share / 100}) FROM s) AS is_anomaly FROM s),
@@ -484,6 +549,38 @@ def pc_arcs(spark, sf_dir):
     return spark.createDataFrame([(p, c) for c, ps in found.items() for p in ps], "parent string, child string")
 
 
+#: Pairs of the lineitems' columns whose networks BIC decides.
+PAIRS = S.Plan("l_orderkey", [["n_lines", "last_line"], ["d_5", "min_supp"], ["q_20", "q_30"], ["p_50000", "n_open"]], 3)
+
+
+def _bic_sql(a: str, b: str) -> str:
+    """What an arc between two columns gains."""
+    h = lambda *cs: f"(SELECT sum(n * ln(n)) FROM (SELECT count(*) AS n FROM b GROUP BY {', '.join(cs)}))"
+    return f"{h(a, b)} - {h(a)} - {h(b)} + (SELECT count(*) * ln(count(*)) - 0.5 * ln(count(*)) * (count(DISTINCT {a}) - 1) * (count(DISTINCT {b}) - 1) FROM b)"
+
+
+_PAIRED = f"v AS (SELECT l_orderkey, {', '.join(f'CAST({WIDE[c]} AS DOUBLE) AS {c}' for c in PAIRS.columns)} FROM lineitem GROUP BY l_orderkey), b AS (SELECT l_orderkey, {', '.join(f'{_edges(c, 3)} AS {c}' for c in PAIRS.columns)} FROM v), g AS (SELECT {', '.join(f'{_bic_sql(*g)} AS g{i}' for i, g in enumerate(PAIRS.groups))})"
+
+
+def _pair_sql(i: int, a: str, b: str) -> str:
+    share = lambda cs: f"ln(count(*) OVER (PARTITION BY {cs}) / count(*) OVER ())"
+    return f"round(CASE WHEN g{i} > 1e-9 THEN {share(f'{a}, {b}')} ELSE {share(a)} + {share(b)} END, 6) AS group_{i}"
+
+
+@query(f"WITH {_PAIRED} SELECT l_orderkey, {', '.join(_pair_sql(i, *g) for i, g in enumerate(PAIRS.groups))} FROM b, g")
+def cpd_loglik(spark, sf_dir):
+    """Likelihoods by the conditional tables of learned networks: an arc stands where BIC finds that two columns depend on each other."""
+    rows = saved(wide_rollup(spark, sf_dir).select("l_orderkey", *PAIRS.columns), "rollup")
+    model = MD.Model.fit(rows, PAIRS, likelihood="cpd", structure="bic")
+    return rounded(model.likelihoods(rows), *PAIRS.scores)
+
+
+@query(f"WITH {_PAIRED} " + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS group_id, CAST(2 AS BIGINT) AS n_features, '{','.join(g)}' AS features, CAST(2 AS BIGINT) AS n_nodes, CAST(g{i} > 1e-9 AS BIGINT) AS n_edges FROM g" for i, g in enumerate(PAIRS.groups)))
+def network_info(spark, sf_dir):
+    rows = saved(S.bin_columns(wide_rollup(spark, sf_dir), PAIRS.columns, PAIRS.bins).select(*PAIRS.columns), "bins")
+    return N.network_info(spark, N.learn_structures(rows, PAIRS.groups, "bic"))
+
+
 @query()
 def detect_unusual(spark, sf_dir):
     """Clean, group, score and flag the rollup of all orders. The grouping loop is no SQL; its parts have their own queries."""

@@ -290,6 +290,99 @@ def test_structure_scores_and_searches(spark):
         assert N.chi_square_tail(x, free) == pytest.approx(want, rel=1e-2)
 
 
+def test_conditional_tables_of_new_rows(spark):
+    """Nulls are a value; parents never seen add -5, a value never seen with its parents adds -10, and so does one beyond the bins."""
+    rows = [(i, i % 2, (i % 2) if i % 8 else None, i % 3) for i in range(48)]
+    df = spark.createDataFrame(rows, "id long, a long, b long, c long")
+    tables = N.ConditionalTables.fit(df, {0: {"a": [], "b": ["a"], "c": ["a", "b"]}, 1: {"c": []}}, 3)
+    got = {r["id"]: (r["x"], r["y"]) for r in df.select("id", tables.log_likelihood(0).alias("x"), tables.log_likelihood(1).alias("y")).collect()}
+    p = lambda keep, of: np.log(sum(map(keep, rows)) / sum(map(of, rows)))
+    for r in rows:
+        x = p(lambda s: s[1] == r[1], lambda s: True) + p(lambda s: s[1:3] == r[1:3], lambda s: s[1] == r[1]) + p(lambda s: s[1:] == r[1:], lambda s: s[1:3] == r[1:3])
+        assert got[r[0]] == pytest.approx((x, np.log(1 / 3)))
+    new = spark.createDataFrame([(0, 2, 0, 0), (1, 1, 0, 0), (2, 1, None, 1), (3, 0, 0, 9)], df.schema)
+    got = {r["id"]: r["x"] for r in new.select("id", tables.log_likelihood(0).alias("x")).collect()}
+    assert got[0] == -10 - 5 - 5 and got[1] == pytest.approx(np.log(0.5) - 10 - 5) and got[2] == pytest.approx(np.log(0.5) - 10 - 5)
+    with pytest.raises(ValueError):
+        N.ConditionalTables.fit(df, {0: {"a": [f"p{i}" for i in range(12)]}}, 5)
+    assert N.ConditionalTables.fit(df.limit(0), {0: {"a": []}}, 3).cells[0, "a"] == [-5.0] * 4
+    assert N.learn_structures(df.limit(0), [["a"], ["b", "c"]], "pc") == {0: {"a": []}, 1: {"b": [], "c": []}}
+
+
+def test_models_of_every_kind_are_saved(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i % 4), float(i % 3), float((i // 4) % 2)) for i in range(60)], "id long, x double, y double, z double")
+    for likelihood in ("pattern", "cpd"):
+        model = MD.Model.fit(df, S.Plan("id", [["x", "y"], ["z"]], 3), share=10.0, likelihood=likelihood, structure="hc")
+        model.save(spark, str(tmp_path / likelihood))
+        again = MD.Model.load(spark, str(tmp_path / likelihood))
+        assert sorted(map(tuple, again.score(df).collect())) == sorted(map(tuple, model.score(df).collect()))
+        assert again.updated(df, threshold=-9.0).score(df).where("NOT is_anomaly").isEmpty()
+        assert again.updated(df, how="max", share=30.0).cut["share"] == 30.0
+    _, _, scored = MD.detect(df, "id", ["x", "y", "z"], grouping="variance", likelihood="cpd", structure="pc")
+    assert scored.count() == 60
+
+
+def test_groups_have_exact_quantiles_and_samples(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if g == 3 else g, float(v)) for g, n in enumerate((1, 2, 700, 41)) for v in rng.integers(0, 50, n)] + [(9, None)]
+    df = spark.createDataFrame(rows, "g long, v double").repartition(5)
+    got = {r["g"]: tuple(r)[1:] for r in R.grouped_quantiles(df, ["g"], "v", [0.0, 0.3, 0.5, 1.0]).collect()}
+    for g in (0, 1, 2, None):
+        own = [v for h, v in rows if h == g and v is not None]
+        assert got[g] == pytest.approx((len(own), *np.quantile(own, [0.0, 0.3, 0.5, 1.0])))
+    assert set(got) == {0, 1, 2, None}
+    flags = spark.range(3000).select("id", (F.col("id") % 10 == 0).alias("is_anomaly")).repartition(7)
+    one = sorted(r["id"] for r in M.heatmap_sample(flags, "id").collect())
+    assert one == sorted(r["id"] for r in M.heatmap_sample(flags.repartition(2), "id").collect())
+    assert len(set(one)) == 100 and sum(i % 10 == 0 for i in one) == 20
+    assert one != sorted(r["id"] for r in M.heatmap_sample(flags, "id", seed=1).collect())
+    assert M.heatmap_sample(flags.where("id < 50"), "id").count() == 50
+    assert M.heatmap_sample(flags.where("NOT is_anomaly"), "id").count() == 100
+
+
+def test_statistics_without_anomalies(spark):
+    flags = spark.createDataFrame([(float(i), False) for i in range(5)], "anomaly_score double, is_anomaly boolean")
+    got = {r["part"]: r for r in M.score_statistics(flags).collect()}
+    assert got["all"]["median"] == 2.0 and got["anomalies"]["n"] == 0 and got["anomalies"]["median"] is None
+    assert {r["part"]: r["n"] for r in M.score_statistics(flags.limit(0)).collect()} == {"all": 0, "anomalies": 0}
+
+
+def test_csv_types_follow_all_rows(spark, tmp_path):
+    """Missing values, infinities, signs, leading zeros, one odd value in a late row, quotes; columns that no value fills."""
+    lines = ["whole,real,inf,code,mixed,flag,day,time,none,text"]
+    lines += [f"{i},{i}.5,{'-inf' if i == 7 else i},{i:03d},{i},{'True' if i % 2 else 'False'},2024-01-0{i % 9 + 1},2024-01-01 00:00:{i % 60:02d}.5,NA,\"a \"\"{i}\"\", b\"" for i in range(40)]
+    lines += ["NaN,nan,+Infinity,,x,,,,,", "+5,1e3,.5,007,1,true,,,,plain"]
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    df = T.read_any_csv(spark, str(tmp_path / "t.csv"))
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "double", "bigint", "string", "boolean", "string", "string", "double", "string"]
+    rows = df.collect()
+    assert rows[40][0] is None and rows[40][1] is None and rows[40][2] == float("inf") and rows[7][2] == float("-inf")
+    assert rows[41][0] == 5 and rows[41][1] == 1000.0 and rows[41][3] == 7 and rows[0][9] == 'a "0", b' and rows[40][9] is None
+    kinds = dict(T.read_any_csv(spark, str(tmp_path / "t.csv"), times=True, zeros=False).dtypes)
+    assert kinds["code"] == "string" and kinds["time"] == "timestamp"
+    (tmp_path / "e.csv").write_text("a,b\n")
+    assert T.read_any_csv(spark, str(tmp_path / "e.csv")).dtypes == [("a", "double"), ("b", "double")]
+
+
+def test_duplicates_compare_whole_rows(spark):
+    rows = [(1, None, 0.0), (1, None, -0.0), (1, "a", float("nan")), (1, "a", float("nan")), (None, "a", 1.0), (2, "a", 1.0), (2, None, 1.0)]
+    assert P.duplicate_rows(spark.createDataFrame(rows, "`a b` long, t string, x double")).first()[0] == 2
+    assert P.duplicate_rows(spark.createDataFrame([], "a long, t string")).first()[0] == 0
+
+
+def test_a_stream_is_scored_as_a_batch(spark, tmp_path):
+    """Two arrivals, the second after the first run; a batch written again is there once."""
+    from patternscore.streaming.scores import score_stream, scored
+
+    df = spark.createDataFrame([(i, float(i % 5), float(i % 3)) for i in range(80)], "id long, x double, y double")
+    model = MD.Model.fit(df, S.Plan("id", [["x", "y"]], 3))
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in ("id < 50", "id >= 50"):
+        df.where(part).write.mode("append").parquet(source)
+        score_stream(spark.readStream.schema(df.schema).parquet(source), model, out, state).awaitTermination()
+    assert sorted(map(tuple, scored(spark, out).collect())) == sorted(map(tuple, model.score(df).collect()))
+
+
 def test_group_files_and_domains(spark, tmp_path):
     groups = [["a", "b"], ["c"]]
     G.save_groups(spark, groups, str(tmp_path / "groups"))
