@@ -146,12 +146,12 @@ def duplicate_rows(spark, sf_dir):
     return P.duplicate_rows(rows.union(rows.where("l_returnflag = 'R'")))
 
 
-@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value, props FROM events")
 def csv_events(spark, sf_dir):
     """events written as CSV and read back without a schema: types are found from all rows."""
     path = new_path(spark, "csv")
     table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("string")).write.options(header=True, escape='"').csv(path)
-    return T.read_any_csv(spark, path, times=True)
+    return T.read_any_csv(spark, path, times=True).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query(f"WITH {_ROLLUP} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(coalesce(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 0), 6) AS r FROM r" for i, a in enumerate(ROLLUP) for b in ROLLUP[i + 1 :]))
