@@ -69,12 +69,9 @@ LEFT, RIGHT, NEAR = 40, 20, 32
 VOTES = ("format", "checksum", "gazetteer", "context", "surroundings")
 
 
-def _struct(start: Column, kind: str, value: Column, base: bool, text: Column, want: Column) -> Column:
-    end = start + F.length(value)
-    return F.struct(
-        start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), F.lit(base).alias("base"), want.alias("valid"), value.alias("value"),
-        F.when(start > 0, text.substr(F.greatest(start - LEFT + 1, F.lit(1)), F.least(start, F.lit(LEFT)))).otherwise("").alias("left"), text.substr(end + 1, F.lit(RIGHT)).alias("right"),
-    )
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once: within a lambda, an expression that is not bound is computed for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _digits(value: Column) -> Column:
@@ -97,28 +94,56 @@ def _valid(kind: str, value: Column, base: bool) -> Column:
 
 
 def _matches(text: Column, kind: str, base: bool) -> Column:
-    """Structs of all matches, leftmost and non-overlapping: the text is cut into (gap, match) pairs, whose lengths give the places."""
+    """Structs of all matches, leftmost and non-overlapping: the text is cut into (gap, match) pairs, whose lengths give the places.
+
+    What stands before a match is the end of the gaps and matches so far, what stands after it the beginning of the next ones, so nothing is
+    looked up in the text and the work grows with its length.
+    """
     pattern = f"([\\s\\S]*?)(?:({(BASE if base else LOOSE)[kind]})|\\z)"
-    gaps, found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
-    none = F.array(F.struct(F.lit(0).alias("start"), F.lit("").alias("value")))
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("found"))
+    none = F.slice(F.array(F.struct(F.lit(0).alias("start"), *[F.lit("").alias(c) for c in ("value", "left", "right")])), 2, 1)
+
+    def placed(cut: Column) -> Column:
+        def place(acc: Column, i: Column) -> Column:
+            gap, value = F.get(cut["gaps"], i), F.get(cut["found"], i)
+            at, left = acc["at"] + F.length(gap), F.right(F.concat(acc["tail"], gap), F.lit(LEFT))
+            after = [F.coalesce(F.substring(F.get(cut[c], i + 1), 1, RIGHT), F.lit("")) for c in ("gaps", "found")]
+            right = F.substring(F.concat(*after), 1, RIGHT)
+            one = F.array(F.struct(at.alias("start"), value.alias("value"), left.alias("left"), right.alias("right")))
+            out = F.when(value == "", acc["out"]).otherwise(F.concat(acc["out"], one))
+            return F.struct((at + F.length(value)).alias("at"), F.right(F.concat(left, value), F.lit(LEFT)).alias("tail"), out.alias("out"))
+
+        def place_run(acc: Column, run: Column) -> Column:
+            own = F.sequence(run * _RUN, F.least(run * _RUN + (_RUN - 1), F.size(cut["found"]) - 1))
+            start = F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), none.alias("out"))
+            return F.aggregate(own, start, place, lambda r: F.struct(r["at"].alias("at"), r["tail"].alias("tail"), F.concat(acc["out"], r["out"]).alias("out")))
+
+        runs = F.sequence(F.lit(0), F.floor((F.size(cut["found"]) - 1) / _RUN).cast("int"))
+        return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")), place_run, lambda acc: acc["out"])
+
+    def span(x: Column) -> Column:
+        names = {"start": x["start"], "kind": F.lit(KINDS.index(kind)), "end": x["start"] + F.length(x["value"]), "base": F.lit(base), "valid": _valid(kind, x["value"], base), "value": x["value"], "left": x["left"], "right": x["right"]}
+        return F.struct(*[c.alias(n) for n, c in names.items()])
+
+    return F.when(text.rlike(NEEDS[kind, base]), F.transform(_bound(cut, placed), span)).otherwise(F.array().cast(_SPANS))
+
+
+def _alone(spans: Column) -> Column:
+    """Base spans, and the others that overlap none. Base spans are looked through by runs, sorted by their starts."""
+    base = F.array_sort(F.transform(F.filter(spans, lambda s: s["base"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def runs(b: Column) -> Column:
+        def run(r: Column) -> Column:
+            own = F.slice(b, r * _RUN + 1, F.lit(_RUN))
+            return F.struct(F.array_min(own)["start"].alias("low"), F.array_max(F.transform(own, lambda s: s["end"])).alias("high"), own.alias("own"))
 
-    def place(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        found = F.array(F.struct(at.alias("start"), x["value"].alias("value")))
-        return F.struct((at + F.length(x["value"])).alias("at"), F.when(x["value"] == "", acc["out"]).otherwise(F.concat(acc["out"], found)).alias("out"))
+        return F.when(F.size(b) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / _RUN).cast("int")), run)).otherwise(F.array())
 
-    def place_run(acc: Column, run: Column) -> Column:
-        return F.aggregate(
-            F.slice(pairs, run * _RUN + 1, F.lit(_RUN)),
-            F.struct(acc["at"].alias("at"), none.alias("out")),
-            place,
-            lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.slice(r["out"], F.lit(2), F.size(r["out"]))).alias("out")),
-        )
+    def clear(r: Column) -> Column:
+        meets = lambda s: F.exists(r, lambda x: (x["low"] < s["end"]) & (x["high"] > s["start"]) & F.exists(x["own"], lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+        return F.filter(spans, lambda s: s["base"] | ~meets(s))
 
-    placed = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(pairs) / _RUN).cast("int")), F.struct(F.lit(0).alias("at"), F.slice(none, 2, 1).alias("out")), place_run, lambda acc: acc["out"])
-    spans = F.transform(placed, lambda x: _struct(x["start"], kind, x["value"], base, text, _valid(kind, x["value"], base)))
-    return F.when(text.rlike(NEEDS[kind, base]), spans).otherwise(F.array().cast(_SPANS))
+    return _bound(_bound(base, runs), clear)
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int,base:boolean,valid:boolean,value:string,left:string,right:string>>"
@@ -247,9 +272,8 @@ def find_pii(docs: DataFrame, least: float = 0.9) -> DataFrame:
     """
     found = saved(candidate_spans(docs), "spans")
     # What overlaps a base match is no candidate and no evidence: the base match stands for it.
-    found = found.withColumn("_base", F.filter("spans", lambda s: s["base"]))
-    alone = F.filter("spans", lambda s: s["base"] | ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    found = found.select("doc_id", F.when(F.size("_base") == F.size("spans"), F.col("spans")).otherwise(alone).alias("spans"))
+    bases = F.size(F.filter("spans", lambda s: s["base"]))
+    found = found.select("doc_id", F.when((bases == 0) | (bases == F.size("spans")), F.col("spans")).otherwise(_alone(F.col("spans"))).alias("spans"))
     rows = saved(labeled(found.select(F.explode("spans").alias("s")).select("s.*")), "span-votes")
     counted = rows.groupBy("kind", *VOTES).count().collect()  # at most 4 * 3**5 patterns
     patterns = sorted((r["kind"], tuple(r[v] for v in VOTES), r["count"]) for r in counted)
@@ -269,4 +293,4 @@ def find_pii(docs: DataFrame, least: float = 0.9) -> DataFrame:
         good = loose.where(score > log(least / (1 - least))).groupBy("uid").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
         more = numbered.join(good, "uid", "left").select("doc_id", "base", F.coalesce("added", added).alias("added"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as bigint) AS n_{k}") for i, k in enumerate(KINDS)]
-    return more.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_union("base", "added")).alias("spans"))
+    return more.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"))

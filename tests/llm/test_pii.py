@@ -135,3 +135,27 @@ def test_reliabilities_find_the_good_labelers():
     gain = [odds[(0, i, 1)] - odds[(0, i, -1)] for i in range(5)]
     assert gain[0] > gain[2] > gain[3] > 0.5 and abs(gain[4]) < 0.5
     assert abs(1 / (1 + 2.718281828 ** -prior[0]) - 0.4) < 0.05
+
+
+def test_contexts_are_those_of_the_text(spark):
+    rows = corpus()[:150]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = 0
+    for r, (_, text) in zip(sorted(candidate_spans(df).collect(), key=lambda r: r["doc_id"]), rows, strict=True):
+        for s in r["spans"]:
+            assert text[s["start"] : s["end"]] == s["value"] and s["left"] == text[max(0, s["start"] - 40) : s["start"]]
+            assert s["right"][:1] == text[s["end"] : s["end"] + 1] and text[s["end"] :].startswith(s["right"])
+            seen += 1
+    assert seen > 200
+
+
+def test_a_text_of_very_many_matches(spark):
+    """400,000 mails, and 60,000 more beside looser forms, each text in one task."""
+    import time
+
+    many, mixed = "ab@cd.com " * 400_000, "ab@cd.com or call (212) 555-0199 or joe (at) site (dot) com " * 30_000
+    began = time.time()
+    got = {r["doc_id"]: r for r in find_pii(spark.createDataFrame([(1, many), (2, mixed)], "doc_id long, text string").repartition(2)).collect()}
+    assert got[1]["n_email"] == 400_000 and got[2]["n_email"] == 30_000
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(f"email:{10 * i}:{10 * i + 9}" for i in range(400_000)).encode()).hexdigest()
+    assert time.time() - began < 150
