@@ -44,6 +44,64 @@ def test_query_matches_sql(spark, duck, name):
         assert a == b
 
 
+def rollup_rows(duck):
+    from patternscore.plans.registry import _ROLLUP, ROLLUP
+
+    return ROLLUP, np.array(duck.sql(f"WITH {_ROLLUP} SELECT {', '.join(ROLLUP)} FROM r ORDER BY l_orderkey").fetchall(), float)
+
+
+def test_grouping_queries_equal_plain_groups(spark, duck):
+    """The queries without SQL: groups from numpy's correlations by plain loops."""
+    columns, x = rollup_rows(duck)
+    corr = np.round(np.abs(np.corrcoef(x.T)), 6)
+    left, greedy = list(range(len(columns))), []
+    while left:
+        group = [max(left, key=lambda i: (np.mean([corr[i, j] for j in left]), -i))]
+        while len(group) < 3 and (rest := [i for i in left if i not in group]):
+            best = max(rest, key=lambda i: (np.mean([corr[i, j] for j in group]), -i))
+            if np.mean([corr[best, j] for j in group]) <= 0.1:
+                break
+            group.append(best)
+        greedy.append([columns[i] for i in group])
+        left = [i for i in left if i not in group]
+    for name, want in (("linked_groups", plain_linkage(corr, columns, 3)), ("greedy_groups", greedy)):
+        got: dict = {}
+        for r in QUERIES[name](spark, DATA).collect():
+            got.setdefault(r["group_id"], []).append(r["column_name"])
+        assert [sorted(got[i]) for i in sorted(got)] == [sorted(g) for g in want], name
+
+
+def test_arc_query_is_a_plain_optimum(spark, duck):
+    """The arcs of the query beat every network that one more, one less or one turned arc gives, by plain BIC of numpy's bins."""
+    from itertools import permutations
+
+    columns, x = rollup_rows(duck)
+    low, high = x.min(axis=0), x.max(axis=0)
+    codes = sum((x >= low + i * (high - low) / 3).astype(int) for i in (1, 2))
+    rows = [dict(zip(columns, map(int, r), strict=True)) for r in codes]
+    parents = {c: frozenset() for c in columns}
+    for r in QUERIES["network_arcs"](spark, DATA).collect():
+        parents[r["child"]] |= {r["parent"]}
+    known: dict = {}
+
+    def bic(c, ps):
+        if (c, ps) not in known:
+            known[c, ps] = plain_bic(rows, c, sorted(ps))
+        return known[c, ps]
+
+    def acyclic(net):
+        done: set = set()
+        while more := {c for c in columns if c not in done and net[c] <= done}:
+            done |= more
+        return len(done) == len(columns)
+
+    assert acyclic(parents) and any(parents.values())
+    for a, b in permutations(columns, 2):
+        moves = [parents | {b: parents[b] - {a}}, parents | {b: parents[b] - {a}, a: parents[a] | {b}}] if a in parents[b] else [parents | {b: parents[b] | {a}}]
+        for new in filter(acyclic, moves):
+            assert sum(bic(c, new[c]) - bic(c, parents[c]) for c in (a, b)) <= 1e-6, (a, b)
+
+
 def test_null_infinite_constant_and_empty(spark):
     df = spark.createDataFrame([(1, 1.0), (2, float("inf")), (3, None), (4, float("nan")), (5, 3.0)], "id long, x double")
     assert [r["x"] for r in P.impute_median(df, ["x"]).orderBy("id").collect()] == [1.0, 2.0, 2.0, 2.0, 3.0]
