@@ -3,7 +3,7 @@
 Of every window of ``window`` words, the smallest hash among its k-grams is kept; windows that share it by
 overlapping share one fingerprint, and every passage of ``window`` words or more that a document has in
 common with an item carries the same fingerprints on both sides. Document fingerprints first meet a bitmap of
-the item fingerprints (fixed at 2 MB), so only likely hits are shuffled; those join the items on (fingerprint,
+the item fingerprints (16 MB at most), so only likely hits are shuffled; those join the items on (fingerprint,
 words of the window), which extends each hit to exact windows. Items of fewer words are one window of their own length.
 """
 
