@@ -132,7 +132,7 @@ class Judge:
         while todo:
             specs = list(todo)
             run = _histograms(weights, [c for c, _, _ in specs], np.array([x for _, x, _ in specs]), np.array([x for _, _, x in specs]), self.places)
-            bins = self.vectors.mapInArrow(run, _CUTS).groupBy("spec", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toPandas().sort_values(["spec", "bin"])
+            bins = self.vectors.mapInArrow(run, _CUTS).groupBy("spec", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toArrow().to_pandas().sort_values(["spec", "bin"])
             new: dict = {}
             for i, own in bins.groupby("spec"):
                 below, served = todo[specs[i]]
