@@ -158,6 +158,28 @@ def in_blocks(rows: DataFrame, keys: list[str], item: str, block: int) -> DataFr
     return placed.select(*rows.columns, F.explode(pairs).alias("pair"))
 
 
+def joined_dealt(rows: DataFrame, table: DataFrame, keys: list[str], item: str, most: int = 100_000, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows.join(table, keys, how), how being inner or left, where no task takes all rows of a frequent key.
+
+    A key of more than ``most`` rows (or of more than a 10,000th of all rows, if that is more) is dealt by the hash of ``item`` over
+    parts of about so many rows, and the table's rows of that key are repeated for each part. So there are under 10,000
+    such keys however large the input, and they go to all tasks. Keys are not null. Table has few rows a key, and no columns
+    of rows but the keys; parts and part are column names of neither. counts: rows by key (keys, count) where they are known.
+    """
+    n = rows.count()
+    most = max(most, n // 10_000)
+    if n <= most:
+        return rows.join(table, keys, how)
+    by_key = counts if counts is not None else rows.groupBy(*keys).count()
+    hot = saved(by_key.where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("parts")), "frequent-keys")
+    if hot.isEmpty():
+        return rows.join(table, keys, how)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("part", F.pmod(F.xxhash64(item), parts).cast("int")).drop("parts")
+    repeated = table.join(F.broadcast(hot), keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(repeated, [*keys, "part"], how).drop("part")
+
+
 class BitFilter:
     """A set of 64-bit hashes kept as a bitmap: about 32 bits a hash, from 8 KB to ``most`` bits (16 MB).
 
