@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_pass, saved, text_hash
+from .common import SPACES, arrow_pass, joined_dealt, saved, text_hash
 
 #: A directory has about so many buckets at most, so that it stays small wherever it is sent: larger corpora have larger buckets.
 _BUCKETS = 1 << 15
@@ -151,7 +151,7 @@ def _owner():
     return f
 
 
-def exact_dedup(docs: DataFrame, bucket_rows: int = 4096, merge_bytes: int = 32 << 20, owner_chars: int = 64 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, bucket_rows: int = 4096, merge_bytes: int = 32 << 20, owner_chars: int = 64 << 20, hot_rows: int = 100_000) -> DataFrame:
     """Of texts that are equal without white space (space, tab to carriage return), the longest stays, then the smallest doc_id.
 
     Returns a row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
@@ -161,6 +161,7 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = 4096, merge_bytes: int = 32
     bucket_rows: keys that a bucket holds before it splits; more where the directory would pass its size.
     owner_chars: characters of different texts that an owner task is to read; owners are as many as the session's shuffle
     partitions at least, and beyond those no more than buckets.
+    hot_rows: copies of one text beyond which their rows are dealt over several tasks when they look up the index.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("n"), text_hash().alias("th"), F.translate(text, SPACES, "").alias("norm"))
@@ -175,6 +176,6 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = 4096, merge_bytes: int = 32
     owner = F.expr(f"bucket * {owners}L div {len(directory)}")
     owned = (merged.repartition(owners, owner) if owners > least else merged.repartition(owner)).sortWithinPartitions("bucket", "h")
     index = saved(arrow_pass(owned, _owner, "bucket int, h long, chain int, sha string, keep_n int, keep_id long, keep_th long, group_size long"), "exact-index")
-    found = keyed.withColumn("bucket", _bucket(directory, "h")).join(index, ["bucket", "h", "sha"])
+    found = joined_dealt(keyed.withColumn("bucket", _bucket(directory, "h")), index.drop("chain"), ["bucket", "h", "sha"], "doc_id", hot_rows)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n")) & (F.col("th") == F.col("keep_th"))
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))

@@ -62,3 +62,9 @@ def test_directory_splits_until_buckets_fit(spark):
         assert d[0] == 0 and np.all(d[1:] > d[:-1]) and np.bincount(own).max() <= rows and own.max() < len(d)
     assert build_directory(keys.limit(0), 5).tolist() == [0]
     assert split(np.array([1, 0, 9, 2]), 3) == ([3, 0], [2])
+
+
+def test_a_text_of_half_the_rows_is_dealt(spark):
+    docs = [(d, "same text" + " " * (d % 5) if d % 2 else f"text {d}") for d in range(400)] + [(None, "same text"), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(str, exact_dedup(df, hot_rows=10).collect())) == sorted(map(str, exact_dedup(df).collect()))
