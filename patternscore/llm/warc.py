@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass
+from .common import arrow_pass, joined_dealt
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 #: Header fields that candidates() reads.
@@ -29,7 +29,7 @@ _STEP = 16
 _FIELDS = "file string, size long, start long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, records_per_file: int = 10_000, most_bytes: int = 1 << 28) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, records_per_file: int = 10_000, most_bytes: int = 1 << 28, hot_rows: int = 20_000) -> None:
     """Write one record per row of pages(page_id, url, html) to gzip-compressed archives under path.
 
     An archive holds at most ``records_per_file`` records and, before compression, ``most_bytes`` bytes; a larger record has its own.
@@ -38,11 +38,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, records_
     Of equal payloads of at least ``least_bytes`` bytes the smallest page_id is a response and the others are revisits
     without payload. Rows that repeat the smallest page_id are responses too. A null html is empty, a null url is left out,
     line ends in a url are deleted; a null page_id is never the smallest unless all are null.
+    hot_rows: pages of one payload beyond which they are dealt over several tasks.
     """
     html = F.coalesce("html", F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.translate(F.coalesce("url", F.lit("")), "\r\n", "").alias("url"), html.alias("body"), F.octet_length(html).alias("n"), F.sha2(html, 256).alias("digest"))
-    first = base.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL").select("digest", "first")
-    base = base.join(first, "digest", "left")
+    first = base.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL")
+    base = joined_dealt(base, first.drop("copies"), ["digest"], "page_id", hot_rows, "left", first.select("digest", F.col("copies").alias("count")))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit("\r\n\r\n"))
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("body")))

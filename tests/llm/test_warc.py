@@ -28,7 +28,7 @@ def test_round_trip(spark, tmp_path):
     long, at_99, at_100 = "é" * 80_000, "x" * 99, "x" * 100
     rows = [(1, "http://a/\r\nX: y", long), (2, None, None), (3, "u", ""), (4, "u", at_99), (5, "u", at_99), (6, "u", at_100), (7, "u", at_100), (8, "u", FAKE), (9, "u", FAKE * 50), (10, "u", FAKE * 50), (11, "u", long), (None, "u", long), (12, "u", "a\nb\r\n\r\nc\n"), (6, "u", at_100), (13, "u", "WARC/1.1\r\n")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
-    for n, kw in enumerate(({}, {"records_per_file": 2})):
+    for n, kw in enumerate(({}, {"records_per_file": 2}, {"hot_rows": 2})):
         path = f"file://{tmp_path}/w{n}"
         write_archives(df, path, **kw)
         assert sorted((tuple(r) for r in page_records(read_archives(spark, path)).collect()), key=repr) == brute(rows)
