@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import BitFilter, arrow_pass, distinct, gram_hashes, maybe_in, saved, text_bytes, text_hash
 from .graph import components
-from .sketches import BANDS, MULTIPLIERS, SHIFTS, SKETCH, WORDS, again_hashes, band_hashes, likely_sets, longs
+from .sketches import BANDS, MULTIPLIERS, SHIFTS, SKETCH, WORDS, again_hashes, band_hashes, likely_sets, longs, unlinked_sets
 
 #: Lines that a task remembers, so as not to send their bands again.
 _SEEN = 300_000
@@ -256,20 +256,28 @@ def _place() -> Column:
 def line_roots(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 512) -> tuple[DataFrame, DataFrame]:
     """Places of the lines that may repeat (line, lh, lk, doc_id, th, no), and of each different one of them (lh, lk) its first place, its copies and the root of its component.
 
-    lh and lk are the two hashes that a line is known by. most: lines of a band that are compared each with each; larger bands go in order (see sketches).
+    lh and lk are the two hashes that a line is known by. most: lines of a band that are compared each with each at once; larger bands go in order first, and then what that left unlinked meets the whole band (see sketches).
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), text_bytes().alias("text"))
     banded = arrow_pass(texts.select("text"), _signer(shingle), longs(["band", "lh", *WORDS]), rows=200)
-    met, often = likely_sets(banded, most)
-    found = arrow_pass(texts, _finder(BitFilter.of(met, "lh"), BitFilter.of(often, "lh")), "line string, lh long, lk long, doc_id long, th long, no int", rows=200)
+    met, often, wide = likely_sets(banded, most)
+    found = arrow_pass(texts, _finder(BitFilter.of(met.select("lh").union(wide.select("lh")), "lh"), BitFilter.of(often, "lh")), "line string, lh long, lk long, doc_id long, th long, no int", rows=200)
     found = saved(found, "lines")
     # A line is known by two 64-bit hashes, so its text travels once to here and once to each group that compares it.
     lines = found.groupBy("lh", "lk").agg(F.first("line").alias("line"), F.min(_place()).alias("first"), F.count("*").alias("copies"))
     lines = saved(lines.withColumn("uid", F.monotonically_increasing_id()), "distinct-lines")
-    met = met.join(lines.where("line IS NOT NULL").select("lh", "uid", "line"), "lh").select("x", "y", "uid", "line")
-    links = arrow_pass(met.repartition("x", "y").sortWithinPartitions("x", "y"), _verifier(shingle, least), "u long, v long")
-    roots = components(links)
-    return found, lines.join(roots, lines["uid"] == roots["node"], "left").select("lh", "lk", "first", "copies", F.coalesce("root", "uid").alias("root"))
+
+    def verified(met: DataFrame) -> DataFrame:
+        rows = met.join(lines.where("line IS NOT NULL").select("lh", "uid", "line"), "lh").select("x", "y", "uid", "line")
+        return arrow_pass(rows.repartition("x", "y").sortWithinPartitions("x", "y"), _verifier(shingle, least), "u long, v long")
+
+    roots = components(verified(met))
+    rooted = lambda: lines.join(roots, lines["uid"] == roots["node"], "left").select("lh", "lk", "first", "copies", F.coalesce("root", "uid").alias("root"))
+    if not wide.isEmpty() and (more := unlinked_sets(wide, rooted().groupBy("lh").agg(F.min("root").alias("root")))) is not None:
+        new = saved(verified(more), "new-links")
+        if not new.isEmpty():
+            roots = components(new.union(roots.select("node", "root")))
+    return found, rooted()
 
 
 def repeated_lines(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 512) -> DataFrame:

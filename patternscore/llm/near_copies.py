@@ -109,7 +109,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), text_bytes().alias("text"))
     each = saved(arrow_pass(texts, _signer(shingle), longs(["doc_id", "th", "sid", *_BANDS, *WORDS])), "near-signatures")
     sets = each.where("sid <> 0").dropDuplicates(["sid"])
-    met, _ = likely_sets(sets.select(F.explode(F.array(*_BANDS)).alias("band"), F.col("sid").alias("lh"), *WORDS))
+    met, _, _ = likely_sets(sets.select(F.explode(F.array(*_BANDS)).alias("band"), F.col("sid").alias("lh"), *WORDS))
     one = each.groupBy(F.col("sid").alias("lh")).agg(F.min("th").alias("th"))
     one = saved(met.select("lh").distinct().join(one, "lh"), "near-met")
     maybe = maybe_in(BitFilter.of(one, "th"))(F.col("th"))

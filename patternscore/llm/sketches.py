@@ -8,6 +8,9 @@ A band of more than ``most`` items would cost the square of its size. Its items
 and then by the other sketch bytes, and every item meets the nearest half block on both sides. A pair at similarity 0.8 agrees
 with probability 0.87 in the first two such bytes of one order or the other, for each wide band that it shares, and items alike in
 more bytes stand nearer; the work is linear in the band. Blocks are cut by rank, so no block and no task grows with a band.
+
+That order only finds most links cheaply. Once links are verified, unlinked_sets() has every item of a wide band outside the band's largest
+component meet all others of the band by their sketches, in pairs of blocks, so that no two items that share a band stay uncompared.
 """
 
 from __future__ import annotations
@@ -66,12 +69,22 @@ def _parts(alike: np.ndarray) -> np.ndarray:
     return part
 
 
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bytes each sketch of a agrees with each of b; byte by byte over tiles that a core's cache holds."""
+    out, a, b = np.empty((len(a), len(b)), np.uint8), np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for i in range(0, a.shape[1], 64):
+        for j in range(0, b.shape[1], 2048):
+            own, other = a[:, i : i + 64, None], b[:, None, j : j + 2048]
+            same = (own[0] == other[0]).view(np.uint8)
+            for p in range(1, SKETCH):
+                same += (own[p] == other[p]).view(np.uint8)
+            out[i : i + 64, j : j + 2048] = same
+    return out
+
+
 def _alike(sketches: np.ndarray) -> np.ndarray:
     """Which sketches of a group agree enough, each with each."""
-    out = np.empty((len(sketches), len(sketches)), bool)
-    for i in range(0, len(sketches), 64):
-        out[i : i + 64] = (sketches[i : i + 64, None] == sketches[None]).sum(axis=2, dtype=np.uint8) >= AGREE
-    return out
+    return agreements(sketches, sketches) >= AGREE
 
 
 def _likely(key, lh, sketches):
@@ -242,12 +255,99 @@ def in_rank_blocks(rows: DataFrame, by: list[str], block: int) -> DataFrame:
     return ranked.select(*rows.columns, F.explode(F.array(F.expr(f"2 * (_r div {block})"), F.expr(f"2 * ((_r + {half}) div {block}) + 1"))).alias("at"))
 
 
-def likely_sets(banded: DataFrame, most: int = 512, block: int = 32) -> tuple[DataFrame, DataFrame]:
-    """From rows (band, lh, sketch): saved tables (x, y, lh) of likely sets and (lh) of items that came from two tasks or were marked again."""
+def likely_sets(banded: DataFrame, most: int = 512, block: int = 32) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From rows (band, lh, sketch): saved tables (x, y, lh) of likely sets, (lh) of items that came from two tasks or were marked again, and (band, lh, sketch) of bands of more than ``most`` items."""
     schema = "kind int, " + longs(["x", "y", "lh", "band", *WORDS])
     sifted = saved(arrow_pass(banded.repartition("band").sortWithinPartitions("band", "lh"), _sifter("band", most), schema), "sifted")
-    wide = arrow_pass(sifted.where(F.col("kind") == _WIDE).select("band", "lh", *WORDS), _orderer, "o int, " + longs(["band", "k0", "k1", "lh", *WORDS]))
-    near = in_rank_blocks(wide, ["o", "band", "k0", "k1", "lh"], block).select("at", "lh", *WORDS)
+    wide = sifted.where(F.col("kind") == _WIDE).select("band", "lh", *WORDS)
+    ordered = arrow_pass(wide, _orderer, "o int, " + longs(["band", "k0", "k1", "lh", *WORDS]))
+    near = in_rank_blocks(ordered, ["o", "band", "k0", "k1", "lh"], block).select("at", "lh", *WORDS)
     near = arrow_pass(near.repartition("at").sortWithinPartitions("at", "lh"), _sifter("at", None), schema)
     met = saved(sifted.where(F.col("kind") == _SET).union(near).select("x", "y", "lh").dropDuplicates(), "likely")
-    return met, sifted.where(F.col("kind") == _REPEAT).select("lh")
+    return met, sifted.where(F.col("kind") == _REPEAT).select("lh"), wide
+
+
+#: Items of a wide band that meet others together, and members of a set besides them.
+_TOGETHER = 512
+
+
+def _sets_with(minors, every) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, lh) of sets that hold every likely pair of one of some minor items and any item of another root; minors and every: (lh, root, sketches)."""
+    own, other = np.nonzero((agreements(minors[2], every[2]) >= AGREE) & (minors[1][:, None] != every[1][None]))
+    if not len(own):
+        return []
+    part = np.arange(len(minors[0]))  # minors that meet a common item share a part
+    while True:
+        least = np.full(len(every[0]), len(part))
+        np.minimum.at(least, other, part[own])
+        less = part.copy()
+        np.minimum.at(less, own, least[other])
+        if np.array_equal(less, part):
+            break
+        part = less
+    out = []
+    for p in np.unique(part[own]).tolist():
+        ours = part[own] == p
+        left, right = minors[0][np.unique(own[ours])], every[0][np.unique(other[ours])]
+        for i in range(0, len(right), _TOGETHER):
+            lh = distinct(np.concatenate((left, right[i : i + _TOGETHER])))
+            names = [np.broadcast_to(mix(lh.view(np.uint64) + np.uint64(salt)).sum(dtype=np.uint64), len(lh)) for salt in (0, 1)]
+            out.append((*names, lh))
+    return out
+
+
+def _meeter():
+    """Rows arrive by (band, block, part, minor): sets of likely pairs that have different roots."""
+    held: dict = {"key": None, "rows": []}
+
+    def sets():
+        if not held["rows"]:
+            return None
+        minor, lh, root, sketches = [np.concatenate(x) for x in zip(*held["rows"], strict=True)]
+        held["rows"].clear()
+        every, lh, root, sketches = (lh[~minor], root[~minor], sketches[~minor]), lh[minor], root[minor], sketches[minor]
+        out = []
+        for i in range(0, len(lh), _TOGETHER):
+            to = slice(i, i + _TOGETHER)
+            out += _sets_with((lh[to], root[to], sketches[to]), every)
+        if not out:
+            return None
+        x, y, lh = (np.concatenate(c) for c in zip(*out, strict=True))
+        return {"x": x.view(np.int64), "y": y.view(np.int64), "lh": lh}
+
+    def f(batch):
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "block", "part")], axis=1)
+        words = np.ascontiguousarray(np.stack([batch.column(c).to_numpy() for c in WORDS], axis=1)).view(np.uint8).reshape(-1, SKETCH)
+        rows = batch.column("minor").to_numpy(zero_copy_only=False), batch.column("lh").to_numpy(), batch.column("root").to_numpy(), words
+        bounds = np.concatenate(([0], np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1, [len(keys)]))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b > a:
+                if (key := tuple(keys[a])) != held["key"]:
+                    if (out := sets()) is not None:
+                        yield out
+                    held["key"] = key
+                held["rows"].append(tuple(c[a:b] for c in rows))
+
+    f.last = sets
+    return f
+
+
+def unlinked_sets(wide: DataFrame, roots: DataFrame, block: int = 16_384) -> DataFrame | None:
+    """(x, y, lh) of sets that hold every likely pair of a wide band whose two items have different roots; None where each band has one root.
+
+    wide: (band, lh, sketch) of likely_sets(); roots: (lh, root) of all its items. A band of N items, of which M are outside its largest component, takes about
+    2 N M / block rows, and a task holds the sketches of two blocks. Likely sets are cut at 1,024 members.
+    """
+    rows = saved(wide.join(roots, "lh").select("band", "lh", "root", *WORDS), "wide")
+    counts = rows.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("n")).where("m.c < n")
+    parts = [F.ceil(n / block).cast("int").alias(name) for n, name in ((F.col("n"), "blocks"), (F.col("n") - F.col("m.c"), "parts"))]
+    open_bands = saved(counts.select("band", F.col("m.root").alias("major"), *parts), "open")
+    if open_bands.isEmpty():
+        return None
+    both = rows.join(open_bands, "band")
+    own = [F.pmod(F.xxhash64("lh", "band"), F.col(c)).cast("int") for c in ("blocks", "parts")]
+    own_columns = ["band", "lh", "root", *WORDS]
+    every = both.select(*own_columns, F.lit(False).alias("minor"), own[0].alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    minor = both.where("root <> major").select(*own_columns, F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), own[1].alias("part"))
+    met = every.union(minor).repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "minor")
+    return saved(arrow_pass(met, _meeter, longs(["x", "y", "lh"])).dropDuplicates(), "unlinked")

@@ -1,8 +1,12 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from patternscore.llm import sketches as sketches_module
 from patternscore.llm.line_dedup import _forest_of_long, bands, line_dedup, repeated_lines, similar_forest, similar_pairs
+from patternscore.llm.sketches import AGREE, SKETCH, WORDS, longs, unlinked_sets
 
 
 def grams(line):
@@ -93,6 +97,45 @@ def test_wide_bands_keep_their_links(spark):
     assert not [x for x in lost if x < 10_000]
 
 
+def test_wide_bands_lose_no_pair(spark, monkeypatch):
+    """Where the order of a wide band brings no two lines together, all pairs that share it are found: the same as with bands compared each with each."""
+    monkeypatch.setattr(sketches_module, "in_rank_blocks", lambda rows, by, block: rows.withColumn("at", F.monotonically_increasing_id()))
+    rng = random.Random(6)
+    head = "a beginning that all of the lines share and that rules most minima of them "
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    lines = []
+    for _ in range(150):
+        words = [word() for _ in range(8)]
+        i = rng.randrange(8)
+        lines += [head + " ".join(words), head + " ".join([*words[:i], word(), *words[i + 1 :]])]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    lost = lambda most: {r["doc_id"] for r in repeated_lines(df, most=most).collect()}
+    whole = lost(100_000)
+    assert len(whole) > 100
+    assert lost(8) == whole
+
+
+def test_blocks_of_wide_bands_bring_all_pairs_together(spark):
+    """Likely pairs of different roots, by unlinked_sets() in small blocks, are those of a plain loop; pairs of one root need not meet."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (12, SKETCH), dtype=np.uint8)
+    sketches = base[rng.integers(0, 12, 300)]
+    change = rng.random(sketches.shape) < 0.3
+    sketches = np.where(change, rng.integers(0, 256, sketches.shape, dtype=np.uint8), sketches)
+    bands, roots = rng.integers(0, 2, 300), rng.choice([1, 1, 1, 2, 3], 300)
+    words = np.ascontiguousarray(sketches).view(np.int64)
+    wide = spark.createDataFrame([(int(bands[i]), i, *map(int, words[i])) for i in range(300)], longs(["band", "lh", *WORDS]))
+    rooted = spark.createDataFrame([(i, int(roots[i])) for i in range(300)], "lh long, root long")
+    want = {(i, j) for i in range(300) for j in range(i) if bands[i] == bands[j] and roots[i] != roots[j] and (sketches[i] == sketches[j]).sum() >= AGREE}
+    for block in (7, 100_000):
+        sets: dict = {}
+        for r in unlinked_sets(wide, rooted, block).collect():
+            sets.setdefault((r["x"], r["y"]), []).append(r["lh"])
+        got = {(i, j) for s in sets.values() for i in s for j in s if i > j}
+        assert len(want) > 100 and want <= got
+    assert unlinked_sets(wide, rooted.withColumn("root", F.col("root") * 0)) is None
+
+
 def test_clashing_columns_and_repeated_rows(spark):
     line = "a line that is long enough to be compared with others"
     rows = [(1, f"{line}\nfirst", 7, "x"), (1, f"{line}\nfirst", 7, "x"), (2, f"{line}\nsecond", 8, "y"), (None, line, 9, "z"), (None, None, 9, "z")]
