@@ -32,7 +32,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose 5-word shingle sets are similar (0.8 or more).
+    """One document of each group whose 5-word shingle sets are similar (0.8 or more): candidates by SimHash and by sketch bands, every link checked.
 
     The smallest doc_id stays (null last), then the smallest text hash; of rows that repeat both, any one. All columns stay.
     """

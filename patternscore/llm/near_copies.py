@@ -1,20 +1,10 @@
-"""Documents whose word shingle sets are similar, for the pipeline's near-dedup stage.
-
-Distinct shingle sets get the MinHash bands and sketches of line dedup; sets that share a band and agree in their sketches meet,
-exact Jaccard similarity decides on every link, and components of the links that pass are the groups.
-"""
+"""Word shingle sets and the links between similar ones, for near-dedup by SimHash groups and by SetSketch bands."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import BitFilter, arrow_pass, distinct, gram_hashes, maybe_in, mix, saved, text_bytes, text_hash, word_hashes
-from .graph import components
-from .sketches import BANDS, MULTIPLIERS, SHIFTS, SKETCH, WORDS, band_hashes, likely_sets, longs
 
-_BANDS = [f"b{i}" for i in range(BANDS)]
+from .common import distinct, gram_hashes, word_hashes
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -23,28 +13,6 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return distinct(gram_hashes(word_hashes(words), min(k, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def _signer(k: int):
-    """A row per document: sid (hash of its shingle set, 0 if that is empty), band hashes and sketch."""
-
-    def make():
-        def f(batch):
-            low = np.zeros((batch.num_rows, SKETCH), np.uint32)
-            sid = np.zeros(batch.num_rows, np.uint64)
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                h = shingle_set(text, k)
-                if len(h):
-                    sid[i] = mix(h).sum(dtype=np.uint64)
-                    low[i] = ((h >> np.uint64(32)).astype(np.uint32) * MULTIPLIERS[:, None] + SHIFTS[:, None]).min(axis=1)
-            bands, sketches = band_hashes(low)
-            words = np.ascontiguousarray(sketches).view(np.int64)
-            out = {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "sid": sid.view(np.int64)}
-            return out | {c: bands[:, i] for i, c in enumerate(_BANDS)} | {c: words[:, i] for i, c in enumerate(WORDS)}
-
-        return f
-
-    return make
-
-
 def set_links(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Links that connect what all pairs of sets of Jaccard similarity ``least`` or more connect."""
     kinds, number = np.unique(np.concatenate(sets), return_inverse=True)
@@ -67,53 +35,3 @@ def set_links(ids: list[int], sets: list[np.ndarray], least: float) -> list[tupl
             queue += found
             out += [(ids[x], ids[i]) for i in found]
     return out
-
-
-def _verifier(k: int, least: float):
-    def make():
-        held: dict = {"key": None, "ids": [], "sets": []}
-
-        def count(out):
-            if len(held["ids"]) > 1:
-                for u, v in set_links(held["ids"], held["sets"], least):
-                    out["u"].append(u)
-                    out["v"].append(v)
-            held.update(ids=[], sets=[])
-
-        def f(batch):
-            out = {"u": [], "v": []}
-            for *key, sid, text in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "lh", "text")), strict=True):
-                if key != held["key"]:
-                    count(out)
-                    held["key"] = key
-                held["ids"].append(sid)
-                held["sets"].append(shingle_set(text, k))
-            return out
-
-        def last():
-            out = {"u": [], "v": []}
-            count(out)
-            return out
-
-        f.last = last
-        return f
-
-    return make
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, th (hash of the text) and root (a shingle set's hash) of every row: rows of a root are near copies, over links of ``least`` similarity or more.
-
-    Documents without words are copies of each other.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), text_bytes().alias("text"))
-    each = saved(arrow_pass(texts, _signer(shingle), longs(["doc_id", "th", "sid", *_BANDS, *WORDS])), "near-signatures")
-    sets = each.where("sid <> 0").dropDuplicates(["sid"])
-    met, _, _ = likely_sets(sets.select(F.explode(F.array(*_BANDS)).alias("band"), F.col("sid").alias("lh"), *WORDS))
-    one = each.groupBy(F.col("sid").alias("lh")).agg(F.min("th").alias("th"))
-    one = saved(met.select("lh").distinct().join(one, "lh"), "near-met")
-    maybe = maybe_in(BitFilter.of(one, "th"))(F.col("th"))
-    held = texts.select("th", "text").where(maybe).join(one, "th").groupBy("lh").agg(F.first("text").alias("text"))
-    links = arrow_pass(met.join(held, "lh").select("x", "y", "lh", "text").repartition("x", "y").sortWithinPartitions("x", "y"), _verifier(shingle, least), "u long, v long")
-    roots = components(links)
-    return each.join(roots, each["sid"] == roots["node"], "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))

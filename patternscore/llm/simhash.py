@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass, distinct, dealt_in_blocks, saved, signed, text_bytes, text_hash
 from .graph import components
-from .near_copies import near_copies
+from .sketch_dedup import Search, signed_sets
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _LANES = np.uint64(0x0101010101010101)
@@ -270,6 +270,27 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> Da
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def simhash_groups(docs: DataFrame, each: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """key, sid, size: the sets of signed_sets() by the component of their documents' fingerprints, over links of at most ``radius`` bits."""
+    prints = saved(fingerprints(docs, shingle).select("th", "fp").distinct(), "fingerprints")
+    own = prints.select("fp").distinct()
+    roots = components(near_links(own, radius))
+    keyed = prints.join(roots, prints["fp"] == roots["node"], "left").select("th", F.coalesce("root", "fp").alias("key"))
+    return keyed.join(each.where("sid <> 0").select("th", "sid", "size").distinct(), "th").select("key", "sid", "size").distinct()
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
+    """doc_id, th (hash of the text) and root (a shingle set's hash) of every row: rows of a root are near copies, over links of ``least`` similarity or more.
+
+    SimHash components are groups of candidates. At 0.8 many pairs differ in more bits than ``radius``, so sets that share a band of SetSketch
+    registers are candidates too. Every link is checked on full sets. Documents without words are copies of each other.
+    """
+    each = saved(signed_sets(docs, shingle), "sets")
+    groups = simhash_groups(docs, each, radius, shingle)
+    roots = components(Search(docs, each, shingle, least, groups=groups).all_links())
+    return each.join(roots, each["sid"] == roots["node"], "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One row of docs from each group of near_copies(), with all its columns.
 

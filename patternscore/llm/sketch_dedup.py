@@ -133,16 +133,21 @@ def _verifier(k: int, least: float):
     return make
 
 
-class _Search:
-    """Links between the distinct sets of a table of documents."""
+#: Sets, and their shingles, of a group that are not cut into blocks.
+MOST, MASS = 2000, 4_000_000
 
-    def __init__(self, docs: DataFrame, each: DataFrame, shingle: int, least: float, most: int, mass: int):
-        self.docs, self.each, self.shingle, self.least, self.most, self.mass = docs, each, shingle, least, most, mass
+
+class Search:
+    """Links between the distinct sets of a table of documents; groups: more groups (key, sid, size) of sets than the bands."""
+
+    def __init__(self, docs: DataFrame, each: DataFrame, shingle: int, least: float, most: int = MOST, mass: int = MASS, groups: DataFrame | None = None):
+        self.docs, self.each, self.shingle, self.least, self.most, self.mass, self.groups = docs, each, shingle, least, most, mass, groups
         self.sets = each.where("sid <> 0").dropDuplicates(["sid"]).select("sid", "size", "k", "th")
 
     def members(self) -> DataFrame:
         """key, n (sets in the group), blocks and sid, of one of each kind of groups of two sets or more."""
-        bands = saved(arrow_pass(self.sets.select("sid", "size", "k"), lambda: _bands, "key long, sid long, size long"), "bands")
+        bands = arrow_pass(self.sets.select("sid", "size", "k"), lambda: _bands, "key long, sid long, size long")
+        bands = saved(bands if self.groups is None else bands.union(self.groups), "bands")
         groups = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("mass"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("n > 1")
         blocks = F.greatest(F.ceil(F.col("n") / self.most), F.ceil(F.col("mass") / self.mass)).cast("int").alias("blocks")
         kinds = groups.groupBy("x", "y", "n", "mass").agg(F.min("key").alias("key")).select("key", "n", blocks)
@@ -182,7 +187,7 @@ class _Search:
         return found.union(self.links(every.union(minor), ["key", "block", "with"]))
 
 
-def similar_sets(docs: DataFrame, shingle: int = 4, least: float = 0.8, most: int = 2000, mass: int = 4_000_000) -> DataFrame:
+def similar_sets(docs: DataFrame, shingle: int = 4, least: float = 0.8, most: int = MOST, mass: int = MASS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     Sets of ``least`` similarity or more are linked, component_id is the smallest doc_id that links reach. A row without words is linked with nothing.
@@ -190,7 +195,7 @@ def similar_sets(docs: DataFrame, shingle: int = 4, least: float = 0.8, most: in
     is their component_id. Rows that repeat each get their row, other columns are ignored, an empty table has no rows.
     """
     each = saved(signed_sets(docs, shingle), "sets")
-    roots = components(_Search(docs, each, shingle, least, most, mass).all_links())
+    roots = components(Search(docs, each, shingle, least, most, mass).all_links())
     own = each.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
     own = saved(own.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "low", F.coalesce("root", "sid").alias("root")), "roots")
     named = own.join(own.groupBy("root").agg(F.min("low").alias("low_id")), "root").select("sid", "low_id")

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from patternscore.llm import simhash
 from patternscore.llm.simhash import near_dedup, simhash_components
 
+groups = getattr(simhash, "simhash_groups", None)
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 SMALL = "/root/testdata/sf0.001"
 
@@ -74,6 +76,19 @@ def test_near_copies_go_by_exact_similarity(spark):
     assert got == {2 * i for i in range(60)} | {2 * i + 1 for i, p in enumerate(pairs) if p < 0.8}
 
 
+def test_near_dedup_goes_by_simhash(spark, monkeypatch):
+    """Copies with a word in capitals or a changed end fall into one SimHash group, other texts don't, and the stage's candidates hold those groups."""
+    rng = random.Random(9)
+    texts = [" ".join(f"v{rng.randrange(5000)}" for _ in range(300)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t.upper() + " end") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(simhash, "simhash_groups", lambda *a: seen.append(groups(*a)) or seen[-1])
+    assert {r["doc_id"] for r in near_dedup(docs).collect()} == set(range(20))
+    sizes = sorted(r["count"] for r in seen[0].groupBy("key").count().collect())
+    assert sum(sizes) == 40 and sizes[-1] == 2 and sizes.count(2) >= 15
+
+
 def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "q r s t u", "x"), (None, "q r s t u", "x"), (2, "z", None)], "doc_id long, text string, th string")
     got = sorted(near_dedup(docs).collect(), key=str)
