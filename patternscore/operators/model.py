@@ -186,8 +186,10 @@ class Model:
 def detect(df: DataFrame, key: str, columns: list[str], size: int = 3, bins: int = 5, grouping: str = "correlation", **scoring) -> tuple[Cleaner, Model, DataFrame]:
     """Clean, group, fit and score a table: the fitted parts, and the scored rows with the columns that explanations() and performance() read.
 
-    grouping: a strategy of create_groups(); scoring: what Model.fit() takes.
+    grouping: a strategy of create_groups(); scoring: what Model.fit() takes. The key and columns are saved first: cleaning reads them
+    some ten times, and df may be an aggregate that each time would shuffle the whole input.
     """
+    df = saved(df.select(key, *columns), "input")
     cleaner = Cleaner.fit(df, key, columns)
     clean = saved(cleaner.transform(df), "clean")
     groups = merged_small(create_groups(clean, cleaner.columns, size, {"linked": "correlation"}.get(grouping, grouping)), 2)

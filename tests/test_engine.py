@@ -499,3 +499,18 @@ def test_tables_are_read_checked_and_written(spark, tmp_path):
         T.validated(df.select("a"))
     T.write_results(df, str(tmp_path / "out"), "csv")
     assert T.read_csv(spark, str(tmp_path / "out"), "a double, b string").count() == 10
+
+
+def test_detect_aggregates_its_input_once(spark, monkeypatch):
+    """What cleaning reads many times is a saved table, not the plan of the input."""
+    seen = []
+
+    def fit(df, *rest):
+        seen.append(df)
+        raise InterruptedError
+
+    monkeypatch.setattr(MD.Cleaner, "fit", fit)
+    df = spark.range(20).groupBy((F.col("id") % 5).alias("id")).agg(F.sum("id").alias("x"), F.max("id").alias("y"))
+    with pytest.raises(InterruptedError):
+        MD.detect(df, "id", ["x", "y"])
+    assert "Aggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString() and seen[0].count() == 5
