@@ -10,8 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from math import log2
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructType
 
 from ..sources.shared import saved
 from .ranks import counted_quantiles, first_row, grouped_quantiles, running_total
@@ -72,26 +76,69 @@ def pattern_counts(binned: DataFrame, plan: Plan) -> DataFrame:
 MOST_SENT = 100_000
 #: Columns whose codes fit one 64-bit number, for a number of bins.
 _FIT = lambda bins: int(62 / log2(bins + 1))
+#: Types whose values compare as doubles.
+_PLAIN = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType)
 
 
-def codes(plan: Plan) -> list[Column]:
-    """A code of each group's pattern of bins, exact: digits of base bins + 1 (null is a digit) in a bigint, or in several as text if some group is wider."""
-    out, wide = [], any(len(g) > _FIT(plan.bins) for g in plan.groups)
-    for g in plan.groups:
-        numbers = []
-        for part in (g[i : i + _FIT(plan.bins)] for i in range(0, len(g), _FIT(plan.bins))):
-            number = "0L"
-            for c in part:
-                number = f"({number} * {plan.bins + 1} + coalesce(`{c}`, {plan.bins}))"
-            numbers.append(F.expr(number))  # as text: thousands of calls for each of its parts take seconds
-        out.append(F.concat_ws(",", *[n.cast("string") for n in numbers]) if wide else numbers[0])
-    return out
+def _cuts(low, high, bins: int) -> list[float]:
+    """The values at which bins 1 to bins - 1 of a column begin, in the arithmetic of bin_columns(); none of a constant column."""
+    if low is None or not high > low:
+        return []
+    return [low + float(i * (high - low)) / bins for i in range(1, bins)]
+
+
+def _coder(plan: Plan, cuts: list[list[float] | None]):
+    """From batches of the key and plan.columns (bins where cuts is None, else values), the key and each group's code.
+
+    A code is exact: digits of base bins + 1 (null is a digit) in a bigint, or in several as text if some group is wider.
+    """
+    place = {c: j for j, c in enumerate(plan.columns)}
+    parts = [[[place[c] for c in g[i : i + _FIT(plan.bins)]] for i in range(0, len(g), _FIT(plan.bins))] for g in plan.groups]
+    as_text, bins = any(len(p) > 1 for p in parts), plan.bins
+
+    def digits(values: pa.Array, at: list[float] | None) -> np.ndarray:
+        if at is None:
+            return values.fill_null(bins).to_numpy(zero_copy_only=False)
+        there, v = values.is_valid().to_numpy(zero_copy_only=False), values.cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(v), np.int64)
+        for x in at:
+            out += v >= x
+        out[np.isnan(v)] = len(at)  # Spark's NaN is above all numbers
+        out[~there] = bins
+        return out
+
+    def number(columns: list[np.ndarray]) -> np.ndarray:
+        out = columns[0]
+        for d in columns[1:]:
+            out = out * (bins + 1) + d
+        return out
+
+    def run(batches):
+        for b in batches:
+            found = [digits(b.column(j + 1), at) for j, at in enumerate(cuts)]
+            numbers = [[pa.array(number([found[j] for j in own])) for own in group] for group in parts]
+            codes = [pc.binary_join_element_wise(*[n.cast(pa.string()) for n in group], ",") if as_text else group[0] for group in numbers]
+            yield pa.RecordBatch.from_arrays([b.column(0), *codes], names=[b.schema.names[0], *(f"code_{i}" for i in range(len(codes)))])
+
+    return run, "string" if as_text else "long"
 
 
 def coded(df: DataFrame, plan: Plan, edges: dict[str, tuple] | None = None) -> DataFrame:
-    """key and code_<i>, the code of each group's pattern."""
-    binned = bin_columns(df, plan.columns, plan.bins, edges)
-    return binned.select(plan.key, *[c.alias(f"code_{i}") for i, c in enumerate(codes(plan))])
+    """key and code_<i>, the code of each group's pattern.
+
+    Tasks code Arrow batches column by column: as one Spark expression for each group, wide groups make methods that the JVM doesn't compile.
+    Columns that are not of a plain number type (decimals, dates) are binned by bin_columns().
+    """
+    edges = edges or fitted_edges(df, plan.columns)
+    values = df.select(*[F.col(c).alias(f"_v{j}") for j, c in enumerate(plan.columns)]).schema
+    other = [c for c, f in zip(plan.columns, values, strict=True) if not isinstance(f.dataType, _PLAIN) or not all(isinstance(x, (int, float, type(None))) for x in edges[c])]
+    cuts = [None if c in other else _cuts(*edges[c], plan.bins) for c in plan.columns]
+    rows = (bin_columns(df, other, plan.bins, edges) if other else df).select(plan.key, *[F.col(c).alias(f"_v{j}") for j, c in enumerate(plan.columns)])
+    run, kind = _coder(plan, cuts)
+    schema = StructType([rows.schema[0]])
+    for i in range(len(plan.groups)):
+        schema = schema.add(f"code_{i}", kind)
+    return rows.mapInArrow(run, schema)
 
 
 def code_counts(rows: DataFrame, plan: Plan) -> DataFrame:

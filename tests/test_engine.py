@@ -267,6 +267,32 @@ def test_rare_patterns_travel_in_one_shuffle(spark, bins, width):
         assert np.isclose(got[1000][0], np.log(1 / (600 + len({tuple(r[j + 1] for j in groups[0]) for r in rows}))))
 
 
+def test_wide_groups_are_coded_in_methods_that_the_jvm_compiles(spark):
+    """The JVM interprets methods of over 8,000 bytes for good."""
+    df = spark.range(100).select("id", *[F.col("id").cast("double").alias(f"c{j}") for j in range(28)])
+    plan = S.Plan("id", [[f"c{(2 * i + j) % 28}" for j in range(10 + i % 6)] for i in range(14)], 5)
+    rows = S.coded(df, plan, {c: (0.0, 99.0) for c in plan.columns})
+    text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "codegen")
+    sizes = [int(x) for x in __import__("re").findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000, sizes
+
+
+def test_codes_are_those_of_the_bins(spark):
+    """Columns of all number types with nulls, NaN, infinities, signed zeros, values outside the edges, on the edges and beyond 2**53."""
+    inf, nan, big = float("inf"), float("nan"), 2**53
+    some = [(0.0, 0, 0, 0.0), (-0.0, 1, 3, 0.1), (0.3, 2, big + 1, nan), (0.6, 3, big + 3, inf), (nan, 4, -big, -inf), (None, None, None, None), (1.5, 127, 7, 0.7), (-inf, -128, 9, 0.2), (inf, 5, 11, 0.3)]
+    df = spark.createDataFrame([(str(i), *r) for i, r in enumerate(some)], "id string, a double, b byte, c long, d float").selectExpr("*", "cast(b as decimal(9, 2)) as e", "5L as f")
+    plan = S.Plan("id", [list("abcdef"), ["e", "a"], ["d"], ["f", "c"]], 3)
+    for edges in (None, {"a": (0.0, 0.9), "b": (0, 4), "c": (0, 2 * big + 5), "d": (0.1, 0.7), "e": (0, 3), "f": (None, None)}, {"a": (-inf, 1.0), "b": (-128, 127), "c": (-big, big + 3), "d": (0.0, inf), "e": (1, 1), "f": (5, 9)}):
+        bins = {r["id"]: r for r in S.bin_columns(df, plan.columns, 3, edges).collect()}
+        for r in S.coded(df, plan, edges).collect():
+            for i, g in enumerate(plan.groups):
+                assert r[f"code_{i}"] == sum((3 if bins[r["id"]][c] is None else bins[r["id"]][c]) * 4 ** (len(g) - 1 - k) for k, c in enumerate(g)), (r, g, edges)
+    wide = S.Plan("id", [list("abcdef") * 6], 3)
+    one = {r["id"]: r["code_0"] for r in S.coded(df, plan).collect()}
+    assert {r["id"]: r["code_0"] for r in S.coded(df, wide).collect()} != one and all(r["code_0"].count(",") == 1 for r in S.coded(df, wide).collect())
+
+
 def test_shuffles_do_not_grow_with_groups(spark):
     df = spark.range(500).select("id", *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(5)).cast("double").alias(f"c{i}") for i in range(16)])
     seen = []
