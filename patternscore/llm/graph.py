@@ -44,3 +44,12 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def linked_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of a graph and more links (u, v), from its roots: only the components that the links touch go through rounds, a node each."""
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    ends = links.join(end("u"), "u", "left").join(end("v"), "v", "left")
+    joined = components(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
+    moved = roots.alias("a").join(joined.alias("b"), F.col("a.root") == F.col("b.node"), "left")
+    return moved.select("a.node", F.coalesce("b.root", "a.root").alias("root")).union(joined)

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BitFilter, arrow_pass, distinct, gram_hashes, maybe_in, saved, text_bytes, text_hash
-from .graph import components
+from .graph import components, linked_roots
 from .sketches import BANDS, MULTIPLIERS, SHIFTS, SKETCH, WORDS, again_hashes, band_hashes, likely_sets, longs, unlinked_sets
 
 #: Lines that a task remembers, so as not to send their bands again.
@@ -48,10 +49,13 @@ def bands(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     whole_n = len(grams[0]) if whole else 0
     h = (np.concatenate(grams) >> np.uint64(32)).astype(np.uint32) if grams else np.empty(0, np.uint32)
     padded = np.append(h[:whole_n], np.uint32(0xFFFFFFFF))
+    hashed, at_whole, at_short = np.empty_like(padded), np.array(whole, np.int64), np.array(short, np.int64)
     for j, (m, c) in enumerate(zip(MULTIPLIERS, SHIFTS, strict=True)):
         if whole:
-            low[j, whole] = np.minimum.reduceat(padded * m + c, edges)[::2]
-        low[j, short] = h[whole_n:] * m + c
+            np.multiply(padded, m, out=hashed)
+            hashed += c
+            low[j, at_whole] = np.minimum.reduceat(hashed, edges)[::2]
+        low[j, at_short] = h[whole_n:] * m + c
     return band_hashes(np.ascontiguousarray(low.T))
 
 
@@ -69,9 +73,9 @@ def _banded(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def _line_hash(line: bytes) -> int:
-    h = xxhash.xxh64_intdigest(line)
-    return h - ((h >> 63) << 64)
+def _line_hashes(lines: list[bytes], seed: int = 0) -> np.ndarray:
+    h = xxhash.xxh64_intdigest
+    return np.array([h(x, seed) for x in lines], np.uint64).view(np.int64)
 
 
 def _signer(k: int):
@@ -86,7 +90,7 @@ def _signer(k: int):
                 for line in text.split(b"\n"):
                     if not line.strip():
                         continue
-                    h = _line_hash(line)
+                    h = xxhash.xxh64_intdigest(line)
                     known = seen.get(h)
                     if known is None:
                         if len(seen) >= _SEEN:
@@ -99,8 +103,8 @@ def _signer(k: int):
                         again.append(h)
             keys, sketches = _banded(new, k)
             words = np.repeat(np.ascontiguousarray(sketches).view(np.int64).reshape(-1, len(WORDS)), BANDS, axis=0)
-            more = np.array(again, np.int64)
-            out = {"band": np.concatenate((keys.ravel(), again_hashes(more))), "lh": np.concatenate((np.repeat(np.array(fresh, np.int64), BANDS), more))}
+            more = np.array(again, np.uint64).view(np.int64)
+            out = {"band": np.concatenate((keys.ravel(), again_hashes(more))), "lh": np.concatenate((np.repeat(np.array(fresh, np.uint64).view(np.int64), BANDS), more))}
             return out | {c: np.concatenate((words[:, i], np.zeros(len(more), np.int64))) for i, c in enumerate(WORDS)}
 
         return f
@@ -113,19 +117,20 @@ def _finder(likely: BitFilter, often: BitFilter):
 
     def make():
         def f(batch):
-            out = {c: [] for c in ("line", "lh", "lk", "doc_id", "th", "no")}
-            for doc, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
-                lines = text.split(b"\n")
-                places = [i for i, x in enumerate(lines) if x.strip()]
-                if not places:
-                    continue
-                h = np.array([_line_hash(lines[i]) for i in places], np.int64)
-                with_text = likely.has(h)
-                for x in np.flatnonzero(with_text | often.has(h)).tolist():
-                    line = lines[places[x]]
-                    lk = xxhash.xxh64_intdigest(line, 5)
-                    for c, v in zip(out, (line.decode() if with_text[x] else None, int(h[x]), lk - ((lk >> 63) << 64), doc, th, places[x]), strict=True):
-                        out[c].append(v)
+            lines, at, places = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for no, line in enumerate(text.split(b"\n")):
+                    if line.strip():
+                        lines.append(line)
+                        at.append(i)
+                        places.append(no)
+            h = _line_hashes(lines)
+            with_text = likely.has(h)
+            some = np.flatnonzero(with_text | often.has(h))
+            found, rows = [lines[x] for x in some.tolist()], np.array(at, np.int64)[some]
+            out = {"line": [x.decode() if w else None for x, w in zip(found, with_text[some].tolist(), strict=True)], "lh": h[some], "lk": _line_hashes(found, 5)}
+            out |= {c: batch.column(c).take(pa.array(rows)) for c in ("doc_id", "th")}
+            out["no"] = np.array(places, np.int32)[some]
             return out
 
         return f
@@ -133,15 +138,35 @@ def _finder(likely: BitFilter, often: BitFilter):
     return make
 
 
-def shingle_sets(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Owner and number of every different shingle of each line, by owner; shingles are numbered from 0."""
+#: Bits of a shingle's hash that give way to the number of its line where few lines are compared together: 52 are left.
+_OWNER_BITS = 12
+
+
+def _grams(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and line of every shingle, repeats included."""
     sizes = np.array([len(x) for x in lines])
     owner = np.repeat(np.arange(len(lines)), sizes)
     grams, at = gram_hashes(_codes("".join(lines)), k), owner[: max(0, len(owner) - k + 1)]
     inside = at == owner[k - 1 :]
     short = np.flatnonzero(sizes < k).tolist()
-    grams = np.concatenate([grams[inside], *[shingles(lines[i], k) for i in short]])
-    owner = np.concatenate((at[inside], np.array(short, np.int64)))
+    return np.concatenate([grams[inside], *[shingles(lines[i], k) for i in short]]), np.concatenate((at[inside], np.array(short, np.int64)))
+
+
+def _by_shingle(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle and line of every different shingle of each of at most 2**_OWNER_BITS lines, by shingle and then by line: one sort of numbers that hold both."""
+    bits = np.uint64(_OWNER_BITS)
+    both = distinct((grams & ~np.uint64((1 << _OWNER_BITS) - 1)) | owner.astype(np.uint64))
+    return both >> bits, (both & np.uint64((1 << _OWNER_BITS) - 1)).astype(np.uint16)
+
+
+def shingle_sets(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Owner and number of every different shingle of each line, by owner; shingles are numbered from 0."""
+    grams, owner = _grams(lines, k)
+    if len(lines) <= 1 << _OWNER_BITS and len(grams):
+        kinds, owner = _by_shingle(grams, owner)
+        number = np.concatenate(([0], np.cumsum(kinds[1:] != kinds[:-1])))
+        order = np.argsort(owner, kind="stable")  # 16-bit numbers are sorted by their digits
+        return owner[order].astype(np.int64), number[order], int(number[-1]) + 1
     kinds, number = np.unique(grams, return_inverse=True)
     both = distinct(owner * len(kinds) + number)
     return both // len(kinds), both % len(kinds), len(kinds)
@@ -149,11 +174,15 @@ def shingle_sets(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray, int]
 
 def similar_pairs(lines: list[str], k: int, least: float) -> np.ndarray:
     """Which of the pairs (lines 0 and 1, 2 and 3, ...) have similarity ``least`` or more."""
-    owner, number, kinds = shingle_sets(lines, k)
-    size = np.bincount(owner, minlength=len(lines)).reshape(-1, 2).sum(axis=1)
-    both = np.sort((owner // 2) * kinds + number)
-    shared = np.bincount(both[1:][both[1:] == both[:-1]] // kinds, minlength=len(size))
-    return shared >= least * (size - shared) - 1e-9
+    most, out = 1 << _OWNER_BITS, []
+    for i in range(0, len(lines), most):
+        some = lines[i : i + most]
+        kinds, owner = _by_shingle(*_grams(some, k))
+        pair = owner // 2
+        size = np.bincount(pair, minlength=len(some) // 2)
+        shared = np.bincount(pair[1:][(kinds[1:] == kinds[:-1]) & (pair[1:] == pair[:-1])], minlength=len(size))
+        out.append(shared >= least * (size - shared) - 1e-9)
+    return np.concatenate(out) if out else np.zeros(0, bool)
 
 
 def similar_forest(ids: list[int], lines: list[str], k: int, least: float) -> list[tuple[int, int]]:
@@ -276,7 +305,7 @@ def line_roots(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int
     if not wide.isEmpty() and (more := unlinked_sets(wide, rooted().groupBy("lh").agg(F.min("root").alias("root")))) is not None:
         new = saved(verified(more), "new-links")
         if not new.isEmpty():
-            roots = components(new.union(roots.select("node", "root")))
+            roots = saved(linked_roots(roots, new), "roots")
     return found, rooted()
 
 

@@ -223,3 +223,29 @@ def recall_on(spark, folder):
 def test_recall_on_the_table(spark):
     recall, pairs = recall_on(spark, "/root/testdata/sf0.01")
     assert pairs >= 10 and recall >= 0.9
+
+
+def test_more_links_move_only_the_components_that_they_touch(spark, monkeypatch):
+    """100 chains of 10; links join some of them, and nodes that none of them has."""
+    from patternscore.llm import graph
+
+    chains = [(10 * c + i, 10 * c + i + 1) for c in range(100) for i in range(9)]
+    links = [(19, 55), (58, 993), (1007, 1003), (1003, 345), (2001, 2000), (21, 28), (3000, 3000)]
+    roots = graph.components(spark.createDataFrame(chains, "u long, v long"))
+    want = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(chains + links, "u long, v long")).collect()}
+    whole, sizes = graph.components, []
+    monkeypatch.setattr(graph, "components", lambda edges: (sizes.append(edges.count()), whole(edges))[1])
+    got = graph.linked_roots(roots, spark.createDataFrame(links, "u long, v long")).collect()
+    assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+    assert sizes == [len(links)]
+
+
+def test_many_pairs_are_judged_as_each_is():
+    rng = random.Random(4)
+    lines = []
+    for _ in range(3000):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randrange(3, 40)))
+        lines += [a, a[: rng.randrange(1, len(a))] + rng.choice(["", "x", "abcab"])]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} if len(x) >= 5 else {x} for x in lines]
+    want = [len(a & b) >= 0.8 * len(a | b) - 1e-9 for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert similar_pairs(lines, 5, 0.8).tolist() == want and 100 < sum(want) < 2900
