@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import BitFilter, arrow_pass, distinct, gram_hashes, maybe_in, saved, text_bytes, text_hash
 from .graph import components, linked_roots
-from .sketches import BANDS, MULTIPLIERS, SHIFTS, SKETCH, WORDS, again_hashes, band_hashes, likely_sets, longs, unlinked_sets
+from .sketches import BANDS, MULTIPLIERS, PACKED, SHIFTS, SKETCH, WORDS, Packer, again_hashes, band_hashes, likely_sets, unlinked_sets
 
 #: Lines that a task remembers, so as not to send their bands again.
 _SEEN = 300_000
@@ -79,9 +79,10 @@ def _line_hashes(lines: list[bytes], seed: int = 0) -> np.ndarray:
 
 
 def _signer(k: int):
-    """A row for each band of each line that the task has not just seen (band, line, sketch), and one for a line that it sees again."""
+    """Packed rows: one for each band of each line that the task has not just seen (band, line, sketch), and one for a line that it sees again."""
 
     def make():
+        packer = Packer()
         seen: dict[int, bool] = {}  # line -> whether it was reported again
 
         def f(batch):
@@ -104,9 +105,10 @@ def _signer(k: int):
             keys, sketches = _banded(new, k)
             words = np.repeat(np.ascontiguousarray(sketches).view(np.int64).reshape(-1, len(WORDS)), BANDS, axis=0)
             more = np.array(again, np.uint64).view(np.int64)
-            out = {"band": np.concatenate((keys.ravel(), again_hashes(more))), "lh": np.concatenate((np.repeat(np.array(fresh, np.uint64).view(np.int64), BANDS), more))}
-            return out | {c: np.concatenate((words[:, i], np.zeros(len(more), np.int64))) for i, c in enumerate(WORDS)}
+            lh = np.concatenate((np.repeat(np.array(fresh, np.uint64).view(np.int64), BANDS), more))
+            return packer.add(np.concatenate((keys.ravel(), again_hashes(more))), lh, np.concatenate((words, np.zeros((len(more), len(WORDS)), np.int64))))
 
+        f.last = packer.given
         return f
 
     return make
@@ -278,18 +280,32 @@ def _verifier(k: int, least: float):
     return make
 
 
+def _sizes(k: int):
+    """Number of different shingles of each line (lh, line)."""
+
+    def make():
+        def f(batch):
+            lines = batch.column("line").to_pylist()
+            _, owner = _by_shingle(*_grams(lines, k))
+            return {"lh": batch.column("lh"), "size": np.bincount(owner, minlength=len(lines))}
+
+        return f
+
+    return make
+
+
 def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "no")
 
 
-def line_roots(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 512) -> tuple[DataFrame, DataFrame]:
+def line_roots(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Places of the lines that may repeat (line, lh, lk, doc_id, th, no), and of each different one of them (lh, lk) its first place, its copies and the root of its component.
 
     lh and lk are the two hashes that a line is known by. most: lines of a band that are compared each with each at once; larger bands go in order first, and then what that left unlinked meets the whole band (see sketches).
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), text_bytes().alias("text"))
-    banded = arrow_pass(texts.select("text"), _signer(shingle), longs(["band", "lh", *WORDS]), rows=200)
-    met, often, wide = likely_sets(banded, most)
+    packed = arrow_pass(texts.select("text"), _signer(shingle), PACKED, rows=200)
+    met, often, wide = likely_sets(packed, most)
     found = arrow_pass(texts, _finder(BitFilter.of(met.select("lh").union(wide.select("lh")), "lh"), BitFilter.of(often, "lh")), "line string, lh long, lk long, doc_id long, th long, no int", rows=200)
     found = saved(found, "lines")
     # A line is known by two 64-bit hashes, so its text travels once to here and once to each group that compares it.
@@ -302,14 +318,16 @@ def line_roots(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int
 
     roots = components(verified(met))
     rooted = lambda: lines.join(roots, lines["uid"] == roots["node"], "left").select("lh", "lk", "first", "copies", F.coalesce("root", "uid").alias("root"))
-    if not wide.isEmpty() and (more := unlinked_sets(wide, rooted().groupBy("lh").agg(F.min("root").alias("root")))) is not None:
-        new = saved(verified(more), "new-links")
-        if not new.isEmpty():
+    if not wide.isEmpty():
+        crowded = lines.where("line IS NOT NULL").join(wide.select("lh").distinct(), "lh", "left_semi")
+        sizes = arrow_pass(crowded.select("lh", "line"), _sizes(shingle), "lh long, size long").groupBy("lh").agg(F.min("size").alias("size"))
+        more = unlinked_sets(wide, rooted().groupBy("lh").agg(F.min("root").alias("root")).join(sizes, "lh"), least=least)
+        if more is not None and not (new := saved(verified(more), "new-links")).isEmpty():
             roots = saved(linked_roots(roots, new), "roots")
     return found, rooted()
 
 
-def repeated_lines(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 512) -> DataFrame:
+def repeated_lines(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 4096) -> DataFrame:
     """doc_id, th (xxhash64 of the text) and gone (numbers of the lines that go, from 0) of documents that lose lines."""
     found, keyed = line_roots(docs, shingle, least, most)
     kept = keyed.groupBy("root").agg(F.min("first").alias("keep"), F.sum("copies").alias("size")).where("size > 1")

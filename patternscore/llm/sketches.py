@@ -10,11 +10,16 @@ with probability 0.87 in the first two such bytes of one order or the other, for
 more bytes stand nearer; the work is linear in the band. Blocks are cut by rank, so no block and no task grows with a band.
 
 That order only finds most links cheaply. Once links are verified, unlinked_sets() has every item of a wide band outside the band's largest
-component meet all others of the band by their sketches, in pairs of blocks, so that no two items that share a band stay uncompared.
+component meet all others of the band by their sketches, in pairs of blocks, so that no two items that share a band stay uncompared but
+those that their sizes tell apart: sets whose sizes differ by more than the least similarity allows cannot be alike.
+
+Rows of bands travel packed, many of a bucket of bands to a Spark row, as there are many and each is short.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,22 +74,26 @@ def _parts(alike: np.ndarray) -> np.ndarray:
     return part
 
 
-def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many bytes each sketch of a agrees with each of b; byte by byte over tiles that a core's cache holds."""
-    out, a, b = np.empty((len(a), len(b)), np.uint8), np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+def _agreed(a: np.ndarray, b: np.ndarray, half: bool = False):
+    """In how many bytes each sketch of a agrees with each of b: tiles (row, column, counts) that a core's cache holds; half: a is b, and tiles below its diagonal are left out."""
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     for i in range(0, a.shape[1], 64):
-        for j in range(0, b.shape[1], 2048):
+        for j in range(i if half else 0, b.shape[1], 2048):
             own, other = a[:, i : i + 64, None], b[:, None, j : j + 2048]
             same = (own[0] == other[0]).view(np.uint8)
             for p in range(1, SKETCH):
                 same += (own[p] == other[p]).view(np.uint8)
-            out[i : i + 64, j : j + 2048] = same
-    return out
+            yield i, j, same
 
 
 def _alike(sketches: np.ndarray) -> np.ndarray:
     """Which sketches of a group agree enough, each with each."""
-    return agreements(sketches, sketches) >= AGREE
+    out = np.zeros((len(sketches), len(sketches)), bool)
+    for i, j, same in _agreed(sketches, sketches, half=True):
+        near = same >= AGREE
+        out[i : i + near.shape[0], j : j + near.shape[1]] = near
+        out[j : j + near.shape[1], i : i + near.shape[0]] |= near.T
+    return out
 
 
 def _likely(key, lh, sketches):
@@ -122,17 +131,150 @@ def _likely(key, lh, sketches):
 
 #: Rows, of 40 bytes, that _sifter() takes together at least: Arrow's batches are small, as other rows hold texts.
 _SIFTED = 16_384
-#: Kinds of rows that _sifter() gives.
-_SET, _WIDE, _REPEAT = 0, 1, 2
+#: Kinds of rows that the sifters give.
+_SET, _WIDE, _REPEAT, _APART = 0, 1, 2, 3
 
 
 def _rows(kind: int, key, lh, sketches, x=None, y=None) -> dict:
     zero = np.zeros(len(lh), np.int64)
-    words = sketches.view(np.int64).reshape(-1, SKETCH // 8) if kind == _WIDE else np.zeros((len(lh), SKETCH // 8), np.int64)
-    names = {"x": zero if x is None else x.view(np.int64), "y": zero if y is None else y.view(np.int64), "lh": lh, "band": key if kind == _WIDE else zero}
+    words = sketches.view(np.int64).reshape(-1, SKETCH // 8) if kind in (_WIDE, _APART) else np.zeros((len(lh), SKETCH // 8), np.int64)
+    names = {"x": zero if x is None else x.view(np.int64), "y": zero if y is None else y.view(np.int64), "lh": lh, "band": key if kind in (_WIDE, _APART) else zero}
     return {"kind": np.full(len(lh), kind, np.int32)} | names | {c: words[:, i] for i, c in enumerate(WORDS)}
 
 
+def _whole(key, lh, sketches, most: int | None):
+    """What whole groups give: different rows by key."""
+    if not len(key):
+        return
+    if most:
+        starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+        sizes = np.diff(np.append(starts, len(key)))
+        large = np.repeat(sizes > most, sizes)
+        if large.any():
+            yield _rows(_WIDE, key[large], lh[large], sketches[large])
+            key, lh, sketches = key[~large], lh[~large], sketches[~large]
+            if not len(key):
+                return
+    x, y, keep = _likely(key, lh, sketches)
+    if keep.any():
+        yield _rows(_SET, None, lh[keep], None, x[keep], y[keep])
+
+
+#: Buckets of bands, rows that a task packs at once, that are sifted together at least, and of a bucket that is not sorted in its task.
+BUCKETS, _PACKED, _TAKEN, _APART_ROWS = 8192, 400_000, 100_000, 1_000_000
+PACKED = "bucket int, rows binary"
+
+
+class Packer:
+    """Rows (band, lh, sketch words) of 40 bytes, gathered and given as one row (bucket, rows) for each bucket of bands."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, band: np.ndarray, lh: np.ndarray, words: np.ndarray):
+        self.parts.append(np.column_stack((band, lh, words)))
+        self.n += len(band)
+        if self.n >= _PACKED:
+            yield from self.given()
+
+    def given(self):
+        if not self.n:
+            return
+        rows = np.concatenate(self.parts)
+        self.parts, self.n = [], 0
+        bucket = (rows[:, 0].view(np.uint64) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        bounds = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(rows)]))
+        step = 512  # buckets of a batch
+        for a in range(0, len(bounds) - 1, step):
+            some = bounds[a : a + step + 1]
+            data = pa.py_buffer(rows[some[0] : some[-1]])
+            places = pa.py_buffer(((some - some[0]) * rows.itemsize * rows.shape[1]).astype(np.int32))
+            yield {"bucket": bucket[some[:-1]].astype(np.int32), "rows": pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, places, data])}
+
+
+def _unpacked(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2 + SKETCH // 8)
+    return np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1]), np.ascontiguousarray(rows[:, 2:]).view(np.uint8)
+
+
+def _bucket_sifter(most: int, large: int):
+    """Packed rows arrive by bucket: what _sifter() gives, and the rows of a bucket of more than ``large`` rows apart, unsorted."""
+
+    def make():
+        done: list = []  # packed rows of whole buckets
+        own: list = []  # of the bucket that may go on
+        now: dict = {"bucket": None, "rows": 0, "done": 0, "apart": False}
+
+        def sifted():
+            packed = done[:]
+            done.clear()
+            now["done"] = 0
+            if not packed:
+                return
+            key, lh, sketches = _unpacked(packed)
+            order = np.argsort(key)
+            by = key[order]
+            more = by[1:] == by[:-1]
+            again = by.view(np.uint64) & _AGAIN != 0
+            if again.any():
+                yield _rows(_REPEAT, None, distinct(lh[order[again]]), None)
+            order = order[(np.append(more, False) | np.insert(more, 0, False)) & ~again]  # an item alone in its band meets none
+            if not len(order):
+                return
+            order = order[np.lexsort((lh[order], key[order]))]
+            key, lh = key[order], lh[order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (lh[1:] != lh[:-1])))
+            if len(twice := distinct(lh[~new & (key.view(np.uint64) & _NUMBER == 0)])):
+                yield _rows(_REPEAT, None, twice, None)
+            yield from _whole(key[new], lh[new], sketches[order[new]], most)
+
+        def apart():
+            for i in range(0, len(own), 8):
+                yield _rows(_APART, *_unpacked(own[i : i + 8]))
+            own.clear()
+
+        def closed():
+            if not now["apart"]:
+                done.extend(own)
+                now["done"] += now["rows"]
+            own.clear()
+            now.update(rows=0, apart=False)
+
+        def f(batch):
+            for bucket, rows in zip(batch.column("bucket").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                if bucket != now["bucket"]:
+                    closed()
+                    now["bucket"] = bucket
+                    if now["done"] >= _TAKEN:
+                        yield from sifted()
+                own.append(rows)
+                now["rows"] += len(rows) // (16 + SKETCH)
+                if now["rows"] > large:
+                    now["apart"] = True
+                    yield from apart()
+
+        def rest():
+            closed()
+            yield from sifted()
+
+        f.last = rest
+        return f
+
+    return make
+
+
+def _opener():
+    def f(batch):
+        key, lh, sketches = _unpacked(batch.column("rows").to_pylist())
+        words = sketches.view(np.int64)
+        return {"band": key, "lh": lh} | {c: words[:, i] for i, c in enumerate(WORDS)}
+
+    return f
+
+
 def _sifter(key_name: str, most: int | None):
     """Rows arrive by (key, lh): members of likely sets, the rows of groups of more than ``most`` items, and items that repeat."""
 
@@ -177,32 +319,16 @@ def _sifter(key_name: str, most: int | None):
                 wide.clear()
             earlier = np.flatnonzero(key != key[-1])
             n = max(at, int(earlier[-1]) + 1 if len(earlier) else 0)
-            yield from whole(key[at:n], lh[at:n], sketches[at:n])
+            yield from _whole(key[at:n], lh[at:n], sketches[at:n], most)
             if most and len(key) - n > most:
                 yield _rows(_WIDE, key[n:], lh[n:], sketches[n:])
                 wide.append(key[-1])
                 n = len(key) - 1
             held[:] = [key[n:], lh[n:], sketches[n:]]
 
-        def whole(key, lh, sketches):
-            if not len(key):
-                return
-            if most:
-                starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-                sizes = np.diff(np.append(starts, len(key)))
-                large = np.repeat(sizes > most, sizes)
-                if large.any():
-                    yield _rows(_WIDE, key[large], lh[large], sketches[large])
-                    key, lh, sketches = key[~large], lh[~large], sketches[~large]
-                    if not len(key):
-                        return
-            x, y, keep = _likely(key, lh, sketches)
-            if keep.any():
-                yield _rows(_SET, None, lh[keep], None, x[keep], y[keep])
-
         def rest():
             parts = taken() if waiting else []
-            return _joined(parts + (list(whole(*held)) if held and not wide else []))
+            return _joined(parts + (list(_whole(*held, most)) if held and not wide else []))
 
         f.last = rest
         return f
@@ -255,15 +381,24 @@ def in_rank_blocks(rows: DataFrame, by: list[str], block: int) -> DataFrame:
     return ranked.select(*rows.columns, F.explode(F.array(F.expr(f"2 * (_r div {block})"), F.expr(f"2 * ((_r + {half}) div {block}) + 1"))).alias("at"))
 
 
-def likely_sets(banded: DataFrame, most: int = 512, block: int = 32) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From rows (band, lh, sketch): saved tables (x, y, lh) of likely sets, (lh) of items that came from two tasks or were marked again, and (band, lh, sketch) of bands of more than ``most`` items."""
+def likely_sets(packed: DataFrame, most: int = 4096, block: int = 32, large: int = _APART_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From packed rows (band, lh, sketch): saved tables (x, y, lh) of likely sets, (lh) of items that came from two tasks or were marked again, and (band, lh, sketch) of bands of more than ``most`` items.
+
+    A task sorts the buckets of bands that it gets one by one; a bucket of more than ``large`` rows is left to Spark's sort.
+    """
     schema = "kind int, " + longs(["x", "y", "lh", "band", *WORDS])
-    sifted = saved(arrow_pass(banded.repartition("band").sortWithinPartitions("band", "lh"), _sifter("band", most), schema), "sifted")
+    sifted = saved(arrow_pass(packed.repartition("bucket").sortWithinPartitions("bucket"), _bucket_sifter(most, large), schema), "sifted")
+    apart = sifted.where(F.col("kind") == _APART).select("band", "lh", *WORDS)
+    if not apart.isEmpty():
+        again = arrow_pass(apart.repartition("band").sortWithinPartitions("band", "lh"), _sifter("band", most), schema)
+        sifted = sifted.where(F.col("kind") != _APART).union(saved(again, "sifted-apart"))
     wide = sifted.where(F.col("kind") == _WIDE).select("band", "lh", *WORDS)
-    ordered = arrow_pass(wide, _orderer, "o int, " + longs(["band", "k0", "k1", "lh", *WORDS]))
-    near = in_rank_blocks(ordered, ["o", "band", "k0", "k1", "lh"], block).select("at", "lh", *WORDS)
-    near = arrow_pass(near.repartition("at").sortWithinPartitions("at", "lh"), _sifter("at", None), schema)
-    met = saved(sifted.where(F.col("kind") == _SET).union(near).select("x", "y", "lh").dropDuplicates(), "likely")
+    met = sifted.where(F.col("kind") == _SET).select("x", "y", "lh")
+    if not wide.isEmpty():
+        ordered = arrow_pass(wide, _orderer, "o int, " + longs(["band", "k0", "k1", "lh", *WORDS]))
+        near = in_rank_blocks(ordered, ["o", "band", "k0", "k1", "lh"], block).select("at", "lh", *WORDS)
+        met = met.union(arrow_pass(near.repartition("at").sortWithinPartitions("at", "lh"), _sifter("at", None), schema).select("x", "y", "lh"))
+    met = saved(met.dropDuplicates(), "likely")
     return met, sifted.where(F.col("kind") == _REPEAT).select("lh"), wide
 
 
@@ -273,9 +408,16 @@ _TOGETHER = 512
 
 def _sets_with(minors, every) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(x, y, lh) of sets that hold every likely pair of one of some minor items and any item of another root; minors and every: (lh, root, sketches)."""
-    own, other = np.nonzero((agreements(minors[2], every[2]) >= AGREE) & (minors[1][:, None] != every[1][None]))
-    if not len(own):
+    pairs = []
+    for i, j, same in _agreed(minors[2], every[2]):
+        near = same >= AGREE
+        if near.any():
+            near &= minors[1][i : i + near.shape[0], None] != every[1][None, j : j + near.shape[1]]
+            left, right = np.nonzero(near)
+            pairs.append((left + i, right + j))
+    if not sum(len(x) for x, _ in pairs):
         return []
+    own, other = (np.concatenate(x) for x in zip(*pairs, strict=True))
     part = np.arange(len(minors[0]))  # minors that meet a common item share a part
     while True:
         least = np.full(len(every[0]), len(part))
@@ -297,28 +439,28 @@ def _sets_with(minors, every) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _meeter():
-    """Rows arrive by (band, block, part, minor): sets of likely pairs that have different roots."""
+    """Rows arrive by (band, a, b, left): sets of likely pairs that have different roots, of an item at left with one at right, or of two at left where none is at right."""
     held: dict = {"key": None, "rows": []}
 
     def sets():
         if not held["rows"]:
             return None
-        minor, lh, root, sketches = [np.concatenate(x) for x in zip(*held["rows"], strict=True)]
+        left, *rows = [np.concatenate(x) for x in zip(*held["rows"], strict=True)]
         held["rows"].clear()
-        every, lh, root, sketches = (lh[~minor], root[~minor], sketches[~minor]), lh[minor], root[minor], sketches[minor]
+        minors, others = [tuple(c[side] for c in rows) for side in (left, ~left)]
         out = []
-        for i in range(0, len(lh), _TOGETHER):
-            to = slice(i, i + _TOGETHER)
-            out += _sets_with((lh[to], root[to], sketches[to]), every)
+        for i in range(0, len(minors[0]), _TOGETHER):
+            some = tuple(c[i : i + _TOGETHER] for c in minors)
+            out += _sets_with(some, others if len(others[0]) else tuple(c[i:] for c in minors))
         if not out:
             return None
         x, y, lh = (np.concatenate(c) for c in zip(*out, strict=True))
         return {"x": x.view(np.int64), "y": y.view(np.int64), "lh": lh}
 
     def f(batch):
-        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "block", "part")], axis=1)
+        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "a", "b")], axis=1)
         words = np.ascontiguousarray(np.stack([batch.column(c).to_numpy() for c in WORDS], axis=1)).view(np.uint8).reshape(-1, SKETCH)
-        rows = batch.column("minor").to_numpy(zero_copy_only=False), batch.column("lh").to_numpy(), batch.column("root").to_numpy(), words
+        rows = batch.column("left").to_numpy(zero_copy_only=False), batch.column("lh").to_numpy(), batch.column("root").to_numpy(), words
         bounds = np.concatenate(([0], np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1, [len(keys)]))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b > a:
@@ -332,22 +474,34 @@ def _meeter():
     return f
 
 
-def unlinked_sets(wide: DataFrame, roots: DataFrame, block: int = 16_384) -> DataFrame | None:
+def unlinked_sets(wide: DataFrame, roots: DataFrame, block: int = 16_384, least: float = 0.8) -> DataFrame | None:
     """(x, y, lh) of sets that hold every likely pair of a wide band whose two items have different roots; None where each band has one root.
 
-    wide: (band, lh, sketch) of likely_sets(); roots: (lh, root) of all its items. A band of N items, of which M are outside its largest component, takes about
-    2 N M / block rows, and a task holds the sketches of two blocks. Likely sets are cut at 1,024 members.
+    wide: (band, lh, sketch) of likely_sets(); roots: (lh, root) of all its items. With a column size, of items' sets, pairs whose sizes
+    exclude a similarity of ``least`` may be left out: items are put in classes, and only those of one class or two neighbours meet.
+    Items outside the band's largest component (minors) and those in it (majors) are dealt to blocks; blocks of minors meet each other, once,
+    and blocks of majors. A task holds the sketches of two blocks. Likely sets are cut at 1,024 members.
     """
-    rows = saved(wide.join(roots, "lh").select("band", "lh", "root", *WORDS), "wide")
+    # The classes are a little wider than the least ratio of sizes, so rounding puts no two such sizes two classes apart.
+    kind = F.floor(F.log("size") / math.log(1.0001 / least)).cast("long") if "size" in roots.columns else F.lit(0).cast("long")
+    rows = saved(wide.join(roots, "lh").select("band", "lh", "root", kind.alias("kind"), *WORDS), "wide")
     counts = rows.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("n")).where("m.c < n")
-    parts = [F.ceil(n / block).cast("int").alias(name) for n, name in ((F.col("n"), "blocks"), (F.col("n") - F.col("m.c"), "parts"))]
-    open_bands = saved(counts.select("band", F.col("m.root").alias("major"), *parts), "open")
+    open_bands = saved(counts.select("band", F.col("m.root").alias("major")), "open")
     if open_bands.isEmpty():
         return None
-    both = rows.join(open_bands, "band")
-    own = [F.pmod(F.xxhash64("lh", "band"), F.col(c)).cast("int") for c in ("blocks", "parts")]
-    own_columns = ["band", "lh", "root", *WORDS]
-    every = both.select(*own_columns, F.lit(False).alias("minor"), own[0].alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    minor = both.where("root <> major").select(*own_columns, F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), own[1].alias("part"))
-    met = every.union(minor).repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "minor")
-    return saved(arrow_pass(met, _meeter, longs(["x", "y", "lh"])).dropDuplicates(), "unlinked")
+    both = rows.join(F.broadcast(open_bands), "band").withColumn("minor", F.col("root") != F.col("major"))
+    units = saved(both.groupBy("band", "kind", "minor").agg(F.ceil(F.count("*") / block).cast("long").alias("parts")), "units")
+    facing = F.struct(F.col("o.kind").alias("kind"), F.col("o.minor").alias("minor"), F.col("o.parts").alias("parts"))
+    met = (F.col("u.band") == F.col("o.band")) & (F.abs(F.col("u.kind") - F.col("o.kind")) <= 1) & (F.col("u.minor") | F.col("o.minor"))
+    near = units.alias("u").join(units.alias("o"), met).groupBy("u.band", "u.kind", "u.minor", "u.parts").agg(F.collect_list(facing).alias("facing"))
+    at = lambda kind, part: F.shiftleft(kind, 32) + part
+    own = at(F.col("kind"), F.pmod(F.xxhash64("lh", "band"), F.col("parts")))
+    dealt = both.join(F.broadcast(near), ["band", "kind", "minor"]).select("band", "lh", "root", *WORDS, "minor", own.alias("own"), F.explode("facing").alias("facing"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("facing.parts") - 1)).alias("part")).withColumn("other", at(F.col("facing.kind"), F.col("part")))
+    minor, facing_minor, own, other = F.col("minor"), F.col("facing.minor"), F.col("own"), F.col("other")
+    a = F.when(~minor, other).when(~facing_minor, own).otherwise(F.least(own, other))
+    b = F.when(~minor, 2 * own + 1).when(~facing_minor, 2 * other + 1).otherwise(2 * F.greatest(own, other))
+    left = minor & (~facing_minor | (own <= other))
+    dealt = dealt.select("band", a.alias("a"), b.alias("b"), left.alias("left"), "lh", "root", *WORDS)
+    dealt = dealt.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "left")
+    return saved(arrow_pass(dealt, _meeter, longs(["x", "y", "lh"])).dropDuplicates(), "unlinked")

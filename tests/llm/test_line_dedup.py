@@ -249,3 +249,76 @@ def test_many_pairs_are_judged_as_each_is():
     sets = [{x[i : i + 5] for i in range(len(x) - 4)} if len(x) >= 5 else {x} for x in lines]
     want = [len(a & b) >= 0.8 * len(a | b) - 1e-9 for a, b in zip(sets[::2], sets[1::2], strict=True)]
     assert similar_pairs(lines, 5, 0.8).tolist() == want and 100 < sum(want) < 2900
+
+
+def test_sizes_that_exclude_similarity_keep_items_of_a_wide_band_apart(spark):
+    """Of items that all look alike, those of near sizes and different roots meet in any blocks; those whose sizes differ by two classes never do."""
+    rng = np.random.default_rng(3)
+    n = 240
+    sizes, roots = rng.choice([4, 5, 20, 24, 25, 26, 31, 32, 60, 100, 125, 200], n), rng.choice([1, 1, 2, 3, 4], n)
+    wide = spark.createDataFrame([(i % 2, i, *([7] * len(WORDS))) for i in range(n)], longs(["band", "lh", *WORDS]))
+    rooted = spark.createDataFrame([(i, int(roots[i]), int(sizes[i])) for i in range(n)], "lh long, root long, size long")
+    other = [(i, j) for i in range(n) for j in range(i) if i % 2 == j % 2 and roots[i] != roots[j]]
+    ratio = lambda i, j: min(sizes[i], sizes[j]) / max(sizes[i], sizes[j])
+    for block in (7, 100_000):
+        sets: dict = {}
+        for r in unlinked_sets(wide, rooted, block).collect():
+            sets.setdefault((r["x"], r["y"]), []).append(r["lh"])
+        got = {(i, j) for s in sets.values() for i in s for j in s if i > j}
+        assert {(i, j) for i, j in other if ratio(i, j) >= 0.8} <= got
+        assert not [1 for i, j in got if ratio(i, j) < 0.8**3]
+
+
+def test_packed_bands_give_what_a_plain_count_gives():
+    """Sets, items that repeat, wide bands and buckets that are too large, from packed rows in batches of any cut."""
+    import pyarrow as pa
+
+    from patternscore.llm.sketches import _AGAIN, _APART, _REPEAT, _SET, _WIDE, BUCKETS, Packer, _bucket_sifter, again_hashes
+
+    rng = np.random.default_rng(9)
+    kinds = rng.integers(-(1 << 63), 1 << 63, 400) & ~np.int64(15)
+    kinds[:10] = kinds[0] + (np.arange(10) << 4)  # bands of one bucket
+    band = np.concatenate((rng.choice(kinds, 1500), np.full(40, kinds[20])))
+    lh = np.concatenate((rng.integers(0, 300, 1500), np.arange(40)))
+    words = np.repeat(lh[:, None], len(WORDS), axis=1) * 0 + 5  # all sketches agree
+    again = np.array([3, 77, 78], np.int64)
+    packer = Packer()
+    out = [*packer.add(band, lh, words), *packer.add(again_hashes(again), again, np.zeros((3, len(WORDS)), np.int64)), *packer.given()]
+    rows = [(b, r) for x in out for b, r in zip(x["bucket"].tolist(), x["rows"].to_pylist(), strict=True)]
+    assert sorted({b for b, _ in rows}) == [b for b, _ in rows] and len(rows[0][1]) % 40 == 0
+    want: dict = {}
+    for b, x in zip(band.tolist(), lh.tolist(), strict=True):
+        want.setdefault(b, []).append(x)
+    bucket = {b: (b % (1 << 64)) * BUCKETS >> 64 for b in want}
+    for large, step in ((10**6, 5), (10**6, 10**6), (25, 3)):
+        f = _bucket_sifter(16, large)()
+        parts = [p for i in range(0, len(rows), step) for p in f(pa.table({"bucket": pa.array([b for b, _ in rows[i : i + step]], pa.int32()), "rows": pa.array([r for _, r in rows[i : i + step]], pa.binary())}).to_batches()[0])]
+        parts += f.last()
+        got = [r for p in parts for r in zip(*(np.asarray(p[c]).tolist() for c in ("kind", "x", "y", "lh", "band")), strict=True)]
+        sizes: dict = {}
+        for b in want:
+            sizes[bucket[b]] = sizes.get(bucket[b], 0) + len(want[b])
+        here = {b: x for b, x in want.items() if sizes[bucket[b]] <= large}
+        sets: dict = {}
+        for kind, x, y, item, _ in got:
+            if kind == _SET:
+                sets.setdefault((x, y), set()).add(item)
+        assert {frozenset(s) for s in sets.values()} == {frozenset(x) for x in here.values() if 1 < len(set(x)) <= 16}
+        assert sorted((b, item) for kind, _, _, item, b in got if kind == _WIDE) == sorted((b, x) for b in here for x in set(here[b]) if len(set(here[b])) > 16)
+        assert sorted((b, item) for kind, _, _, item, b in got if kind == _APART and not b & int(_AGAIN)) == sorted((b, x) for b in want if b not in here for x in want[b])
+        repeated = {item for kind, _, _, item, _ in got if kind == _REPEAT}
+        assert repeated >= {x for b in here for x in here[b] if here[b].count(x) > 1 and b & 7 == 0} and repeated >= set(again.tolist()) and len(here) < len(want) or large > 25
+
+
+def test_large_buckets_keep_their_links(spark):
+    """Buckets that are left to Spark's sort give the same sets as those that their task sorts."""
+    from patternscore.llm.common import arrow_pass, text_bytes
+    from patternscore.llm.line_dedup import _signer
+    from patternscore.llm.sketches import PACKED, likely_sets
+
+    docs = spark.createDataFrame([(t,) for _, t in corpus()], "text string").repartition(3)
+    packed = arrow_pass(docs.select(text_bytes().alias("text")), _signer(5), PACKED)
+    whole, apart = (likely_sets(packed, 4, large=large) for large in (10**6, 2))
+    for a, b in zip(whole, apart, strict=True):
+        assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}
+    assert whole[0].count() > 20 and whole[2].count() > 20
