@@ -81,19 +81,47 @@ def may_reach(k: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, leas
     some = np.flatnonzero(out)
     if not len(some):
         return out
-    x = others[some]
+    out[some] = _may(k, others[some], n, sizes[some], least, slack)
+    return out
+
+
+def pairs_may_reach(k: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, least: float, slack: float = 14.0) -> np.ndarray:
+    """may_reach() of many pairs (a, b) of sets at once."""
+    out = np.minimum(sizes[a], sizes[b]) >= least * np.maximum(sizes[a], sizes[b]) - 1e-9
+    some = np.flatnonzero(out)
+    if len(some):
+        out[some] = _may(k[a[some]], k[b[some]], sizes[a[some]], sizes[b[some]], least, slack)
+    return out
+
+
+def _may(k: np.ndarray, x: np.ndarray, n, sizes: np.ndarray, least: float, slack: float) -> np.ndarray:
     equal, more = (x == k).sum(axis=1), (x < k).sum(axis=1)
-    less, u = REGISTERS - equal - more, n / (n + sizes[some])
+    less, u = REGISTERS - equal - more, n / (n + sizes)
     top = np.minimum(u / (1 - u), (1 - u) / u)
-    low, high = np.zeros(len(some)), top.copy()
+    low, high = np.zeros(len(x)), top.copy()
     for _ in range(24):  # the likelihood has one maximum
         a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
         rises = log_likelihood(a, u, more, less, equal) < log_likelihood(b, u, more, less, equal)
         low, high = np.where(rises, a, low), np.where(rises, high, b)
     best = (low + high) / 2
     gap = log_likelihood(best, u, more, less, equal) - log_likelihood(np.minimum(least, top), u, more, less, equal)
-    out[some] = (best >= least) | (gap <= slack)
-    return out
+    return (best >= least) | (gap <= slack)
+
+
+def likely_parts_of_many(k: np.ndarray, sizes: np.ndarray, groups: list[int], least: float) -> np.ndarray:
+    """likely_parts() of small groups of the given lengths that follow each other, each pair of a group at once; a part is named by its first set."""
+    at = np.cumsum([0, *groups])
+    ends = [(i + np.stack(np.triu_indices(n, 1))) for i, n in zip(at.tolist(), groups, strict=False)]
+    a, b = np.concatenate(ends, axis=1)
+    near = pairs_may_reach(k, sizes, a, b, least)
+    a, b, part = a[near], b[near], np.arange(len(k))
+    while True:
+        less = part.copy()
+        np.minimum.at(less, a, part[b])
+        np.minimum.at(less, b, part[a])
+        if np.array_equal(less, part):
+            return part
+        part = less
 
 
 def likely_parts(k: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import BitFilter, arrow_pass, maybe_in, mix, saved, text_bytes, text_hash
 from .graph import components
 from .near_copies import set_links, shingle_set
-from .setsketch import BANDS, REGISTERS, band_keys, least_words, likely_parts, registers
+from .setsketch import BANDS, REGISTERS, band_keys, least_words, likely_parts, likely_parts_of_many, registers
 
 #: Sets of a group that all of its blocks hold, about.
 _SHARED = 32
@@ -65,40 +65,62 @@ def _bands(batch):
     return {"key": band_keys(_matrix(batch.column("k").to_pylist())).ravel(), "sid": np.repeat(batch.column("sid").to_numpy(), BANDS), "size": np.repeat(batch.column("size").to_numpy(), BANDS)} if n else None
 
 
+#: Sets of a group that is judged together with others, and pairs that are judged together, about.
+_SMALL, _PAIRS = 32, 20_000
+
+
+def _named(sid: np.ndarray, part: np.ndarray) -> dict | None:
+    """The sets of each part of two or more, under a name that its members give."""
+    many = np.bincount(part)
+    x, y = np.zeros(len(many), np.uint64), np.zeros(len(many), np.uint64)
+    np.add.at(x, part, mix(sid.view(np.uint64)))
+    np.add.at(y, part, mix(sid.view(np.uint64) + np.uint64(1)))
+    own = many[part] > 1
+    return {"x": x[part][own].view(np.int64), "y": y[part][own].view(np.int64), "sid": sid[own]} if own.any() else None
+
+
 def _parted(keys: list[str], least: float):
-    """Rows arrive by keys and sid: the sets of each part of a group that may be similar, under a name that its members give."""
+    """Rows arrive by keys and sid: the sets of each part of a group that may be similar."""
 
     def make():
-        held: dict = {"key": None, "sid": [], "size": [], "k": []}
-
-        def parts():
-            sid, size = np.array(held["sid"], np.int64), np.array(held["size"], np.int64)
-            if len(sid) < 2:
-                return None
-            part = likely_parts(_matrix(held["k"]), size, least)
-            many = np.bincount(part)
-            x, y = np.zeros(len(many), np.uint64), np.zeros(len(many), np.uint64)
-            np.add.at(x, part, mix(sid.view(np.uint64)))
-            np.add.at(y, part, mix(sid.view(np.uint64) + np.uint64(1)))
-            own = many[part] > 1
-            return {"x": x[part][own].view(np.int64), "y": y[part][own].view(np.int64), "sid": sid[own]} if own.any() else None
+        held: dict = {"key": None, "rows": []}
+        small: dict = {"rows": [], "groups": [], "pairs": 0}
+
+        def judged(rows, parts):
+            sid, size, ks = zip(*rows, strict=True)
+            size = np.array(size, np.int64)
+            return _named(np.array(sid, np.int64), parts(_matrix(ks), size))
+
+        def closed():
+            rows, n = held["rows"], len(held["rows"])
+            held["rows"] = []
+            if n > _SMALL:
+                yield judged(rows, lambda k, size: likely_parts(k, size, least))
+            elif n > 1:
+                small["rows"] += rows
+                small["groups"].append(n)
+                small["pairs"] += n * (n - 1) // 2
+                if small["pairs"] > _PAIRS:
+                    yield rest()
+
+        def rest():
+            rows, groups = small["rows"], small["groups"]
+            small.update(rows=[], groups=[], pairs=0)
+            return judged(rows, lambda k, size: likely_parts_of_many(k, size, groups, least)) if rows else None
 
         def f(batch):
-            columns = [batch.column(c).to_pylist() for c in (*keys, "sid", "size", "k")]
-            out = []
-            for *key, sid, size, k in zip(*columns, strict=True):
+            for *key, sid, size, k in zip(*(batch.column(c).to_pylist() for c in (*keys, "sid", "size", "k")), strict=True):
                 if key != held["key"]:
-                    out.append(parts())
-                    held.update(key=key, sid=[], size=[], k=[])
-                elif sid == held["sid"][-1]:
+                    yield from filter(None, closed())
+                    held["key"] = key
+                elif sid == held["rows"][-1][0]:
                     continue
-                held["sid"].append(sid)
-                held["size"].append(size)
-                held["k"].append(k)
-            out = [o for o in out if o]
-            return {c: np.concatenate([o[c] for o in out]) for c in ("x", "y", "sid")} if out else None
+                held["rows"].append((sid, size, k))
+
+        def last():
+            yield from filter(None, [*closed(), rest()])
 
-        f.last = parts
+        f.last = last
         return f
 
     return make
@@ -154,8 +176,9 @@ class Search:
         return saved(bands.select("key", "sid").join(kinds, "key"), "members")
 
     def links(self, met: DataFrame, keys: list[str]) -> DataFrame:
-        """Verified links within the groups of ``keys``."""
-        rows = met.join(self.sets.select("sid", "size", "k"), "sid").repartition(*keys).sortWithinPartitions(*keys, "sid")
+        """Verified links within the groups of ``keys``. Rows are few for the work that they make, so the number of tasks is given: it would shrink with the bytes."""
+        tasks = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = met.join(self.sets.select("sid", "size", "k"), "sid").repartition(tasks, *keys).sortWithinPartitions(*keys, "sid")
         parts = saved(arrow_pass(rows.select(*keys, "sid", "size", "k"), _parted(keys, self.least), "x long, y long, sid long").distinct(), "likely")
         one = saved(parts.select("sid").distinct().join(self.sets.select("sid", "th"), "sid"), "met")
         maybe = maybe_in(BitFilter.of(one, "th"))(F.col("th"))

@@ -118,3 +118,46 @@ def test_query_matches_sql(spark):
 
 def test_empty_table(spark):
     assert similar_sets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_small_groups_are_parted_together_as_each_is():
+    """Sets of many groups, some near copies: one pass over all pairs gives the parts that each group has by itself, in batches of any cut."""
+    import pyarrow as pa
+
+    from patternscore.llm import sketch_dedup
+    from patternscore.llm.setsketch import REGISTERS, least_words, likely_parts, likely_parts_of_many, registers
+
+    rng = np.random.default_rng(12)
+    groups, low, sizes = [], [], []
+    for _ in range(150):
+        n = int(rng.integers(2, 12))
+        base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+        for _ in range(n):
+            own = base.copy()
+            changed = rng.random(300) < rng.choice([0.0, 0.03, 0.1, 0.4, 1.0])
+            own[changed] = rng.integers(0, 1 << 63, int(changed.sum()), dtype=np.uint64)
+            own = np.unique(mix(own[: int(rng.choice([300, 290, 200]))]))
+            low.append(least_words(own))
+            sizes.append(len(own))
+        groups.append(n)
+    k, size, at = registers(np.array(low)), np.array(sizes), np.cumsum([0, *groups])
+    assert k.shape[1] == REGISTERS
+    parts = likely_parts_of_many(k, size, groups, 0.8)
+    same = lambda p: (p[:, None] == p[None]).tolist()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        assert same(parts[a:b]) == same(likely_parts(k[a:b], size[a:b], 0.8))
+        assert parts[a:b].min() >= a and parts[a:b].max() < b
+    assert 10 < len(set(parts.tolist())) < len(parts) - 50
+    key = np.repeat(np.arange(len(groups)), groups)
+    table = pa.table({"key": key, "sid": np.arange(len(key)), "size": size, "k": pa.array([x.tobytes() for x in k], pa.binary())})
+    for step in (7, 10**6):
+        f = sketch_dedup._parted(["key"], 0.8)()
+        out = [x for i in range(0, len(key), step) for x in f(table.slice(i, step).combine_chunks().to_batches()[0])] + list(f.last())
+        sets: dict = {}
+        for x in out:
+            for name, sid in zip(zip(x["x"].tolist(), x["y"].tolist(), strict=True), x["sid"].tolist(), strict=True):
+                sets.setdefault(name, set()).add(sid)
+        want: dict = {}
+        for sid, p in enumerate(parts.tolist()):
+            want.setdefault(p, set()).add(sid)
+        assert {frozenset(s) for s in sets.values()} == {frozenset(s) for s in want.values() if len(s) > 1}
